@@ -87,10 +87,11 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of each row, and the row's number; in text order."""
+def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and length of each word of each row; in text order."""
+    none = np.empty(0, np.int64)
     if not len(data):
-        return np.empty(0, U64), np.empty(0, np.int64)
+        return np.empty(0, U64), none, none
     solid = ~_SPACE[data]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
     before = np.empty_like(solid)
@@ -98,14 +99,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before[edges] = False
     starts = np.flatnonzero(solid & ~before)
     if not len(starts):
-        return np.empty(0, U64), np.empty(0, np.int64)
+        return np.empty(0, U64), none, none
     count = np.cumsum(solid)
     first = count[starts] - 1
     sizes = np.diff(np.append(first, count[-1]))
-    letters = _LOWER[data[solid]].astype(U64) + U64(1)
+    letters = (_LOWER[data[solid]] if lower else data[solid]).astype(U64) + U64(1)
     powers = np.cumprod(np.full(int(sizes.max()), _BASE, U64))
     letters *= powers[np.arange(len(letters)) - np.repeat(first, sizes)]
     hashed = mix(np.add.reduceat(letters, first) ^ (sizes.astype(U64) << U64(40)))
+    return hashed, starts, sizes
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of each row, and the row's number; in text order."""
+    hashed, starts, _ = word_places(data, offsets)
     return hashed, np.searchsorted(offsets, starts, side="right") - 1
 
 

@@ -6,16 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm import fastsketch
+from assayloom.llm import blockjoin, fastsketch, packing, tokenfile, toxicity
 from assayloom.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockjoin.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op6_packing": op6_packing,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_token_files": op10_token_files,
 }
 
+
+#: The score's last binary digits depend on the order of summation, so op9 is tested against brute force instead of SQL.
 ORACLE_SQL: dict[str, str] = {}
