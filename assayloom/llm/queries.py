@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm import blockjoin, fastsketch, packing, tokenfile, toxicity
+from assayloom.llm import blockjoin, brown, editprint, fastsketch, packing, tokenfile, toxicity
 from assayloom.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_class_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.class_scores(table(spark, sf_dir, "documents"))
+
+
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_class_language_model": op3_class_language_model,
+    "op5_edit_fingerprints": op5_edit_fingerprints,
     "op6_packing": op6_packing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_nearest_neighbours": op9_nearest_neighbours,
