@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm import blockjoin, brown, editprint, fastsketch, packing, tokenfile, toxicity
+from assayloom.llm import blockjoin, brown, editprint, fastsketch, htmlblocks, langid, mixing, packing, tokenfile, toxicity
 from assayloom.llm.common import table
 
 
@@ -15,10 +15,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with the trigram model trained on labelled documents."""
+    return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_class_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.class_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +36,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmlblocks.extract(pages, htmlblocks.train(pages))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,9 +55,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
     "op3_class_language_model": op3_class_language_model,
+    "op4_mixing": op4_mixing,
     "op5_edit_fingerprints": op5_edit_fingerprints,
     "op6_packing": op6_packing,
+    "op7_html_blocks": op7_html_blocks,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_token_files": op10_token_files,
