@@ -1,0 +1 @@
+"""Scalar column functions and the fixed schema vocabulary."""

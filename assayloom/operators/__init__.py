@@ -1,0 +1 @@
+"""Set-oriented operators on measurement, registry and catalogue DataFrames."""

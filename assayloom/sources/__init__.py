@@ -1,0 +1 @@
+"""Readers: registries, instrument configuration, file listings and raw instrument exports."""

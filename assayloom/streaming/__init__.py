@@ -1,0 +1 @@
+"""Incremental ingest by Structured Streaming."""
