@@ -6,12 +6,14 @@ stays; after 128 rounds round 128+j fills bin j. So every coordinate fills, and
 coordinates of two sketches concentrates about their Jaccard similarity.
 
 Steps: exact copies of a set collapse to their smallest doc_id (grouping pre-aggregates, so thousands of
-copies cost one row a task); 32 bands of 4 coordinates give buckets; in each bucket every member is compared
-with the bucket's smallest id on full shingle sets; then all pairs of a bucket whose ends lie in different
+copies cost one row a task); 32 bands of 4 coordinates give buckets; in each bucket every member is compared on
+full shingle sets with the bucket's smallest id and, in a larger bucket, with the few that hashing twice puts into
+the same bin of about four, so that a large group of near copies hangs together after work linear in its size; then all pairs of a bucket whose ends lie in different
 components yet are compared too, so that no link of a bucket that could join two components is lost, while
-pairs within one component are never made. A pair at similarity 0.75 misses all bands with probability
+pairs within one component are never made. That comparison is the join's own condition, at the first band that two
+members share, by 32-bit hashes of the shingles with room for their collisions; what it lets through is verified in full. A pair at similarity 0.75 misses all bands with probability
 (1 - 0.75^4)^32 < 6e-6. Pairs are dropped before verification only if set sizes alone forbid the threshold, or
-if the 128 one-bit digests differ in over 40 places (binomial tail below 1e-7 at 0.75).
+if the sketches' four-bit digests differ in over 51 of 128 places (expected at 0.75: 30, deviation 4.8 at most).
 
 Defined cases: null or empty text, or no words: empty set, linked with nothing. Repeated rows stay rows of
 their own in one component. A null doc_id takes part in no link and is its own (null) component, kept. Extra
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from assayloom.llm.common import U64, byte_texts, list_column, mix, pieces, raw, shared_folder, shingle_sets, stored
 from assayloom.llm.components import connected_components
 
-COORDINATES, BANDS, ROWS, DIGEST_GAP = 128, 32, 4, 40
+COORDINATES, BANDS, ROWS, DIGEST_GAP = 128, 32, 4, 51
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64) * U64(0xA24BAED4963EE407))
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -61,8 +63,20 @@ def band_keys(sketches: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
 
 
 def _digests(sketches: np.ndarray) -> np.ndarray:
-    """Two longs with the lowest bit of each coordinate."""
-    return np.packbits((sketches & U64(1)).astype(np.uint8), axis=1).view(np.int64)
+    """Eight longs with the lowest four bits of each coordinate."""
+    low = (sketches & U64(15)).astype(np.uint8)
+    return np.ascontiguousarray(low[:, 0::2] | low[:, 1::2] << 4).view(np.int64)
+
+
+def _differing(a: str, b: str):
+    """Column: in how many places two digests differ."""
+    total = F.lit(0)
+    for k in range(COORDINATES // 16):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def _described(batches):
@@ -77,8 +91,8 @@ def _described(batches):
             bits = _digests(sketches)
             keys = band_keys(sketches)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(sizes), pa.array(mark[:, 0].view(np.int64)), pa.array(mark[:, 1].view(np.int64)), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), list_column([k if n else k[:0] for k, n in zip(keys, sizes)])],
-                names=["doc_id", "n_shingles", "mark1", "mark2", "bits1", "bits2", "keys"],
+                [batch.column("doc_id").slice(i, j - i), pa.array(sizes), pa.array(mark[:, 0].view(np.int64)), pa.array(mark[:, 1].view(np.int64)), list_column(list(bits)), list_column([k if n else k[:0] for k, n in zip(keys, sizes)])],
+                names=["doc_id", "n_shingles", "mark1", "mark2", "digest", "keys"],
             )
 
 
@@ -116,24 +130,36 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     spark: SparkSession = docs.sparkSession
     folder = shared_folder(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stored(docs.mapInArrow(_described, "doc_id long, n_shingles long, mark1 long, mark2 long, bits1 long, bits2 long, keys array<long>"), folder, "described")
+    described = stored(docs.mapInArrow(_described, "doc_id long, n_shingles long, mark1 long, mark2 long, digest array<long>, keys array<long>"), folder, "described")
     real = described.filter("n_shingles > 0 and doc_id is not null")
     mark = ["n_shingles", "mark1", "mark2"]
-    reps = stored(real.groupBy(*mark).agg(F.min(F.struct("doc_id", "bits1", "bits2", "keys")).alias("r")).select(*mark, F.col("r.doc_id").alias("id"), "r.bits1", "r.bits2", "r.keys"), folder, "classes")
-    banded = reps.select("id", "n_shingles", "bits1", "bits2", F.explode("keys").alias("key"))
-    heads = banded.groupBy("key").agg(F.min(F.struct("id", "n_shingles", "bits1", "bits2")).alias("h"), F.count("*").alias("members")).filter("members > 1").select("key", "h")
+    reps = stored(real.groupBy(*mark).agg(F.min(F.struct("doc_id", "digest", "keys")).alias("r")).select(*mark, F.col("r.doc_id").alias("id"), "r.digest", "r.keys"), folder, "classes")
+    banded = reps.select("id", F.explode("keys").alias("key"))
+    heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("members")).filter("members > 1")
     members = stored(banded.join(heads, "key"), folder, "members")
-    likely = lambda a, b: (F.least(f"{a}.n_shingles", f"{b}.n_shingles") * den >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * num) & (F.bit_count(F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))) + F.bit_count(F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2"))) <= DIGEST_GAP)
-    star = members.alias("x").filter(F.col("x.id") != F.col("x.h.id")).filter(likely("x", "x.h")).select(F.col("x.id").alias("a"), F.col("x.h.id").alias("b")).distinct()
     wanted = members.select("id").distinct()
+    about = stored(reps.select("id", F.col("n_shingles").alias("n"), "digest", "keys").join(wanted, "id", "left_semi"), folder, "about")
+    likely = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (_differing("digest_a", "digest_b") <= DIGEST_GAP)
+    end = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") if c not in ("key",) else F.col(c) for c in df.columns])
+    star = members.filter("id <> head").select(F.col("id").alias("id_a"), F.col("head").alias("id_b")).distinct()
+    bins = members.filter("members > 2 and pmod(key, 4) = 0").select("key", "id", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("members") / 4)).alias("bin"))
+    binned = bins.withColumnRenamed("id", "id_a").join(bins.withColumnRenamed("id", "id_b"), ["key", "bin"]).filter("id_a > id_b").select("id_a", "id_b")
+    star = star.union(binned).distinct()
+    brief = about.drop("keys")
+    star = star.join(end(brief, "a"), "id_a").join(end(brief, "b"), "id_b").filter(likely).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     sets = stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_with_sets, "id long, items array<long>"), folder, "sets")
     first = stored(_links(star, sets, num, den), folder, "links-1")
     parts = connected_components(first, folder, "parts")
-    placed = members.select("key", "id", "n_shingles", "bits1", "bits2").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.select("key", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    left = stored(placed.join(torn, "key", "left_semi"), folder, "torn")
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & likely("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    left = placed.join(torn, "key", "left_semi")
+    short = F.transform("items", lambda x: F.hash(x)).alias("short")
+    whom = about.join(left.select("id").distinct(), "id", "left_semi").join(sets.select("id", short), "id")
+    left = stored(left.join(whom, "id").withColumn("band", F.array_position("keys", F.col("key")).cast("int")), folder, "torn")
+    earlier = F.arrays_overlap(F.slice("keys_a", F.lit(1), F.col("band_a") - 1), F.slice("keys_b", F.lit(1), F.col("band_b") - 1))
+    shared = (F.size(F.array_intersect("short_a", "short_b")) + 3) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    across = end(left, "a").join(end(left, "b"), "key").filter((F.col("component_a") < F.col("component_b")) & likely & ~earlier & shared)
+    across = across.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
     second = stored(_links(across.join(first, ["a", "b"], "left_anti"), sets, num, den), folder, "links-2")
     whole = connected_components(first.union(second), folder, "whole")
     classes = reps.select(*mark, "id").join(whole, "id", "left").select(*mark, F.coalesce("component", "id").alias("component"))
