@@ -7,8 +7,8 @@ towards the address suffix, that towards all rows; the counts behind it are grou
 every row, without the row's own. The posterior is their product.
 
 The trigram model is trained on a bounded sample of labelled texts (``SAMPLE`` rows of smallest hash); everything
-else covers all rows. A language is undetermined (``und``) if the text has no trigram of letters or if no language model explains
-it better than the uniform one.
+else covers all rows. A language is undetermined (``und``) if the text has no trigram of letters or if every language model
+explains it worse than the uniform one by ``MARGIN`` a trigram.
 
 Defined cases: null or empty text, html or address: no evidence of that kind. No labelled texts: all ``und``.
 Repeated rows are rows of their own. Extra columns pass through ``keep_identified`` untouched and are ignored otherwise.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.common import U64, byte_texts, pieces, raw
 
-BUCKETS, SAMPLE, WEIGHT, KAPPA, LANGUAGES = 1 << 14, 20_000, 60.0, 5.0, 100
+BUCKETS, SAMPLE, WEIGHT, KAPPA, LANGUAGES, MARGIN = 1 << 14, 20_000, 60.0, 5.0, 100, 1.0
 _FOLD = np.array([32 if i < 65 or 90 < i < 97 or 122 < i < 128 else i + 32 if i < 91 else i for i in range(256)], np.uint8)
 
 
@@ -63,7 +63,7 @@ class Model:
             for k in range(len(self.languages)):
                 total = np.bincount(rows, self.logs[buckets, k], minlength=j - i)
                 out[i:j, k] = total / np.maximum(n, 1)
-            sound[i:j] = (n > 0) & (out[i:j].max(axis=1) > -np.log(BUCKETS))
+            sound[i:j] = (n > 0) & (out[i:j].max(axis=1) > -np.log(BUCKETS) - MARGIN)
             out[i:j] *= np.minimum(n, WEIGHT)[:, None]
         return out, sound
 
@@ -97,10 +97,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     lang, bucket, n = (sums.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "bucket", "n"))
     size = {x: int(n[lang == x].sum()) for x in set(lang.tolist())}
     names = sorted(sorted(size, key=lambda x: (-size[x], x))[:LANGUAGES])
-    counts = np.full((BUCKETS, len(names)), 0.1)
+    chance = np.full((BUCKETS, len(names)), 0.1 / BUCKETS)  # a tenth uniform, for trigrams not met in training
     for k, name in enumerate(names):
-        counts[bucket[lang == name], k] += n[lang == name]
-    return Model(names, np.log(counts / counts.sum(axis=0, keepdims=True)) if names else counts)
+        mine = lang == name
+        chance[bucket[mine], k] += 0.9 * n[mine] / n[mine].sum()
+    return Model(names, np.log(chance))
 
 
 #: A row's address: host, its registered domain, its suffix. Each is '' if unknown.
@@ -150,7 +151,7 @@ def identified(rows: DataFrame, model: Model, html: bool = False) -> DataFrame:
     known = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared") == "", F.lit("")).otherwise(F.lit("?"))
     grouped = seen.withColumn("declared", known).groupBy("declared", *LEVELS).agg(F.count("*").alias("rows"), *sums)
     grouped = grouped.select("declared", *LEVELS, vector.alias("p")).persist()
-    again = lambda by: grouped.groupBy(*by).agg(*sums)
+    again = lambda by: grouped.groupBy(*by).agg(F.count("*").alias("n"), *sums)
     given = {r["declared"]: np.array(r["p"]) for r in again(["declared"]).select("declared", vector.alias("p")).collect()}
     total = sum(given.values()) if given else np.zeros(n)
     kinds = ["", "?", *names]
