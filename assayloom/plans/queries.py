@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions import scalar
 from assayloom.operators import catalog, characterize, compare, features, normalize, select, series, validate
+from assayloom.plans import datasets
 from assayloom.sources import files, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -592,6 +593,44 @@ def detector_infer(spark, sf_dir):
     return p.select("page_id", scalar.infer_detector(F.split("url", "//")[1], (("ri", ("th",)), ("uv", ("en", "fr")))).alias("detector"))
 
 
+@query("""
+with r as (select c_custkey as row_number, case when c_custkey % 50 = 0 then null else c_name end as name, case c_nationkey % 4 when 0 then 'dsc' when 1 then 'DMA' when 2 then 'laser' end as instrument_name,
+                  case when c_custkey % 7 = 0 then 'S1' else 'S' || lpad((c_custkey % 1000)::varchar, 3, '0') end as sample_id from customer),
+e as (select *, (name is null)::int + coalesce((instrument_name = 'laser')::int, 0) + (not regexp_full_match(sample_id, 'S[0-9]{3,6}'))::int as n_errors, (instrument_name is null)::int as n_warnings from r)
+select row_number, n_errors = 0 as valid, n_errors, n_warnings, case instrument_name when 'dsc' then 'dsc' when 'DMA' then 'dma' end as type from e""")
+def registry_validation(spark, sf_dir):
+    """E1 over customers as registry rows."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    which = F.col("c_nationkey") % 4
+    reg = c.select(
+        k.alias("row_number"), F.when(k % 50 != 0, F.col("c_name")).alias("name"), F.when(which == 0, "dsc").when(which == 1, "DMA").when(which == 2, "laser").alias("instrument_name"),
+        F.when(k % 7 == 0, "S1").otherwise(F.concat(F.lit("S"), F.lpad((k % 1000).cast("string"), 3, "0"))).alias("sample_id"),
+    )
+    ins = spark.createDataFrame([("dsc", "dsc", "prior"), ("dma", "dma", "ta_q800")], "name string, type string, model string")
+    rows, _, _ = validate.validate_registry(reg, ins, ins)
+    return rows.select("row_number", "valid", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), "type")
+
+
+@query("""
+select o_custkey as experiment_name, o_orderkey, o_orderstatus as run_id from orders where o_orderstatus = 'F' and o_custkey < 50
+order by o_orderdate desc nulls last, o_custkey limit 25""")
+def list_datasets(spark, sf_dir):
+    """E5."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey < 50").select(F.col("o_custkey").alias("experiment_name"), "o_orderkey", F.col("o_orderstatus").alias("run_id"), F.col("o_orderdate").alias("updated_at"), F.lit(None).cast("timestamp").alias("created_at"))
+    return datasets.list_datasets(o, limit=25, run_id="F").select("experiment_name", "o_orderkey", "run_id")
+
+
+@query("""
+select o_custkey as experiment_id, count(*) as rows, list_sort(list_distinct(list(o_orderpriority))) as files, 'dsc:prior' as parser_key, 0 as warning_count from orders group by o_custkey""")
+def provenance(spark, sf_dir):
+    """One provenance record an experiment."""
+    data = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("experiment_id"), F.lit("i").alias("instrument_name"), F.lit("dsc").alias("type"), F.lit("prior").alias("model"), F.col("o_orderpriority").alias("source_file"))
+    text_list = F.array().cast("array<string>")
+    report = F.struct(F.lit("1.1").alias("schema_version"), F.lit(True).alias("schema_applied"), text_list.alias("warnings"), text_list.alias("missing_required_columns"))
+    out = catalog.provenance(data, data.select("experiment_id").distinct().withColumn("report", report), "local", "/store")
+    return out.select("experiment_id", "rows", F.col("provenance.source.files").alias("files"), F.col("provenance.storage.parser_key").alias("parser_key"), F.col("provenance.schema.warning_count").alias("warning_count"))
+
+
 # --- files and lines ---------------------------------------------------------------------------------------------
 
 
