@@ -81,9 +81,9 @@ def grouping_scores(df: DataFrame, x: str, candidates: list[str]) -> DataFrame:
     summed = grouped.groupBy("gid").agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicates"))
     every = (1 << len(candidates)) - 1
     label = F.create_map(*[F.lit(v) for k, c in enumerate(candidates) for v in (every & ~(1 << (len(candidates) - 1 - k)), c)])
-    base = summed.filter(F.col("gid") == every).select(F.col("duplicates").alias("baseline"))
-    each = summed.filter(F.col("gid") != every).select(label[F.col("gid").cast("int")].alias("column"), "duplicates")
-    return each.crossJoin(F.broadcast(base)).select("column", "duplicates", F.when(F.col("baseline") > 0, 1 - F.col("duplicates") / F.col("baseline")).alias("score"))  # one row
+    one = summed.agg(F.max(F.when(F.col("gid") == every, F.col("duplicates"))).alias("baseline"), F.collect_list(F.struct("gid", "duplicates")).alias("all"))  # a struct a candidate
+    each = one.select("baseline", F.inline("all")).filter(F.col("gid") != every)
+    return each.select(label[F.col("gid").cast("int")].alias("column"), "duplicates", F.when(F.col("baseline") > 0, 1 - F.col("duplicates") / F.col("baseline")).alias("score"))
 
 
 def infer_group(df: DataFrame, x: str, y: list[str], group_by: str | None = None, max_groups: int = 20, exclude: tuple[str, ...] = ()) -> tuple[str | None, list[str]]:

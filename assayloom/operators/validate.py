@@ -126,5 +126,6 @@ def validate_registry(registry: DataFrame, instruments: DataFrame, parsers: Data
     problems = names.union(duplicate_files(files_base)).union(unsafe)
     if mark_first:
         listed = problems.agg(F.collect_list(F.struct(F.lit("registry").alias("field"), "message")).alias("all"))
-        out = out.crossJoin(F.broadcast(listed)).withColumn("errors", F.when(F.col("row_number") == 1, F.concat("errors", "all")).otherwise(F.col("errors"))).drop("all").withColumn("valid", F.size("errors") == 0)
+        first = listed.select(F.lit(1).cast("long").alias("row_number"), "all")
+        out = out.join(first, "row_number", "left").withColumn("errors", F.when(F.col("all").isNotNull(), F.concat("errors", "all")).otherwise(F.col("errors"))).drop("all").withColumn("valid", F.size("errors") == 0)
     return out, problems, summary(out)

@@ -76,6 +76,8 @@ def test_validate_registry(spark):
     assert got[("f", "dma")]["warnings"] and got[("g", "dma")]["measurement_profile"] == "oscillatory_frequency_sweep"
     assert {r["message"] for r in problems.collect()} == {"duplicate name 'a'", "unsafe file name 'b c'"}
     assert tuple(total.first()) == (6, 4, 2)
+    marked, _, _ = validate.validate_registry(reg.coalesce(1), ins, spark.createDataFrame([("dsc", "prior"), ("dma", "ta_q800")], "type string, model string"), mark_first=True)
+    assert {r["row_number"]: len(r["errors"]) for r in marked.collect()}[1] == 2
 
 
 def test_profiles_match(spark):
