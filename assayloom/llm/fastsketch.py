@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import U64, byte_texts, list_column, mix, pieces, raw, shared_folder, shingle_sets, stored
+from assayloom.llm.common import U64, byte_texts, lean, list_column, mix, pieces, raw, shared_folder, shingle_sets, stored
 from assayloom.llm.components import connected_components
 
 COORDINATES, BANDS, ROWS, DIGEST_GAP = 128, 32, 4, 51
@@ -122,7 +122,7 @@ def _verified(batches, num: int, den: int):
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Verify candidate pairs (a, b) against the stored shingle sets."""
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-    return joined.select("a", "b", "items_a", "items_b").mapInArrow(lambda batches: _verified(batches, num, den), "a long, b long")
+    return joined.select("a", "b", "items_a", "items_b").mapInArrow(lean(lambda batches: _verified(batches, num, den)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     spark: SparkSession = docs.sparkSession
     folder = shared_folder(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stored(docs.mapInArrow(_described, "doc_id long, n_shingles long, mark1 long, mark2 long, digest array<long>, keys array<long>"), folder, "described")
+    described = stored(docs.mapInArrow(lean(_described), "doc_id long, n_shingles long, mark1 long, mark2 long, digest array<long>, keys array<long>"), folder, "described")
     real = described.filter("n_shingles > 0 and doc_id is not null")
     mark = ["n_shingles", "mark1", "mark2"]
     reps = stored(real.groupBy(*mark).agg(F.min(F.struct("doc_id", "digest", "keys")).alias("r")).select(*mark, F.col("r.doc_id").alias("id"), "r.digest", "r.keys"), folder, "classes")
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     star = star.union(binned).distinct()
     brief = about.drop("keys")
     star = star.join(end(brief, "a"), "id_a").join(end(brief, "b"), "id_b").filter(likely).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    sets = stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_with_sets, "id long, items array<long>"), folder, "sets")
+    sets = stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lean(_with_sets), "id long, items array<long>"), folder, "sets")
     first = stored(_links(star, sets, num, den), folder, "links-1")
     parts = connected_components(first, folder, "parts")
     placed = members.select("key", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))

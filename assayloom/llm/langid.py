@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import U64, byte_texts, pieces, raw
+from assayloom.llm.common import U64, byte_texts, lean, pieces, raw
 
 BUCKETS, SAMPLE, WEIGHT, KAPPA, LANGUAGES, MARGIN = 1 << 14, 20_000, 60.0, 5.0, 100, 1.0
 _FOLD = np.array([32 if i < 65 or 90 < i < 97 or 122 < i < 128 else i + 32 if i < 91 else i for i in range(256)], np.uint8)
@@ -93,7 +93,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 k = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[k].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    sums = rows.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages * buckets
+    sums = rows.mapInArrow(lean(counted), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages * buckets
     lang, bucket, n = (sums.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "bucket", "n"))
     size = {x: int(n[lang == x].sum()) for x in set(lang.tolist())}
     names = sorted(sorted(size, key=lambda x: (-size[x], x))[:LANGUAGES])
@@ -147,7 +147,7 @@ def identified(rows: DataFrame, model: Model, html: bool = False) -> DataFrame:
 
     sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(n)]
     vector = F.array(*[F.col(f"s{k}") for k in range(n)]) if n else F.array().cast("array<double>")
-    seen = rows.select("text", "declared", *LEVELS).mapInArrow(first, "declared string, host string, domain string, suffix string, p array<double>")
+    seen = rows.select("text", "declared", *LEVELS).mapInArrow(lean(first), "declared string, host string, domain string, suffix string, p array<double>")
     known = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared") == "", F.lit("")).otherwise(F.lit("?"))
     grouped = seen.withColumn("declared", known).groupBy("declared", *LEVELS).agg(F.count("*").alias("rows"), *sums)
     grouped = grouped.select("declared", *LEVELS, vector.alias("p")).persist()
@@ -181,7 +181,7 @@ def identified(rows: DataFrame, model: Model, html: bool = False) -> DataFrame:
 
     ready = rows.join(priors, list(LEVELS)).select("row", "text", "declared", "suffix_p", "domain_p", "host_p")
     row_type = rows.schema["row"].dataType.simpleString()
-    return ready.mapInArrow(second, f"row {row_type}, posterior array<double>, sound boolean, language string, probability double, text_language string, declared string")
+    return ready.mapInArrow(lean(second), f"row {row_type}, posterior array<double>, sound boolean, language string, probability double, text_language string, declared string")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import byte_texts, pieces, raw
+from assayloom.llm.common import byte_texts, lean, pieces, raw
 from assayloom.llm.tokens import BATCH_BYTES, default_path, ids_for
 
 TOKENS, SEGMENTS, OPEN = 4096, 1024, 32
@@ -161,4 +161,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKEN
                 at += len(done)
         yield _rows(packer.finish(), at)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(packed, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(packed), _SCHEMA)

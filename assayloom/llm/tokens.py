@@ -14,7 +14,7 @@ import numpy as np
 
 from assayloom.llm.common import word_places
 
-END_ID, MEMO, BATCH_BYTES = 2, 500_000, 4_000_000
+END_ID, MEMO, BATCH_BYTES = 2, 250_000, 3_000_000
 _SPLIT = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)|([^\\n]*))$", re.M)
 
 

@@ -8,7 +8,7 @@ so most words die after a few letters. Each hit is weighed by a window of tokens
 round it or a word of mention nearby make it a quoted hit. A logistic model of the hit features gives the score.
 
 Spellings near a term that clean training texts use are no misspellings. Bounds, all parameters: at most
-``sample`` labelled rows (those of smallest hash), at most ``terms`` terms and ``sample`` clean spellings.
+``sample`` labelled rows (those of smallest hash), terms of at least 3 % (``SUPPORT``) of the toxic rows, at most ``terms`` terms and ``sample`` clean spellings.
 
 Defined cases: null or empty text scores as a text without hits. Rows whose label is null don't train. Labels
 without one of the two classes give the constant score of the share of toxic rows. A null doc_id is the empty
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import crc_mod, crc_mod_py
+from assayloom.llm.common import crc_mod, crc_mod_py, lean
 
-SAMPLE, TERMS, STEMS, WINDOW, THRESHOLD = 50_000, 4096, (4, 9), 5, 0.3
+SAMPLE, TERMS, STEMS, WINDOW, THRESHOLD, SUPPORT = 12_000, 4096, (4, 9), 5, 0.3, 0.03
 #: Fixed word list: words of mention, in the languages of the tables.
 MENTION = frozenset("quote quoted word words term slur called says said writes wrote mot mots terme dit wort wörter begriff sagte palabra palabras término dijo".split())
 _WORD = re.compile(r"\w+")
@@ -87,6 +87,7 @@ class Lexicon:
         self.stems: list[int] = []
         self.start = self._state(self._closed({(0, 0)})) if self.terms else -1
         self.memo: dict[str, tuple[int, int] | None] = {}
+        self.alive: dict[str, bool] = {}  # whether a word can be near a term, by its first letters
 
     @staticmethod
     def edits(term: str, kind: int) -> int:
@@ -108,7 +109,7 @@ class Lexicon:
         if not pairs:
             return -1
         if pairs not in self.states:
-            if len(self.sets) > 200_000:  # only a memory bound: states are built again when met again
+            if len(self.sets) > 50_000:  # only a memory bound: states are built again when met again
                 self.states, self.sets, self.moves, self.stems = {}, [], [], []
                 self.start = self._state(self._closed({(0, 0)}))
                 return self._state(pairs)
@@ -155,28 +156,49 @@ class Lexicon:
             return stem, -1
         return (best[2], best[0]) if best and word not in self.clean else None
 
-    def features(self, text: str) -> list[float]:
-        """Saturated evidence of plain and of quoted hits, share of hits, and 1. Each edit costs 30 % of a term's weight."""
-        lower = text.lower()
-        memo, hits = self.memo, []
-        words = set(_WORD.findall(lower))
+    def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        """The words that match a term, and what they match."""
+        out, alive, memo = {}, self.alive, self.memo
         for w in words:
+            start = w[:4]
+            may = alive.get(start)
+            if may is None:
+                if len(alive) > 100_000:
+                    alive.clear()
+                may = alive[start] = self._survives(start)
+            if not may or not 2 < len(w) < 40:
+                continue
             if w not in memo:
-                if len(memo) > 300_000:
+                if len(memo) > 50_000:
                     memo.clear()
-                memo[w] = self.lookup(w) if self.start >= 0 and 2 < len(w) < 40 else None
+                memo[w] = self.lookup(w)
             if memo[w] is not None:
-                hits.append(w)
+                out[w] = memo[w]
+        return out
+
+    def _survives(self, start: str) -> bool:
+        state = self.start
+        for c in start:
+            if state < 0:
+                return False
+            if self.stems[state] >= 0:
+                return True
+            state = self._step(state, c)
+        return state >= 0
+
+    def features(self, text: str) -> list[float]:
+        """Saturated evidence of plain and of quoted hits, share of hits, and 1. Each edit costs 30 % of a term's weight."""
+        lower = text.lower()
+        hits = self.hits(set(_WORD.findall(lower)))
         if not hits:
             return [0.0, 0.0, 0.0, 1.0]
-        found = set(hits)
         places = list(_WORD.finditer(lower))
         sums = [0.0, 0.0]
         n = 0
         for k, m in enumerate(places):
-            if m[0] not in found:
+            if m[0] not in hits:
                 continue
-            term, edits = memo[m[0]]
+            term, edits = hits[m[0]]
             n += 1
             round_it = {places[x][0] for x in range(max(0, k - WINDOW), min(len(places), k + WINDOW + 1)) if x != k}
             left, right = lower[max(0, m.start() - 1) : m.start()], lower[m.end() : m.end() + 1]
@@ -190,7 +212,7 @@ def choose_terms(counts: list[tuple[str, int, int, int]], clean: int, toxic: int
     scored = []
     for term, kind, b, a in counts:
         weight = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-        if weight > 2.5 and weight - 2.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.7:
+        if a >= max(5, SUPPORT * toxic) and weight > 2.2 and weight - 2.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.7:
             scored.append((-a, kind == 0, -len(term), term, kind, weight))
     chosen, covered, told = [], set(), {}
     for a, _, _, term, kind, weight in sorted(scored):
@@ -240,8 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = SAMPL
     if not clean or not toxic:
         rows.unpersist()
         return Model([], [0.0] * 3 + [30.0 if toxic else -30.0])
-    counted = rows.mapInArrow(_count_terms, "term string, kind int, clean long, toxic long").groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    likely = counted.filter("toxic >= 5").filter(F.expr(f"(toxic + 0.5) / {toxic + 1} > (clean + 0.5) / {clean + 1} * 1.6"))
+    counted = rows.mapInArrow(lean(_count_terms), "term string, kind int, clean long, toxic long").groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    likely = counted.filter(F.col("toxic") >= max(5, SUPPORT * toxic)).filter(F.expr(f"(toxic + 0.5) / {toxic + 1} > (clean + 0.5) / {clean + 1} * 1.6"))
     best = likely.orderBy(F.desc(F.expr(f"ln((toxic + 0.5) / {toxic + 1} / ((clean + 0.5) / {clean + 1})) - 2.5 * sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))")), "term", "kind").limit(8 * terms)
     chosen = choose_terms([tuple(r) for r in best.select("term", "kind", "clean", "toxic").collect()], clean, toxic, terms)
 
@@ -250,9 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = SAMPL
         for batch in batches:
             found = set()
             for text in batch.column("text").to_pylist():
-                for w in set(_WORD.findall((text or "").lower())):
-                    if 2 < len(w) < 40 and (hit := lexicon.lookup(w)) and hit[1] > 0:
-                        found.add(w)
+                found.update(w for w, hit in lexicon.hits(set(_WORD.findall((text or "").lower()))).items() if hit[1] > 0)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["w"])
 
     if not chosen:
@@ -284,7 +304,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([crc_mod_py(i, 4) == 2 for i in ids], pa.bool_()), pa.array(marks, pa.float64()), pa.array([int(m >= THRESHOLD) for m in marks], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(scored), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -296,4 +316,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             keep = [scorer(t) < THRESHOLD for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
