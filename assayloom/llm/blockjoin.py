@@ -10,9 +10,13 @@ bounds the quantisation error, so a candidate whose upper bound lies below the k
 among the k nearest. Survivors are recomputed in double precision from the original vectors, and the cells'
 lists are merged by a bounded heap for each query. So the result is exact.
 
+Repeated rows of one vec_id and vector are one row from the start, and cells are formed by vec_id and vector, so an
+id of many vectors is spread over cells. Bounds and heaps count distinct vec_ids, each with its largest score.
+
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part; vectors of
 another length than the query's are no candidates; fewer candidates than ``k`` give all of them; ties go to the smaller vec_id;
-a row is not its own candidate, nor is a repeated row of the same vec_id. Extra columns are ignored.
+a row is not its own candidate, nor is a repeated row of the same vec_id; a query_id of several vectors has the largest
+score over them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +43,28 @@ def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return q.astype(np.float32 if x.shape[1] <= 1000 else np.float64), s, np.linalg.norm(x, axis=1), np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
 
 
+def offer(heap: list[tuple[float, int]], held: dict[int, float], k: int, score: float, name: int) -> None:
+    """Put a candidate into a heap of ``k`` distinct names; a name counts with its largest score, ``held`` has the heap's."""
+    if name in held:
+        if score > held[name]:
+            heap[heap.index((held[name], -name))] = (score, -name)
+            heapq.heapify(heap)
+            held[name] = score
+    elif len(heap) < k:
+        heapq.heappush(heap, (score, -name))
+        held[name] = score
+    elif (score, -name) > heap[0]:
+        del held[-heapq.heapreplace(heap, (score, -name))[1]]
+        held[name] = score
+
+
 def nearest_in_cell(ids: np.ndarray, x: np.ndarray, cand_ids: np.ndarray, y: np.ndarray, k: int, tile: int = TILE):
-    """For each query the k nearest of the candidates: list of (score, vec_id), best first."""
+    """For each query the k nearest of the candidates: list of (score, vec_id), best first, a vec_id once."""
+    order = np.argsort(cand_ids, kind="stable")
+    cand_ids, y = cand_ids[order], y[order]
     qx, sx, nx, bx, ex = _bounds(x)
     heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+    held: list[dict[int, float]] = [{} for _ in ids]
     for at in range(0, len(cand_ids), tile):
         part, names = y[at : at + tile], cand_ids[at : at + tile]
         qy, sy, ny, by, ey = _bounds(part)
@@ -51,6 +73,9 @@ def nearest_in_cell(ids: np.ndarray, x: np.ndarray, cand_ids: np.ndarray, y: np.
         slack = slack * (1 + 1e-9) + 1e-12 * (nx[:, None] * ny[None, :])
         low = near - slack
         low[ids[:, None] == names[None, :]] = -np.inf
+        firsts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        if len(firsts) < len(names):
+            low = np.maximum.reduceat(low, firsts, axis=1)
         kept = min(k, low.shape[1])
         floor = np.partition(low, low.shape[1] - kept, axis=1)[:, low.shape[1] - kept]
         worst = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
@@ -59,12 +84,8 @@ def nearest_in_cell(ids: np.ndarray, x: np.ndarray, cand_ids: np.ndarray, y: np.
         alive &= ids[:, None] != names[None, :]
         for r in np.flatnonzero(alive.any(axis=1)):
             cols = np.flatnonzero(alive[r])
-            heap = heaps[r]
             for score, name in zip((part[cols] @ x[r]).tolist(), names[cols].tolist()):
-                if len(heap) < k:
-                    heapq.heappush(heap, (score, -name))
-                elif (score, -name) > heap[0]:
-                    heapq.heapreplace(heap, (score, -name))
+                offer(heaps[r], held[r], k, score, name)
     return [[(s, -n) for s, n in sorted(h, reverse=True)] for h in heaps]
 
 
@@ -79,13 +100,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, queries_a_group: i
     spark = vectors.sparkSession
     v = F.transform(F.col("embedding"), lambda e: e.cast("double"))
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and size(v) > 0 and forall(v, e -> e is not null and not isnan(e) and abs(e) < double('Infinity')) and exists(v, e -> e <> 0)")
-    sound = sound.withColumn("dim", F.size("v"))
+    sound = sound.groupBy("vec_id", "v").agg(F.size("v").alias("dim"))
     sizes = {r["dim"]: (r["n"], r["q"]) for r in sound.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
     schema = "query_id long, rank int, vec_id long, score double"
     if not any(q for _, q in sizes.values()):
         return spark.createDataFrame([], schema)
     count = lambda which, room: F.create_map(*[F.lit(x) for d, nq in sizes.items() for x in (d, max(1, -(-nq[which] // room)))])[F.col("dim")]
-    group = lambda n: F.pmod(F.xxhash64("vec_id"), n)
+    group = lambda n: F.pmod(F.xxhash64("vec_id", "v"), n)
     nq, nr = count(1, queries_a_group), count(0, rows_a_group)
     every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     asked = sound.filter(F.col("vec_id") % every == 0).select("dim", group(nq).alias("g"), every_one(nr).alias("h"), "vec_id", "v")
@@ -105,7 +126,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, queries_a_group: i
 
     def merged(batches):
         """Rows come sorted by query; the heap of one query at a time."""
-        now, heap = None, []
+        now, heap, held = None, [], {}
 
         def done():
             best = sorted(heap, reverse=True)
@@ -116,14 +137,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, queries_a_group: i
                 if q != now:
                     if heap:
                         yield done()
-                    now, heap, seen = q, [], set()
-                if n in seen:
-                    continue
-                seen.add(n)
-                if len(heap) < k:
-                    heapq.heappush(heap, (s, -n))
-                elif (s, -n) > heap[0]:
-                    heapq.heapreplace(heap, (s, -n))
+                    now, heap, held = q, [], {}
+                offer(heap, held, k, s, n)
         if heap:
             yield done()
 

@@ -39,6 +39,30 @@ def test_odd_vectors(spark):
     assert blockjoin.nearest(df.limit(0)).count() == 0 and blockjoin.nearest(df.filter("vec_id = 1")).count() == 0
 
 
+def test_repeated_rows_push_nobody_out(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 200)]
+    near = rows[19][1]  # vec_id 20
+    rows += [(303, [1.01 * c for c in near])] * 50  # one vector of one id, more often than k
+    rows += [(301, [(1 + k / 100) * c for c in near]) for k in range(50)]  # many vectors of one id
+    rows += [(40, rng.normal(size=6).tolist()) for _ in range(3)]  # a query of several vectors
+    want = []
+    for q in range(20, 200, 20):
+        best = {}
+        for x in [np.array(v) for i, v in rows if i == q]:
+            for i, v in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(np.array(v) @ x))
+        want += [(q, n, i, s) for n, (s, i) in enumerate(sorted(((s, i) for i, s in best.items()), key=lambda p: (-p[0], p[1]))[:20], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sizes in ({}, {"queries_a_group": 3, "rows_a_group": 40}):
+        compare(blockjoin.nearest(df, **sizes).collect(), want)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for tile in (7, 64, 2048):
+        found = blockjoin.nearest_in_cell(ids[19:20], x[19:20], ids, x, 20, tile)[0]
+        assert [n for _, n in found] == [i for q, _, i, _ in want if q == 20]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(50, 33)) * rng.lognormal(size=(50, 1))
