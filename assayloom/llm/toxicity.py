@@ -3,12 +3,13 @@
 Training (labelled rows only): grouped counts of words and word beginnings in toxic and clean texts give a
 lexicon of terms whose log odds stay high at their lower confidence bound. The terms form a trie. The
 Levenshtein automaton of every term (0, 1 or 2 edits, by its length; a beginning allows none) is run on the
-trie at once: a deterministic automaton whose states are sets of (trie node, edits) and which is built lazily,
-so most words die after a few letters. Each hit is weighed by a window of tokens round it: quotation marks
+trie at once: its states are sets of (trie node, edits). It runs on the branches of those terms only whose first and last letters
+have spellings in common with the word's after as many letters left out of each as the term allows edits; every
+term within its edits has one, so the result is that of the whole trie and most words need no run. Each hit is weighed by a window of tokens round it: quotation marks
 round it or a word of mention nearby make it a quoted hit. A logistic model of the hit features gives the score.
 
 Spellings near a term that clean training texts use are no misspellings. Bounds, all parameters: at most
-``sample`` labelled rows (those of smallest hash), terms of at least 3 % (``SUPPORT``) of the toxic rows, at most ``terms`` terms and ``sample`` clean spellings.
+``sample`` labelled rows (those of smallest hash), terms met in at least ``LEAST`` toxic rows, whatever the number of labels, at most ``terms`` terms and ``sample`` clean spellings.
 
 Defined cases: null or empty text scores as a text without hits. Rows whose label is null don't train. Labels
 without one of the two classes give the constant score of the share of toxic rows. A null doc_id is the empty
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.common import crc_mod, crc_mod_py, lean
 
-SAMPLE, TERMS, STEMS, WINDOW, THRESHOLD, SUPPORT = 12_000, 4096, (4, 9), 5, 0.3, 0.03
+SAMPLE, TERMS, STEMS, WINDOW, THRESHOLD, LEAST, PREFIX = 50_000, 4096, (4, 9), 5, 0.3, 5, 7
 #: Fixed word list: words of mention, in the languages of the tables.
 MENTION = frozenset("quote quoted word words term slur called says said writes wrote mot mots terme dit wort wörter begriff sagte palabra palabras término dijo".split())
 _WORD = re.compile(r"\w+")
@@ -55,9 +56,18 @@ def _count_terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())], names=["term", "kind", "clean", "toxic"])
 
 
+def _spellings(start: str, left_out: int) -> set[str]:
+    """What is left of ``start`` when at most ``left_out`` letters are left out."""
+    out = last = {start}
+    for _ in range(left_out):
+        last = {x[:k] + x[k + 1 :] for x in last for k in range(len(x))}
+        out = out | last
+    return out
+
+
 @dataclass
 class Lexicon:
-    """Terms, their kind and weight, as a trie with a lazily built automaton of all terms and edits.
+    """Terms, their kind and weight, as a trie with the automaton of all terms and edits.
 
     ``clean``: spellings near a term that clean training texts use; they are words of their own, not misspellings.
     """
@@ -69,8 +79,14 @@ class Lexicon:
     most: list[int] = field(default_factory=lambda: [0])
 
     def __post_init__(self) -> None:
+        self.paths: list[list[int]] = []  # trie nodes of each term
+        self.index: dict[str, list[int]] = {}  # words by the spellings of their first letters
+        self.tails: list[set[str]] = []  # spellings of each word's last letters
+        self.whole: dict[str, int] = {}
+        self.stems: dict[str, int] = {}
         for i, (term, kind, _) in enumerate(self.terms):
             node, allowed = 0, self.edits(term, kind)
+            path = [0]
             self.most[0] = max(self.most[0], allowed)
             for c in term:
                 if c not in self.next[node]:
@@ -80,20 +96,38 @@ class Lexicon:
                     self.most.append(0)
                 node = self.next[node][c]
                 self.most[node] = max(self.most[node], allowed)
+                path.append(node)
             self.ends[node].append(i)
-        self.states: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
-        self.moves: list[dict[str, int]] = []
-        self.stems: list[int] = []
-        self.start = self._state(self._closed({(0, 0)})) if self.terms else -1
+            self.paths.append(path)
+            self.tails.append(_spellings(term[-PREFIX:], allowed) if kind else set())
+            if kind == 0:
+                self.stems[term] = i
+            else:
+                self.whole[term] = i
+                for x in _spellings(term[:PREFIX], allowed):
+                    self.index.setdefault(x, []).append(i)
         self.memo: dict[str, tuple[int, int] | None] = {}
-        self.alive: dict[str, bool] = {}  # whether a word can be near a term, by its first letters
+        self.starts: dict[tuple[str, int], tuple[int, ...]] = {}  # words by first letters
+        self.lengths = sorted({len(x) for x in self.stems})
 
     @staticmethod
     def edits(term: str, kind: int) -> int:
         return 0 if kind == 0 or len(term) < 5 else 1 if len(term) < 9 else 2
 
-    def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
+    def _near(self, word: str) -> list[int]:
+        """The words of the lexicon that can be within their edits of ``word``."""
+        start, left_out = word[:PREFIX], 2 if len(word) > 6 else 1  # two edits need nine letters
+        found = self.starts.get((start, left_out))
+        if found is None:
+            if len(self.starts) > 100_000:
+                self.starts.clear()
+            index = self.index
+            found = self.starts[start, left_out] = tuple({i for x in _spellings(start, left_out) if x in index for i in index[x]})
+        found = [i for i in found if abs(len(self.terms[i][0]) - len(word)) <= self.edits(*self.terms[i][:2])]
+        end = _spellings(word[-PREFIX:], left_out) if found else set()
+        return [i for i in found if not end.isdisjoint(self.tails[i])]
+
+    def _closed(self, pairs: set[tuple[int, int]], nodes: set[int]) -> list[tuple[int, int]]:
         """Add letters left out, then keep only the fewest edits of each node that some term below allows."""
         best: dict[int, int] = {}
         stack = list(pairs)
@@ -102,71 +136,43 @@ class Lexicon:
             if e > self.most[node] or best.get(node, 9) <= e:
                 continue
             best[node] = e
-            stack += [(child, e + 1) for child in self.next[node].values()]
-        return frozenset(best.items())
-
-    def _state(self, pairs: frozenset) -> int:
-        if not pairs:
-            return -1
-        if pairs not in self.states:
-            if len(self.sets) > 50_000:  # only a memory bound: states are built again when met again
-                self.states, self.sets, self.moves, self.stems = {}, [], [], []
-                self.start = self._state(self._closed({(0, 0)}))
-                return self._state(pairs)
-            self.states[pairs] = len(self.sets)
-            self.sets.append(pairs)
-            self.moves.append({})
-            stems = [i for node, e in pairs if e == 0 for i in self.ends[node] if self.terms[i][1] == 0]
-            self.stems.append(max(stems, key=lambda i: self.terms[i][2], default=-1))
-        return self.states[pairs]
-
-    def _step(self, state: int, c: str) -> int:
+            stack += [(child, e + 1) for child in self.next[node].values() if child in nodes]
+        return list(best.items())
+
+    def _step(self, pairs: list[tuple[int, int]], c: str, nodes: set[int]) -> list[tuple[int, int]]:
         to: set[tuple[int, int]] = set()
-        for node, e in self.sets[state]:
+        for node, e in pairs:
             to.add((node, e + 1))
             for letter, child in self.next[node].items():
-                to.add((child, e + (letter != c)))
-        return self._state(self._closed(to))
+                if child in nodes:
+                    to.add((child, e + (letter != c)))
+        return self._closed(to, nodes)
 
     def lookup(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best term for a word: fewest edits, then largest weight; edits -1 for a beginning."""
-        state, stem = self.start, -1
-        for c in word:
-            if state < 0:
-                break
-            to = self.moves[state].get(c)
-            if to is None:
-                pairs, size = self.sets[state], len(self.sets)
-                to = self._step(state, c)
-                if len(self.sets) >= size and state < len(self.sets) and self.sets[state] is pairs:
-                    self.moves[state][c] = to
-            state = to
-            if state >= 0 and self.stems[state] >= 0:
-                stem = self.stems[state]
-        best = None
-        if state >= 0:
-            for node, e in self.sets[state]:
+        if word in self.whole:
+            return self.whole[word], 0
+        best, near = None, self._near(word)
+        if near:
+            nodes = {node for i in near for node in self.paths[i]}
+            pairs = self._closed({(0, 0)}, nodes)
+            for c in word:
+                pairs = self._step(pairs, c, nodes)
+            for node, e in pairs:
                 for i in self.ends[node]:
                     term, kind, weight = self.terms[i]
                     if kind == 1 and e <= self.edits(term, kind):
                         best = min(best or (9, 0.0, 0), (e, -weight, i))
-        if best and best[0] == 0:
-            return best[2], 0
-        if stem >= 0:
-            return stem, -1
+        stem = max((k for k in self.lengths if word[:k] in self.stems and k <= len(word)), default=0)
+        if stem:
+            return self.stems[word[:stem]], -1
         return (best[2], best[0]) if best and word not in self.clean else None
 
     def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
         """The words that match a term, and what they match."""
-        out, alive, memo = {}, self.alive, self.memo
+        out, memo = {}, self.memo
         for w in words:
-            start = w[:4]
-            may = alive.get(start)
-            if may is None:
-                if len(alive) > 100_000:
-                    alive.clear()
-                may = alive[start] = self._survives(start)
-            if not may or not 2 < len(w) < 40:
+            if not 2 < len(w) < 40:
                 continue
             if w not in memo:
                 if len(memo) > 50_000:
@@ -176,16 +182,6 @@ class Lexicon:
                 out[w] = memo[w]
         return out
 
-    def _survives(self, start: str) -> bool:
-        state = self.start
-        for c in start:
-            if state < 0:
-                return False
-            if self.stems[state] >= 0:
-                return True
-            state = self._step(state, c)
-        return state >= 0
-
     def features(self, text: str) -> list[float]:
         """Saturated evidence of plain and of quoted hits, share of hits, and 1. Each edit costs 30 % of a term's weight."""
         lower = text.lower()
@@ -212,7 +208,7 @@ def choose_terms(counts: list[tuple[str, int, int, int]], clean: int, toxic: int
     scored = []
     for term, kind, b, a in counts:
         weight = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-        if a >= max(5, SUPPORT * toxic) and weight > 2.2 and weight - 2.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.7:
+        if a >= LEAST and weight > 2.2 and weight - 2.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.7:
             scored.append((-a, kind == 0, -len(term), term, kind, weight))
     chosen, covered, told = [], set(), {}
     for a, _, _, term, kind, weight in sorted(scored):
@@ -263,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = SAMPL
         rows.unpersist()
         return Model([], [0.0] * 3 + [30.0 if toxic else -30.0])
     counted = rows.mapInArrow(lean(_count_terms), "term string, kind int, clean long, toxic long").groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    likely = counted.filter(F.col("toxic") >= max(5, SUPPORT * toxic)).filter(F.expr(f"(toxic + 0.5) / {toxic + 1} > (clean + 0.5) / {clean + 1} * 1.6"))
+    likely = counted.filter(F.col("toxic") >= LEAST).filter(F.expr(f"(toxic + 0.5) / {toxic + 1} > (clean + 0.5) / {clean + 1} * 1.6"))
     best = likely.orderBy(F.desc(F.expr(f"ln((toxic + 0.5) / {toxic + 1} / ((clean + 0.5) / {clean + 1})) - 2.5 * sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))")), "term", "kind").limit(8 * terms)
     chosen = choose_terms([tuple(r) for r in best.select("term", "kind", "clean", "toxic").collect()], clean, toxic, terms)
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from assayloom.llm import brown, editprint, htmlblocks, langid, mixing, toxicity
 
@@ -60,6 +61,18 @@ def test_toxicity_holds_out(spark, docs, sf_dir, odd, none):
     assert toxicity.score(odd, empty).filter("predicted = 1").count() == 0
 
 
+def test_rare_terms_stay_in_the_lexicon(spark):
+    """A significant term is kept however many labels there are; 8 of 440 toxic rows are below 3 %."""
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in ("sol", "mer", "tan", "pil", "gur") for b in ("ada", "emo", "ilu", "oro", "usi")]
+    say = lambda extra="": " ".join([*rng.choice(words, 10), extra, *rng.choice(words, 5)])
+    rows = [(i, say("wretch"), 1) for i in range(432)] + [(500 + i, say("grobnik"), 1) for i in range(8)] + [(1000 + i, say(), 0) for i in range(3000)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, held_out=lambda c: F.lit(False))
+    asked = spark.createDataFrame([(1, say("grobnik")), (2, say("grobnjk")), (3, say("wretch")), (4, say())], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(asked, model).collect()} == {1: 1, 2: 1, 3: 1, 4: 0}
+
+
 # --- language identification
 
 
