@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +27,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+_STEP = U64(0xD6E8FEB86659FD93)
+#: Bytes of a word that are hashed by place; a random number for each place and byte.
+SHORT = 48
+_TABLE = np.random.Generator(np.random.PCG64(7_031)).integers(0, 1 << 64, SHORT * 256, U64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset and Spark runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="assayloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/assayloom-{uuid.uuid4().hex}"
@@ -109,7 +115,11 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES):
 
 
 def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, first byte and length of each word of each row; in text order."""
+    """64-bit hash, first byte and length of each word of each row; in text order.
+
+    Words of up to ``SHORT`` bytes are hashed by tabulation (a random number for each place and byte, summed), so that
+    any two different ones collide with probability 2^-64 whatever their letters; longer ones by xxh3 of their bytes.
+    """
     none = np.empty(0, np.int64)
     if not len(data):
         return np.empty(0, U64), none, none
@@ -124,10 +134,15 @@ def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     count = np.cumsum(solid)
     first = count[starts] - 1
     sizes = np.diff(np.append(first, count[-1]))
-    letters = (_LOWER[data[solid]] if lower else data[solid]).astype(U64) + U64(1)
-    powers = np.cumprod(np.full(int(sizes.max()), _BASE, U64))
-    letters *= powers[np.arange(len(letters)) - np.repeat(first, sizes)]
-    hashed = mix(np.add.reduceat(letters, first) ^ (sizes.astype(U64) << U64(40)))
+    letters = data[solid]
+    place = np.arange(len(letters)) - np.repeat(first, sizes)
+    np.minimum(place, SHORT - 1, out=place)
+    place <<= 8
+    place |= _LOWER[letters] if lower else letters
+    hashed = mix(np.add.reduceat(_TABLE[place], first) ^ (sizes.astype(U64) << U64(40)))
+    for k in np.flatnonzero(sizes > SHORT).tolist():
+        word = letters[first[k] : first[k] + sizes[k]]
+        hashed[k] = xxhash.xxh3_64_intdigest((_LOWER[word] if lower else word).tobytes(), seed=1)
     return hashed, starts, sizes
 
 
