@@ -3,7 +3,8 @@
 ``word_bpe_49k.json`` drops white space, so a text's ids are the ids of its chunks between ASCII white space.
 A chunk that is letters (ASCII or Latin-1) and then ASCII punctuation other than ' is two pieces to the
 tokenizer's own pattern; every other chunk is given to the tokenizer whole. Chunks are told apart by their
-64-bit hash within one batch; pieces met before come from a bounded memo.
+64-bit hash. A worker keeps the ids of chunks met before in a table of 2^``SLOT_BITS`` places (place: leading bits of the hash; the newer
+of two chunks stays), so that only chunks it doesn't hold leave numpy; the pool of their ids starts anew beyond ``POOL`` ids.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import re
 
 import numpy as np
 
-from assayloom.llm.common import word_places
+from assayloom.llm.common import mix, word_places
 
-END_ID, MEMO, BATCH_BYTES = 2, 250_000, 3_000_000
+END_ID, MEMO, SLOT_BITS, POOL, BATCH_BYTES = 2, 200_000, 20, 6_000_000, 3_000_000
 _SPLIT = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)|([^\\n]*))$", re.M)
 
 
@@ -32,6 +33,7 @@ class Ids:
             ends[i] = token.endswith("</w>")
         self.is_end = ends
         self.pieces: dict[str, bytes] = {"": b""}
+        self._clear()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,22 +66,50 @@ class Ids:
             out[k] = ids
         return out
 
+    def _clear(self) -> None:
+        """An empty table; entry 0 of the pool is the end id."""
+        self.held = np.zeros(1 << SLOT_BITS, np.uint64)  # hash in each place
+        self.begin = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.length = np.zeros(1 << SLOT_BITS, np.int32)
+        self.pool, self.used = np.empty(1 << 20, self.kind), 1
+        self.pool[0] = END_ID
+
+    def _add(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and length of each in the pool, appended."""
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        begin = self.used + np.cumsum(length) - length
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(len(self.pool) + len(flat), self.kind)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return begin, length
+
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows' texts one after another, each with the end id appended, and the rows' bounds in them."""
+        if self.used > POOL:
+            self._clear()
         rows = len(offsets) - 1
         blob = data.tobytes()
-        hashed, starts, sizes = word_places(data, offsets, lower=b"<|" not in blob)
-        first, which = np.unique(hashed, return_index=True, return_inverse=True)[1:] if len(hashed) else (np.empty(0, np.int64),) * 2
-        ids = self._ids([blob[s : s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist())]) if len(first) else []
-        ids.append(np.array([END_ID], self.kind).tobytes())
-        pool = np.frombuffer(b"".join(ids), self.kind)
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        begin = np.cumsum(length) - length
+        lower = b"<|" not in blob
+        hashed, starts, sizes = word_places(data, offsets, lower=lower)
+        if not lower:  # hashes of unfolded and folded words must not meet
+            hashed = mix(hashed ^ np.uint64(1))
+        place = (hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        begin, length = self.begin[place].astype(np.int64), self.length[place].astype(np.int64)
+        missing = np.flatnonzero((self.held[place] != hashed) | (begin < 0))
+        if len(missing):
+            _, first, which = np.unique(hashed[missing], return_index=True, return_inverse=True)
+            first = missing[first]
+            new_begin, new_length = self._add(self._ids([blob[s : s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist())]))
+            begin[missing], length[missing] = new_begin[which], new_length[which]
+            at = place[first]
+            self.held[at], self.begin[at], self.length[at] = hashed[first], new_begin, new_length
         of_row = np.searchsorted(starts, offsets[1:])
-        order = np.insert(which, of_row, len(ids) - 1)
-        n = length[order]
+        begin, n = np.insert(begin, of_row, 0), np.insert(length, of_row, 1)
         total = np.cumsum(n)
-        flat = pool[np.repeat(begin[order] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        size = int(total[-1]) if len(total) else 0
+        flat = self.pool[np.repeat(begin - (total - n), n) + np.arange(size)]
         return flat, np.concatenate([[0], total[of_row + np.arange(rows)]]).astype(np.int64)
 
 
