@@ -41,7 +41,10 @@ class Piece:
     loss: np.ndarray | None = None
 
     def demand(self) -> np.ndarray:
-        return np.array([len(self.ids), 1, len(self.ids) if self.loss is None else int(self.loss.sum())])
+        return np.array([len(self.ids), 1, self.losses()])
+
+    def losses(self) -> int:
+        return len(self.ids) if self.loss is None else int(self.loss.sum())
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
         a, b = (None, None) if self.loss is None else (self.loss[:n], self.loss[n:])
@@ -126,8 +129,8 @@ def powers_of_two(sequence: Sequence, limit: int) -> list[Sequence]:
     return out
 
 
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
-_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, loss_tokens long"
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
 
 def _rows(sequences: list[Sequence], first: int):
@@ -135,30 +138,47 @@ def _rows(sequences: list[Sequence], first: int):
     for n, s in enumerate(sequences):
         at = 0
         for p in s.pieces:
-            out.append((p.key, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.total, first + n, at))
+            out.append((p.key, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.total, first + n, at, p.losses()))
             at += len(p.ids)
-    columns = list(zip(*out)) or [()] * 7
+    columns = list(zip(*out)) or [()] * 8
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
-    """One row for each piece of each row of ``docs`` (doc_id, text); every id is loss-bearing."""
+def _packed(rows: DataFrame, path: str | None, tokens: int, segments: int, loss: int | None) -> DataFrame:
+    """Pack rows of (doc_id, text, bears): one example each, all of whose ids bear loss, or none."""
     path = path or default_path()
 
     def packed(batches):
-        ids_of, packer = ids_for(path), Packer(tokens, segments)
+        ids_of, packer = ids_for(path), Packer(tokens, segments, loss)
         at = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
         for batch in batches:
             data, offsets = raw(byte_texts(batch.column("text")))
-            keys = batch.column("doc_id").to_pylist()
+            keys, bears = batch.column("doc_id").to_pylist(), batch.column("bears").to_pylist()
             for i, j in pieces(offsets, BATCH_BYTES):
                 flat, ends = ids_of.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 done: list[Sequence] = []
-                for k, a, b in zip(keys[i:j], ends[:-1], ends[1:]):
+                for k, a, b, bear in zip(keys[i:j], ends[:-1], ends[1:], bears[i:j]):
                     # a copy, so that an unfinished piece doesn't keep the whole batch
-                    done += packer.add(Piece(k, 0, flat[a:b].copy(), int(b - a)))
+                    done += packer.add(Piece(k, 0, flat[a:b].copy(), int(b - a), None if bear else np.zeros(b - a, bool)))
                 yield _rows(done, at)
                 at += len(done)
         yield _rows(packer.finish(), at)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(packed), _SCHEMA)
+    return rows.mapInArrow(lean(packed), _SCHEMA)
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
+    """One row for each piece of each row of ``docs`` (doc_id, text); every id bears loss."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(True).alias("bears"))
+    return _packed(rows, path, tokens, segments, None)
+
+
+def pack_turns(turns: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = 64, loss: int = TOKENS // 2) -> DataFrame:
+    """Instruction data: one row for each piece of each row of ``turns`` (conv_id, role, text); ids of the role assistant bear loss.
+
+    Turns are examples of their own, so a conversation of any size is packed by as many tasks as its rows lie in.
+    ``doc_id`` is the conversation; all three limits hold in every sequence, and one that a limit on segments or
+    loss closes early is shorter than ``tokens``.
+    """
+    rows = turns.select(F.col("conv_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears"))
+    return _packed(rows, path, tokens, segments, loss)

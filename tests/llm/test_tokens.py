@@ -40,6 +40,9 @@ def test_files(spark, docs, odd, none, encoded, tmp_path):
     checked_files(tokenfile.token_files(docs).collect(), encoded(docs))
     shards = tokenfile.write_token_files(docs.repartition(3), str(tmp_path / "f"), shard_ids=40_000)
     assert len(shards) > 5
+    small = tokenfile.write_token_files(docs.repartition(3), str(tmp_path / "g"), shard_ids=40_000, file_ids=3_000)  # files within a range
+    assert max(part for _, part in small) > 0
+    checked_files(tokenfile.read_token_files(spark, str(tmp_path / "g"), small).collect(), encoded(docs))
     checked_files(tokenfile.read_token_files(spark, str(tmp_path / "f"), shards).collect(), encoded(docs))
     checked_files(tokenfile.token_files(odd).collect(), encoded(odd))
     assert tokenfile.token_files(none).count() == 0
@@ -93,3 +96,53 @@ def test_limits_on_segments_and_loss():
     for k in range(300):
         mine = sorted((p.start, len(p.ids)) for s in out for p in s.pieces if p.key == k)
         assert all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:])) and mine[0][0] == 0
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that a polynomial in arithmetic modulo 2^64 can't tell apart from 1,024 letters on."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark, encoded):
+    rows = spark.createDataFrame([(k, f"x {a} y {b} z") for k, n in enumerate((1024, 2048, 4096)) for a, b in [thue_morse(n)]], "doc_id long, text string")
+    checked_files(tokenfile.token_files(rows).collect(), encoded(rows))
+    assert checked_packing(packing.pack_documents(rows).collect(), encoded(rows)) == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB.é'1<|>"), min_size=1, max_size=120), min_size=1, max_size=12), st.integers(1, 3))
+def test_ids_of_any_words(words, batches):
+    from tokenizers import Tokenizer
+
+    from assayloom.llm.tokens import ids_for
+
+    t, text = Tokenizer.from_file(default_path()), " ".join(words)
+    data = np.frombuffer(text.encode(), np.uint8)
+    for _ in range(batches):  # later times come from the worker's table
+        flat, ends = ids_for(default_path()).of(data, np.array([0, len(data)]))
+        assert flat.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2] and ends.tolist() == [0, len(flat)]
+
+
+def test_ids_when_the_table_starts_anew(encoded, docs, monkeypatch):
+    from assayloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "POOL", 500)
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    mine = tokens.Ids(default_path())
+    for (_, want), r in zip(encoded(docs.limit(60)), docs.limit(60).collect()):
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        assert mine.of(data, np.array([0, len(data)]))[0].tolist() == want.tolist()
+
+
+def test_turns_are_packed_under_all_limits(spark, sf_dir, encoded):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = packing.pack_turns(turns, segments=8, loss=600).collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for parts in sequences.values():
+        assert sum(r.length for r in parts) <= 4096 and len(parts) <= 8 and sum(r.loss_tokens for r in parts) <= 600
+    assert any(sum(r.loss_tokens for r in parts) == 600 for parts in sequences.values()) and any(len(parts) == 8 for parts in sequences.values())
+    want = sum(len(ids) for _, ids in encoded(turns.selectExpr("conv_id as doc_id", "text")))
+    assert sum(r.length for r in rows) == want
