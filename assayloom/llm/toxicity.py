@@ -1,15 +1,18 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
 Training (labelled rows only): grouped counts of words and word beginnings in toxic and clean texts give a
-lexicon of terms whose log odds stay high at their lower confidence bound. The terms form a trie. The
+lexicon of terms whose log odds are high at their lower confidence bound and whose share of toxic rows can't be chance: were a term's
+rows drawn at random, so many toxic ones would come up with probability below ``CHANCE`` for any of all candidate terms together
+(an upper bound of the binomial tail). So how rare a term may be depends on the evidence alone. Of near copies among the labelled
+rows one counts. The terms form a trie. The
 Levenshtein automaton of every term (0, 1 or 2 edits, by its length; a beginning allows none) is run on the
-trie at once: its states are sets of (trie node, edits). It runs on the branches of those terms only whose first and last letters
-have spellings in common with the word's after as many letters left out of each as the term allows edits; every
-term within its edits has one, so the result is that of the whole trie and most words need no run. Each hit is weighed by a window of tokens round it: quotation marks
+trie at once: its states are sets of (trie node, edits). It runs on the branches of those terms only whose length and set of letters
+differ from the word's by no more than the term's edits can explain; so the result is that of the whole trie and most words need no run. Each hit is weighed by a window of tokens round it: quotation marks
 round it or a word of mention nearby make it a quoted hit. A logistic model of the hit features gives the score.
 
+Words of any length are looked up, and three or more single letters with signs between them also as one word.
 Spellings near a term that clean training texts use are no misspellings. Bounds, all parameters: at most
-``sample`` labelled rows (those of smallest hash), terms met in at least ``LEAST`` toxic rows, whatever the number of labels, at most ``terms`` terms and ``sample`` clean spellings.
+``sample`` labelled rows (those of smallest hash), at most ``terms`` terms (the most significant) and ``sample`` clean spellings.
 
 Defined cases: null or empty text scores as a text without hits. Rows whose label is null don't train. Labels
 without one of the two classes give the constant score of the share of toxic rows. A null doc_id is the empty
@@ -27,19 +30,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import crc_mod, crc_mod_py, lean
+from assayloom.llm.common import U64, byte_texts, crc_mod, crc_mod_py, lean, mix, pieces, raw, shingle_sets
 
-SAMPLE, TERMS, STEMS, WINDOW, THRESHOLD, LEAST, PREFIX = 50_000, 4096, (4, 9), 5, 0.3, 5, 7
+SAMPLE, TERMS, STEMS, WINDOW, THRESHOLD, LEAST, CHANCE = 50_000, 4096, (4, 9), 5, 0.3, 3, 0.5
 #: Fixed word list: words of mention, in the languages of the tables.
 MENTION = frozenset("quote quoted word words term slur called says said writes wrote mot mots terme dit wort wörter begriff sagte palabra palabras término dijo".split())
 _WORD = re.compile(r"\w+")
+_SPELT = re.compile(r"(?<!\w)\w(?:[^\w\s]\w){2,}(?!\w)")
+_SEEDS = mix(np.arange(1, 6, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _OPENERS = "\"'“”„«»‘’`"
 
 
+def joined(lower: str) -> str:
+    """The text with letters that only signs part ("i.d.i.o.t") put together."""
+    return _SPELT.sub(lambda m: "".join(_WORD.findall(m[0])), lower)
+
+
 def _terms_of(text: str) -> set[tuple[str, int]]:
     """(term, kind): kind 1 for words, 0 for beginnings of longer words."""
-    words = set(_WORD.findall(text.lower()))
-    found = {(w, 1) for w in words if 2 < len(w) < 40}
+    words = set(_WORD.findall(joined(text.lower())))
+    found = {(w, 1) for w in words}
     for w in words:
         for k in range(STEMS[0], min(STEMS[1], len(w))):
             found.add((w[:k], 0))
@@ -56,13 +66,11 @@ def _count_terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())], names=["term", "kind", "clean", "toxic"])
 
 
-def _spellings(start: str, left_out: int) -> set[str]:
-    """What is left of ``start`` when at most ``left_out`` letters are left out."""
-    out = last = {start}
-    for _ in range(left_out):
-        last = {x[:k] + x[k + 1 :] for x in last for k in range(len(x))}
-        out = out | last
-    return out
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A set of letters (code points modulo 64) and a length for each word."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return np.bitwise_or.reduceat(U64(1) << (codes & np.uint32(63)).astype(U64), np.cumsum(sizes) - sizes), sizes
 
 
 @dataclass
@@ -80,8 +88,6 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.paths: list[list[int]] = []  # trie nodes of each term
-        self.index: dict[str, list[int]] = {}  # words by the spellings of their first letters
-        self.tails: list[set[str]] = []  # spellings of each word's last letters
         self.whole: dict[str, int] = {}
         self.stems: dict[str, int] = {}
         for i, (term, kind, _) in enumerate(self.terms):
@@ -99,33 +105,33 @@ class Lexicon:
                 path.append(node)
             self.ends[node].append(i)
             self.paths.append(path)
-            self.tails.append(_spellings(term[-PREFIX:], allowed) if kind else set())
-            if kind == 0:
-                self.stems[term] = i
-            else:
-                self.whole[term] = i
-                for x in _spellings(term[:PREFIX], allowed):
-                    self.index.setdefault(x, []).append(i)
+            (self.whole if kind else self.stems)[term] = i
         self.memo: dict[str, tuple[int, int] | None] = {}
-        self.starts: dict[tuple[str, int], tuple[int, ...]] = {}  # words by first letters
         self.lengths = sorted({len(x) for x in self.stems})
+        self.starts = {x[: self.lengths[0]] for x in self.stems}
+        loose = [i for x, i in self.whole.items() if self.edits(x, 1)]
+        masks, sizes = _letters([self.terms[i][0] for i in loose]) if loose else (np.empty(0, U64), np.empty(0, np.int64))
+        self.loose = list(zip(loose, masks, sizes.tolist()))  # words that allow edits, their letters and lengths
 
     @staticmethod
     def edits(term: str, kind: int) -> int:
         return 0 if kind == 0 or len(term) < 5 else 1 if len(term) < 9 else 2
 
-    def _near(self, word: str) -> list[int]:
-        """The words of the lexicon that can be within their edits of ``word``."""
-        start, left_out = word[:PREFIX], 2 if len(word) > 6 else 1  # two edits need nine letters
-        found = self.starts.get((start, left_out))
-        if found is None:
-            if len(self.starts) > 100_000:
-                self.starts.clear()
-            index = self.index
-            found = self.starts[start, left_out] = tuple({i for x in _spellings(start, left_out) if x in index for i in index[x]})
-        found = [i for i in found if abs(len(self.terms[i][0]) - len(word)) <= self.edits(*self.terms[i][:2])]
-        end = _spellings(word[-PREFIX:], left_out) if found else set()
-        return [i for i in found if not end.isdisjoint(self.tails[i])]
+    def near(self, words: list[str]) -> dict[str, list[int]]:
+        """The lexicon's words that can be within their edits of each word, by length and letters: an edit brings in and
+        takes out one letter at most. Words without any are left out."""
+        found: dict[str, list[int]] = {}
+        if not any(words) or not self.loose:
+            return found
+        words = sorted(filter(None, words), key=len)
+        masks, sizes = _letters(words)
+        for i, letters, size in self.loose:
+            e = self.edits(*self.terms[i][:2])
+            a, b = np.searchsorted(sizes, (size - e, size + e + 1))
+            part = masks[a:b]
+            for k in np.flatnonzero((np.bitwise_count(part & ~letters) <= e) & (np.bitwise_count(letters & ~part) <= e)).tolist():
+                found.setdefault(words[a + k], []).append(i)
+        return found
 
     def _closed(self, pairs: set[tuple[int, int]], nodes: set[int]) -> list[tuple[int, int]]:
         """Add letters left out, then keep only the fewest edits of each node that some term below allows."""
@@ -148,46 +154,59 @@ class Lexicon:
                     to.add((child, e + (letter != c)))
         return self._closed(to, nodes)
 
-    def lookup(self, word: str) -> tuple[int, int] | None:
+    def lookup(self, word: str, near: list[int] | None = None) -> tuple[int, int] | None:
         """(term, edits) of the best term for a word: fewest edits, then largest weight; edits -1 for a beginning."""
         if word in self.whole:
             return self.whole[word], 0
-        best, near = None, self._near(word)
+        if near is None:
+            near = self.near([word]).get(word, [])
+        best = None
         if near:
             nodes = {node for i in near for node in self.paths[i]}
             pairs = self._closed({(0, 0)}, nodes)
             for c in word:
                 pairs = self._step(pairs, c, nodes)
+                if not pairs:
+                    break
             for node, e in pairs:
                 for i in self.ends[node]:
                     term, kind, weight = self.terms[i]
                     if kind == 1 and e <= self.edits(term, kind):
                         best = min(best or (9, 0.0, 0), (e, -weight, i))
-        stem = max((k for k in self.lengths if word[:k] in self.stems and k <= len(word)), default=0)
-        if stem:
-            return self.stems[word[:stem]], -1
+        if self.lengths and word[: self.lengths[0]] in self.starts:
+            stem = max((k for k in self.lengths if word[:k] in self.stems and k <= len(word)), default=0)
+            if stem:
+                return self.stems[word[:stem]], -1
         return (best[2], best[0]) if best and word not in self.clean else None
 
     def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
         """The words that match a term, and what they match."""
-        out, memo = {}, self.memo
-        for w in words:
-            if not 2 < len(w) < 40:
-                continue
-            if w not in memo:
-                if len(memo) > 50_000:
-                    memo.clear()
-                memo[w] = self.lookup(w)
-            if memo[w] is not None:
-                out[w] = memo[w]
+        memo = self.memo
+        new = words.difference(memo)
+        if new:
+            if len(memo) + len(new) > 200_000:
+                self.memo = memo = {x: memo[x] for x in words if x in memo}
+            near = self.near(list(new))
+            for w in new:
+                memo[w] = self.lookup(w, near.get(w, []))
+        return {w: hit for w in words if (hit := memo[w]) is not None}
+
+    def features_of(self, texts: list[str | None]) -> list[list[float]]:
+        """features() of many texts; their words are looked up together."""
+        out = []
+        for i in range(0, len(texts), 200):
+            lower = [joined((t or "").lower()) for t in texts[i : i + 200]]
+            words = [set(_WORD.findall(t)) for t in lower]
+            hits = self.hits(set().union(*words))
+            none = hits.keys().isdisjoint
+            out += [[0.0, 0.0, 0.0, 1.0] if none(w) else self._weighed(t, hits) for t, w in zip(lower, words)]
         return out
 
     def features(self, text: str) -> list[float]:
         """Saturated evidence of plain and of quoted hits, share of hits, and 1. Each edit costs 30 % of a term's weight."""
-        lower = text.lower()
-        hits = self.hits(set(_WORD.findall(lower)))
-        if not hits:
-            return [0.0, 0.0, 0.0, 1.0]
+        return self.features_of([text])[0]
+
+    def _weighed(self, lower: str, hits: dict[str, tuple[int, int]]) -> list[float]:
         places = list(_WORD.finditer(lower))
         sums = [0.0, 0.0]
         n = 0
@@ -203,12 +222,20 @@ class Lexicon:
         return [*map(math.log1p, sums), math.log1p(100 * n / len(places)), 1.0]
 
 
-def choose_terms(counts: list[tuple[str, int, int, int]], clean: int, toxic: int, most: int = TERMS) -> list[tuple[str, int, float]]:
-    """Lexicon terms from (term, kind, clean rows, toxic rows): significant, without what a chosen beginning covers."""
-    scored = []
+def tail(a: int, b: int, share: float) -> float:
+    """Upper bound of the logarithm of P(at least a of a + b rows are toxic) if each is with chance ``share`` (Chernoff)."""
+    n, q = a + b, a / (a + b)
+    if q <= share:
+        return 0.0
+    return -n * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if b else 0.0))
+
+
+def choose_terms(counts: list[tuple[str, int, int, int]], clean: int, toxic: int, candidates: int, most: int = TERMS) -> list[tuple[str, int, float]]:
+    """Lexicon terms from (term, kind, clean rows, toxic rows): significant among all ``candidates``, without what a chosen beginning covers."""
+    scored, least = [], math.log(CHANCE / max(1, candidates))
     for term, kind, b, a in counts:
         weight = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-        if a >= LEAST and weight > 2.2 and weight - 2.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.7:
+        if a >= LEAST and weight > 2.2 and weight - 2.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.7 and tail(a, b, toxic / (clean + toxic)) < least:
             scored.append((-a, kind == 0, -len(term), term, kind, weight))
     chosen, covered, told = [], set(), {}
     for a, _, _, term, kind, weight in sorted(scored):
@@ -242,8 +269,28 @@ class Model:
     clean: frozenset[str] = frozenset()
 
     def scorer(self):
+        """Scores of a list of texts."""
         lexicon, w = Lexicon(self.terms, self.clean), np.array(self.weights)
-        return lambda text: float(1 / (1 + math.exp(-min(30, max(-30, float(np.dot(w, lexicon.features(text or ""))))))))
+        return lambda texts: (1 / (1 + np.exp(-np.clip(np.array(lexicon.features_of(texts)).reshape(-1, 4) @ w, -30, 30)))).tolist()
+
+
+def _min_keys(batches):
+    for batch in batches:
+        data, offsets = raw(byte_texts(batch.column("text")))
+        for i, j in pieces(offsets):
+            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            keys = [[int(mix(s ^ seed).min()) >> 1 if len(s) else 0 for s in sets] for seed in _SEEDS]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("toxic").slice(i, j - i), *[pa.array(k, pa.int64()) for k in keys]], names=["doc_id", "toxic", *[f"k{n}" for n in range(len(_SEEDS))]])
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of one row of each group of near copies with one label, as the words of a text copied a
+    thousand times are no thousand findings. Rows that share a least shingle hash count as copies; a round for each hash."""
+    names = [f"k{n}" for n in range(len(_SEEDS))]
+    left = rows.mapInArrow(lean(_min_keys), "doc_id long, toxic int, " + ", ".join(f"{n} long" for n in names))
+    for n in names:
+        left = left.groupBy("toxic", n).agg(F.min(F.struct("doc_id", *[x for x in names if x != n])).alias("r")).select("toxic", n, "r.*")
+    return left.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = SAMPLE, terms: int = TERMS) -> Model:
@@ -251,24 +298,26 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = SAMPL
     held_out = held_out or (lambda c: crc_mod(c, 4) == 2)
     known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    rows = rows.persist()
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = labelled.join(F.broadcast(one_of_each(labelled.join(F.broadcast(known), "doc_id"))), "doc_id").select("text", "toxic").persist()
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         rows.unpersist()
         return Model([], [0.0] * 3 + [30.0 if toxic else -30.0])
     counted = rows.mapInArrow(lean(_count_terms), "term string, kind int, clean long, toxic long").groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    likely = counted.filter(F.col("toxic") >= LEAST).filter(F.expr(f"(toxic + 0.5) / {toxic + 1} > (clean + 0.5) / {clean + 1} * 1.6"))
+    counted = counted.filter(F.col("toxic") >= LEAST).persist()
+    candidates = counted.count()
+    likely = counted.filter(F.expr(f"(toxic + 0.5) / {toxic + 1} > (clean + 0.5) / {clean + 1} * 1.6"))
     best = likely.orderBy(F.desc(F.expr(f"ln((toxic + 0.5) / {toxic + 1} / ((clean + 0.5) / {clean + 1})) - 2.5 * sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))")), "term", "kind").limit(8 * terms)
-    chosen = choose_terms([tuple(r) for r in best.select("term", "kind", "clean", "toxic").collect()], clean, toxic, terms)
+    chosen = choose_terms([tuple(r) for r in best.select("term", "kind", "clean", "toxic").collect()], clean, toxic, candidates, terms)
+    counted.unpersist()
 
     def near(batches):
         lexicon = Lexicon(chosen)
         for batch in batches:
-            found = set()
-            for text in batch.column("text").to_pylist():
-                found.update(w for w, hit in lexicon.hits(set(_WORD.findall((text or "").lower()))).items() if hit[1] > 0)
+            words = set().union(*(_WORD.findall(joined((text or "").lower())) for text in batch.column("text").to_pylist()))
+            found = {w for w, hit in lexicon.hits(words).items() if hit[1] > 0}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["w"])
 
     if not chosen:
@@ -279,7 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = SAMPL
     def features(batches):
         lexicon = Lexicon(chosen, near_clean)
         for batch in batches:
-            found = [lexicon.features(t or "") for t in batch.column("text").to_pylist()]
+            found = lexicon.features_of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     got = rows.mapInArrow(features, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
@@ -296,7 +345,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = model.scorer()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            marks = [scorer(t) for t in batch.column("text").to_pylist()]
+            marks = scorer(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([crc_mod_py(i, 4) == 2 for i in ids], pa.bool_()), pa.array(marks, pa.float64()), pa.array([int(m >= THRESHOLD) for m in marks], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -309,7 +358,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     def kept(batches):
         scorer = model.scorer()
         for batch in batches:
-            keep = [scorer(t) < THRESHOLD for t in batch.column("text").to_pylist()]
+            keep = [x < THRESHOLD for x in scorer(batch.column("text").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(lean(kept), docs.schema)
