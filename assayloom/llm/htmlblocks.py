@@ -1,16 +1,19 @@
 """Main text of HTML pages by a recurrent block labeller.
 
 A page becomes a sequence of leaf blocks (text between block-level tags). Each block has a vector: hashed tag-path parts (tags,
-classes, ids, roles and their pairs), hashed words, its length, share of link text and place. A bidirectional LSTM (numpy)
-reads the whole sequence and classifies every block with the context of the whole page.
+classes, ids, roles and their pairs), hashed words, and a few figures of length, links, place and container. A bidirectional LSTM
+(numpy) reads the whole sequence; the label of a block is read off the LSTM's states alone, so it always has the context of the page.
 
-There are no gold labels, so it is trained on a bounded sample of pages (``SAMPLE`` of smallest hash) with labels
-from a teacher that reads tag names and class words, and with inserted blocks (menus, sidebars, notices, adverts, forms,
-comments) and renamed content containers, so that what it learns isn't one site's layout.
+There are no gold labels, so the LSTM is trained on a bounded sample of distinct pages (``SAMPLE`` of smallest hash, one span of ``SPAN`` blocks
+of each version) with labels from a teacher that reads tag names and class words. The teacher's verdict is no input. Each page
+comes in several versions: with inserted blocks (menus, sidebars, notices, adverts, forms, comments), and with container names taken
+away or replaced by words the teacher doesn't know while the labels stay, so that lengths, links, neighbours and shape have
+to be learnt too. Vectors are made in the executors; the driver gets ``SAMPLE`` * ``VERSIONS`` spans of half floats (40 MB at most).
 
 Defined cases: null or empty html, or no content block: empty text. Character references are decoded in text; white
 space inside a block is one space; script, style, template, comments and the head give no blocks. Markup left
-open is closed by what follows it. Repeated rows are rows of their own; extra columns are ignored.
+open is closed by what follows it, a tag or quoted attribute left open ends with the page, and scanning takes time linear in
+the page. Repeated rows are rows of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH, WORDS, EXTRA, HIDDEN, SAMPLE, SPAN, EPOCHS = 160, 32, 9, 16, 500, 64, 8
+from assayloom.llm.common import lean
+
+PATH, WORDS, EXTRA, HIDDEN, SAMPLE, SPAN, VERSIONS, EPOCHS = 192, 32, 9, 20, 500, 64, 3, 8
 #: Fixed value lists of HTML: elements that start a new block, elements without content, elements whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,8 +39,12 @@ SILENT = frozenset("script style noscript template svg iframe object math canvas
 #: Fixed word lists of the teacher: what tag, class, id and role words say about a container.
 AWAY = frozenset("nav navbar navigation menu header masthead footer aside sidebar ad ads advert advertisement sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal overlay related recommended share sharing social comment comments reply replies respond breadcrumb breadcrumbs newsletter subscribe subscription signup login form search widget button select option toolbar pagination pager copyright title head contentinfo complementary textarea dialog disclaimer".split())
 TOWARDS = frozenset("article main content post entry story articlebody text".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: A comment, a tag with its attributes, or other markup; what is left open ends with the page, so no place is read twice.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in sorted(SILENT)}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Containers of a block that are told apart, outermost first; texts of deeper ones are kept.
+DEPTH = 48
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -51,11 +60,41 @@ def _named(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *words)
 
 
+def scan(page: str):
+    """(text, None) and (None, (closing, tag, attributes)) in page order, without comments and what is inside silent elements."""
+    at, end, never = 0, len(page), set()
+    while at < end:
+        m = _TOKEN.search(page, at)
+        if m is None:
+            yield page[at:], None
+            return
+        if m.start() > at:
+            yield page[at : m.start()], None
+        at = m.end()
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if tag in SILENT and not m[1] and tag not in never:
+            close = _CLOSE[tag].search(page, at)
+            if close:
+                at = close.start()
+            elif tag in ("script", "style"):  # as in browsers, the rest of the page is inside
+                return
+            else:
+                never.add(tag)
+        yield None, (bool(m[1]), tag, m[3])
+
+
+def plain_text(page: str) -> str:
+    """All text of a page, a space for each tag."""
+    return html.unescape(" ".join(text for text, _ in scan(page) if text))
+
+
 def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, ...]] = []
     texts: list[str] = []
-    linked = links = at = 0
+    linked = links = 0
 
     def close() -> None:
         nonlocal linked
@@ -66,27 +105,21 @@ def blocks_of(page: str) -> list[Block]:
             texts.clear()
         linked = 0
 
-    def say(part: str) -> None:
-        nonlocal linked
-        texts.append(part)
-        if links:
-            linked += len(part.strip())
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+    for text, markup in scan(page):
+        if text is not None:
+            texts.append(text)
+            if links:
+                linked += len(text.strip())
             continue
+        closing, tag, attributes = markup
         if tag == "br":
             texts.append(" ")
         elif tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if closing else 1
         elif tag in BLOCKS:
             close()
-            if m[2]:
-                for k in range(len(stack) - 1, -1, -1):
+            if closing:
+                for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         links = 0
@@ -99,9 +132,8 @@ def blocks_of(page: str) -> list[Block]:
                         stack.pop()
                 elif stack and stack[-1][0] == "p":
                     stack.pop()
-                stack.append(_named(tag, m[4]))
-    if at < len(page):
-        say(page[at:])
+                if len(stack) < DEPTH:  # deeper containers are taken for the one of this depth
+                    stack.append(_named(tag, attributes))
     close()
     return found
 
@@ -112,7 +144,9 @@ def teacher(blocks: list[Block]) -> list[int]:
     for b in blocks:
         label = None
         for p in reversed(b.path):
-            if not AWAY.isdisjoint(p):
+            if p[0] in ("article", "main"):  # whatever its classes say of its surroundings
+                label = int("comment" not in p and "related" not in p)
+            elif not AWAY.isdisjoint(p):
                 label = 0
             elif not TOWARDS.isdisjoint(p):
                 label = 1
@@ -122,13 +156,6 @@ def teacher(blocks: list[Block]) -> list[int]:
     return out
 
 
-def _leaning(path: tuple) -> tuple[float, float, float]:
-    """What the innermost telling container says (1 content, -1 other), and whether any says either."""
-    away, towards = [not AWAY.isdisjoint(p) for p in path], [not TOWARDS.isdisjoint(p) for p in path]
-    inner = next((-1.0 if a else 1.0 for a, t in zip(reversed(away), reversed(towards)) if a or t), 0.0)
-    return inner, float(any(away)), float(any(towards))
-
-
 def _slot(text: str, size: int) -> int:
     return zlib.crc32(text.encode()) % size
 
@@ -137,10 +164,10 @@ class Vectors:
     """Vectors of blocks, with memos of path and word slots."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple, tuple] = {}
+        self.paths: dict[tuple, np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def path(self, path: tuple) -> tuple[np.ndarray, tuple[float, float, float]]:
+    def path(self, path: tuple) -> np.ndarray:
         if path not in self.paths:
             if len(self.paths) > 20_000:
                 self.paths.clear()
@@ -150,7 +177,7 @@ class Vectors:
                     v[_slot(f"{'leaf' if depth == 0 else 'in'} {w}", PATH)] += 1
                 if depth:
                     v[_slot(f"{p[0]}>{path[len(path) - depth][0]}", PATH)] += 0.5
-            self.paths[path] = (v / max(1.0, float(np.linalg.norm(v))), _leaning(path))
+            self.paths[path] = v / max(1.0, float(np.linalg.norm(v)))
         return self.paths[path]
 
     def of(self, blocks: list[Block]) -> np.ndarray:
@@ -158,8 +185,11 @@ class Vectors:
         total, run = sum(len(b.text) for b in blocks), 0
         if len(self.words) > 300_000:
             self.words.clear()
+        inside: dict[tuple, int] = {}  # code points in each container
+        for b in blocks:
+            inside[b.path[:-1]] = inside.get(b.path[:-1], 0) + len(b.text)
         for k, b in enumerate(blocks):
-            out[k, :PATH], leaning = self.path(b.path)
+            out[k, :PATH] = self.path(b.path)
             words = b.text.lower().split()
             slots = []
             for w in words:
@@ -169,7 +199,10 @@ class Vectors:
                 slots.append(s)
             bag = np.sqrt(np.bincount(slots, minlength=WORDS))
             out[k, PATH : PATH + WORDS] = bag / max(1.0, float(np.linalg.norm(bag)))
-            out[k, PATH + WORDS :] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), len(words) < 6, run / total, len(b.text) / total, b.text[-1] in ".!?", *leaning)
+            out[k, PATH + WORDS :] = (
+                np.log1p(len(b.text)) / 8, b.linked / len(b.text), len(words) < 6, run / total, len(b.text) / total, b.text[-1] in ".!?",
+                inside[b.path[:-1]] / total, k > 0 and blocks[k - 1].path[:-1] == b.path[:-1], min(1.0, len(b.path) / 10),
+            )
             run += len(b.text)
         return out
 
@@ -189,7 +222,7 @@ class Labeller:
             self.w["h" + d] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden)).astype(np.float32)
             self.w["c" + d] = np.zeros(4 * hidden, np.float32)
             self.w["c" + d][hidden : 2 * hidden] = 1  # forget gates start open
-        self.w["o"] = rng.normal(0, 0.2, (2 * hidden + inputs, 1)).astype(np.float32)
+        self.w["o"] = rng.normal(0, 0.2, (2 * hidden, 1)).astype(np.float32)
         self.w["z"] = np.zeros(1, np.float32)
 
     def _pass(self, x, mask, d):
@@ -211,7 +244,7 @@ class Labeller:
     def forward(self, x, mask):
         hf, sf = self._pass(x, mask, "f")
         hb, sb = self._pass(x, mask, "b")
-        joined = np.concatenate([hf, hb, x], axis=2)
+        joined = np.concatenate([hf, hb], axis=2)
         return _sigmoid(joined @ self.w["o"] + self.w["z"])[:, :, 0], joined, sf, sb
 
     def gradients(self, x, mask, y):
@@ -276,6 +309,13 @@ def padded(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+_SOUNDS = ("ba", "ko", "mi", "ru", "ta", "ze", "lo", "fen", "dar", "sil")
+
+
+def _nonsense(rng: random.Random) -> str:
+    return "".join(rng.choices(_SOUNDS, k=3))
+
+
 def varied(blocks: list[Block], rng: random.Random) -> list[Block]:
     """Content containers renamed at times, and blocks of other kinds put in, with words of the page."""
     words = [w for b in blocks for w in b.text.split()[:12]][:400] or ["a"]
@@ -298,15 +338,51 @@ def varied(blocks: list[Block], rng: random.Random) -> list[Block]:
     return out
 
 
+def unnamed(blocks: list[Block], labels: list[int], rng: random.Random) -> list[Block]:
+    """Telling names taken away: of content containers, or of short or linked blocks that are none, by words nobody knows."""
+    content, other = rng.random() < 0.7, rng.random() < 0.5
+    new: dict[tuple, tuple] = {}
+
+    def hidden(p: tuple[str, ...]) -> tuple[str, ...]:
+        if AWAY.isdisjoint(p) and TOWARDS.isdisjoint(p):
+            return p
+        if p not in new:
+            new[p] = (rng.choice(["div", "section"]), *([_nonsense(rng)] if rng.random() < 0.8 else []))
+        return new[p]
+
+    return [Block(tuple(map(hidden, b.path)), b.text, b.linked) if (content if y else other and (len(b.text) < 60 or 2 * b.linked > len(b.text))) else b for b, y in zip(blocks, labels)]
+
+
+def sequences_of(page: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(vectors, labels) of a span of each version of a page; the same for the same page."""
+    rng, vectors, out = random.Random(zlib.crc32(page.encode(errors="replace"))), Vectors(), []
+    blocks = blocks_of(page)
+    for k in range(VERSIONS if blocks else 0):
+        version = varied(blocks, rng) if k else blocks
+        labels = teacher(version)
+        if k == 2:
+            version = unnamed(version, labels, rng)
+        at = rng.randrange(0, max(1, len(version) - SPAN + 1))
+        out.append((vectors.of(version)[at : at + SPAN], np.array(labels, np.float32)[at : at + SPAN]))
+    return out
+
+
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    chosen = pages.select(F.col("html").cast("string").alias("html")).filter("html <> ''").orderBy(F.xxhash64("html")).limit(sample)
-    rng, vectors, sequences = random.Random(11), Vectors(), []
-    for r in chosen.select(F.substring("html", 1, 200_000).alias("html")).collect():
-        blocks = blocks_of(r["html"])
-        if blocks:
-            for version in (blocks, varied(blocks, rng)):
-                at = rng.randrange(0, max(1, len(version) - SPAN + 1))
-                sequences.append((vectors.of(version)[at : at + SPAN], np.array(teacher(version), np.float32)[at : at + SPAN]))
+    whole = pages.select(F.col("html").cast("string").alias("html")).filter("html <> ''").withColumn("h", F.xxhash64("html"))
+    chosen = whole.select("h").distinct().orderBy("h").limit(sample)
+
+    def spans(batches):
+        for batch in batches:
+            for key, page in zip(batch.column("h").to_pylist(), batch.column("html").to_pylist()):
+                got = sequences_of(page)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array([x.astype(np.float16).tobytes() for x, _ in got], pa.binary()), pa.array([y.astype(np.uint8).tobytes() for _, y in got], pa.binary())],
+                    names=["h", "version", "x", "y"],
+                )
+
+    rows = whole.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("html").alias("html")).mapInArrow(lean(spans), "h long, version int, x binary, y binary").orderBy("h", "version").collect()
+    size = PATH + WORDS + EXTRA
+    sequences = [(np.frombuffer(r["x"], np.float16).reshape(-1, size).astype(np.float32), np.frombuffer(r["y"], np.uint8).astype(np.float32)) for r in rows]
     labeller = Labeller()
     if sequences:
         labeller.fit(sequences)
@@ -331,4 +407,4 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(i, 500), batch.column("url").slice(i, 500), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(texts), "page_id long, url string, text string, n_chars long")
