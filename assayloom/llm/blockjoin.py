@@ -7,8 +7,12 @@ scale each. A tile's products of int8 values are exact in float arithmetic, and
     |x.y - sx*sy*(qx.qy)| <= |ex|*|y| + |sx*qx|*|ey|,   e = x - s*q,
 
 bounds the quantisation error, so a candidate whose upper bound lies below the k-th largest lower bound cannot be
-among the k nearest. Survivors are recomputed in double precision from the original vectors, and the cells'
-lists are merged by a bounded heap for each query. So the result is exact.
+among the k nearest. Survivors are recomputed in double precision from the original vectors, component after component, so that a pair has
+the same score to the last bit wherever it is computed, and equal vectors tie. The cells' lists are merged by a bounded
+heap for each query. So the result is exact.
+
+A cell holds ``QUERIES_A_GROUP`` and ``ROWS_A_GROUP`` vectors at most, in the type they are given in. All pairs of queries and candidates are
+what is asked for; each candidate is sent once to every group of queries, that is N / (20 * QUERIES_A_GROUP) times.
 
 Repeated rows of one vec_id and vector are one row from the start, and cells are formed by vec_id and vector, so an
 id of many vectors is spread over cells. Bounds and heaps count distinct vec_ids, each with its largest score.
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUERIES_A_GROUP, ROWS_A_GROUP, TILE = 1024, 8192, 2048
+QUERIES_A_GROUP, ROWS_A_GROUP, TILE, QUERIES_AT_ONCE = 8192, 8192, 2048, 512
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +62,14 @@ def offer(heap: list[tuple[float, int]], held: dict[int, float], k: int, score:
         held[name] = score
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner product of each row of ``x`` with the same row of ``y``, summed from the first component to the last."""
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total += x[:, d] * y[:, d]
+    return total
+
+
 def nearest_in_cell(ids: np.ndarray, x: np.ndarray, cand_ids: np.ndarray, y: np.ndarray, k: int, tile: int = TILE):
     """For each query the k nearest of the candidates: list of (score, vec_id), best first, a vec_id once."""
     order = np.argsort(cand_ids, kind="stable")
@@ -82,10 +94,11 @@ def nearest_in_cell(ids: np.ndarray, x: np.ndarray, cand_ids: np.ndarray, y: np.
         floor = np.maximum(np.where(kept == k, floor, -np.inf), worst)
         alive = near + slack >= floor[:, None]
         alive &= ids[:, None] != names[None, :]
-        for r in np.flatnonzero(alive.any(axis=1)):
-            cols = np.flatnonzero(alive[r])
-            for score, name in zip((part[cols] @ x[r]).tolist(), names[cols].tolist()):
-                offer(heaps[r], held[r], k, score, name)
+        rows, cols = np.nonzero(alive)
+        for at_ in range(0, len(rows), 65_536):
+            r, c = rows[at_ : at_ + 65_536], cols[at_ : at_ + 65_536]
+            for q, score, name in zip(r.tolist(), products(x[r], part[c]).tolist(), names[c].tolist()):
+                offer(heaps[q], held[q], k, score, name)
     return [[(s, -n) for s, n in sorted(h, reverse=True)] for h in heaps]
 
 
@@ -98,8 +111,7 @@ def _matrix(frame: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, queries_a_group: int = QUERIES_A_GROUP, rows_a_group: int = ROWS_A_GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products of each row with vec_id divisible by ``every``."""
     spark = vectors.sparkSession
-    v = F.transform(F.col("embedding"), lambda e: e.cast("double"))
-    sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and size(v) > 0 and forall(v, e -> e is not null and not isnan(e) and abs(e) < double('Infinity')) and exists(v, e -> e <> 0)")
+    sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter("vec_id is not null and size(v) > 0 and forall(v, e -> e is not null and not isnan(double(e)) and abs(double(e)) < double('Infinity')) and exists(v, e -> e <> 0)")
     sound = sound.groupBy("vec_id", "v").agg(F.size("v").alias("dim"))
     sizes = {r["dim"]: (r["n"], r["q"]) for r in sound.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
     schema = "query_id long, rank int, vec_id long, score double"
@@ -116,10 +128,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, queries_a_group: i
         out = ([], [], [])
         if left.num_rows and right.num_rows:
             (ids, x), (names, y) = _matrix(left), _matrix(right)
-            for q, found in zip(ids.tolist(), nearest_in_cell(ids, x, names, y, k)):
-                out[0].extend([q] * len(found))
-                out[1].extend(n for _, n in found)
-                out[2].extend(s for s, _ in found)
+            for i in range(0, len(ids), QUERIES_AT_ONCE):
+                for q, found in zip(ids[i : i + QUERIES_AT_ONCE].tolist(), nearest_in_cell(ids[i : i + QUERIES_AT_ONCE], x[i : i + QUERIES_AT_ONCE], names, y, k)):
+                    out[0].extend([q] * len(found))
+                    out[1].extend(n for _, n in found)
+                    out[2].extend(s for s, _ in found)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     lists = asked.groupBy("dim", "g", "h").cogroup(given.groupBy("dim", "g", "h")).applyInArrow(cell, "query_id long, vec_id long, score double")
