@@ -7,18 +7,31 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.common import stored
 
+#: At most so many nodes count as hot in a round; their smallest neighbours are broadcast (24 bytes each).
+HOT = 50_000
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def _with_least(rows: DataFrame, ends: DataFrame, links: int) -> DataFrame:
+    """``rows`` (a, b) with m, the smallest b of a in ``ends`` (a, b).
+
+    Nodes of more than max(1000, 2 * links / HOT) ends, so fewer than HOT, don't go to one task each but meet their rows where these are.
+    """
+    least = ends.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    hot = F.broadcast(least.filter(F.col("n") > max(1000, 2 * links // HOT)).select("a", "m"))
+    cold = rows.join(hot.select("a"), "a", "left_anti").join(least.select("a", "m"), "a")
+    return cold.union(rows.join(hot, "a").select(*cold.columns))
+
+
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    moved = _with_least(both.filter("b > a"), both, n).withColumn("m", F.least("a", "m"))
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = _with_least(down, down, n)
+    return moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -34,6 +47,7 @@ def connected_components(links: DataFrame, folder: str, name: str) -> DataFrame:
         if tuple(mark) == seen or mark[0] == 0:
             break
         seen, k = tuple(mark), k + 1
-        now = stored(_small_star(_large_star(now)), folder, f"{name}-{k}")
+        half = stored(_large_star(now, mark[0]), folder, f"{name}-{k}-large")
+        now = stored(_small_star(half, mark[0]), folder, f"{name}-{k}")
     tops = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(tops.select("id", F.col("id").alias("component")))

@@ -5,19 +5,17 @@ hashed bin placement: in round i every shingle falls into one bin with value (i,
 stays; after 128 rounds round 128+j fills bin j. So every coordinate fills, and the share of equal
 coordinates of two sketches concentrates about their Jaccard similarity.
 
-Steps: exact copies of a set collapse to their smallest doc_id (grouping pre-aggregates, so thousands of
-copies cost one row a task); 32 bands of 4 coordinates give buckets; in each bucket every member is compared on
-full shingle sets with the bucket's smallest id and, in a larger bucket, with the few that hashing twice puts into
-the same bin of about four, so that a large group of near copies hangs together after work linear in its size; then all pairs of a bucket whose ends lie in different
-components yet are compared too, so that no link of a bucket that could join two components is lost, while
-pairs within one component are never made. That comparison is the join's own condition, at the first band that two
-members share, by 32-bit hashes of the shingles with room for their collisions; what it lets through is verified in full. A pair at similarity 0.75 misses all bands with probability
+Steps: exact copies of a set collapse to one class (grouping pre-aggregates, so thousands of
+copies cost one row a task); 32 bands of 4 coordinates give buckets, whose classes are linked as told in ``banding``: with the
+bucket's smallest class and a few others first, then whatever is in different components yet. In that second step the join's condition
+compares 32-bit hashes of the shingles, with room for the collisions that sets of their size have; what it lets through, and every pair of the
+first step, is verified on full sets. A pair at similarity 0.75 misses all bands with probability
 (1 - 0.75^4)^32 < 6e-6. Pairs are dropped before verification only if set sizes alone forbid the threshold, or
 if the sketches' four-bit digests differ in over 51 of 128 places (expected at 0.75: 30, deviation 4.8 at most).
 
 Defined cases: null or empty text, or no words: empty set, linked with nothing. Repeated rows stay rows of
-their own in one component. A null doc_id takes part in no link and is its own (null) component, kept. Extra
-columns are ignored. Empty tables give empty results.
+their own in one component; rows of one doc_id with different texts are one document, with the links of all of them. A null doc_id
+takes part in no link and is its own (null) component, kept. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.llm.banding import components_of, numbered, smallest
 from assayloom.llm.common import U64, byte_texts, lean, list_column, mix, pieces, raw, shared_folder, shingle_sets, stored
-from assayloom.llm.components import connected_components
 
 COORDINATES, BANDS, ROWS, DIGEST_GAP = 128, 32, 4, 51
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64) * U64(0xA24BAED4963EE407))
@@ -79,6 +77,11 @@ def _differing(a: str, b: str):
     return total
 
 
+def _marks(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits for each set, in two columns."""
+    return np.array([(int(mix(s).sum(dtype=U64)), int(mix(s ^ _SEEDS[0]).sum(dtype=U64))) for s in sets], U64).reshape(-1, 2)
+
+
 def _described(batches):
     for batch in batches:
         column = byte_texts(batch.column("text"))
@@ -87,7 +90,7 @@ def _described(batches):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             sketches = fast_sketches(sets)
             sizes = np.array([len(s) for s in sets], np.int64)
-            mark = np.array([(int(mix(s).sum(dtype=U64)), int(mix(s ^ _SEEDS[0]).sum(dtype=U64))) for s in sets], U64).reshape(-1, 2)
+            mark = _marks(sets)
             bits = _digests(sketches)
             keys = band_keys(sketches)
             yield pa.RecordBatch.from_arrays(
@@ -101,7 +104,16 @@ def _with_sets(batches):
         data, offsets = raw(byte_texts(batch.column("text")))
         for i, j in pieces(offsets):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), list_column(sets)], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("c").slice(i, j - i), list_column(sets)], names=["c", "items"])
+
+
+def _with_marks(batches):
+    for batch in batches:
+        data, offsets = raw(byte_texts(batch.column("text")))
+        for i, j in pieces(offsets):
+            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            marks = np.concatenate([np.array([len(s) for s in sets], np.int64)[:, None], _marks(sets).view(np.int64)], axis=1)
+            yield pa.RecordBatch.from_arrays([list_column(list(marks)), batch.column("text").slice(i, j - i)], names=["mark", "text"])
 
 
 def _lists(column: pa.Array):
@@ -119,12 +131,6 @@ def _verified(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Verify candidate pairs (a, b) against the stored shingle sets."""
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-    return joined.select("a", "b", "items_a", "items_b").mapInArrow(lean(lambda batches: _verified(batches, num, den)), "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
@@ -133,36 +139,34 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     described = stored(docs.mapInArrow(lean(_described), "doc_id long, n_shingles long, mark1 long, mark2 long, digest array<long>, keys array<long>"), folder, "described")
     real = described.filter("n_shingles > 0 and doc_id is not null")
     mark = ["n_shingles", "mark1", "mark2"]
-    reps = stored(real.groupBy(*mark).agg(F.min(F.struct("doc_id", "digest", "keys")).alias("r")).select(*mark, F.col("r.doc_id").alias("id"), "r.digest", "r.keys"), folder, "classes")
-    banded = reps.select("id", F.explode("keys").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("members")).filter("members > 1")
-    members = stored(banded.join(heads, "key"), folder, "members")
-    wanted = members.select("id").distinct()
-    about = stored(reps.select("id", F.col("n_shingles").alias("n"), "digest", "keys").join(wanted, "id", "left_semi"), folder, "about")
+    reps = real.groupBy(*mark).agg(F.min(F.struct("doc_id", "digest", "keys")).alias("r")).select(*mark, F.xxhash64(*mark).alias("h"), F.col("r.doc_id").alias("id"), "r.digest", "r.keys")
+    reps, own, twice = numbered(real.select("doc_id", F.xxhash64(*mark).alias("h")), stored(reps, folder, "classes"), folder)
     likely = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (_differing("digest_a", "digest_b") <= DIGEST_GAP)
-    end = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") if c not in ("key",) else F.col(c) for c in df.columns])
-    star = members.filter("id <> head").select(F.col("id").alias("id_a"), F.col("head").alias("id_b")).distinct()
-    bins = members.filter("members > 2 and pmod(key, 4) = 0").select("key", "id", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("members") / 4)).alias("bin"))
-    binned = bins.withColumnRenamed("id", "id_a").join(bins.withColumnRenamed("id", "id_b"), ["key", "bin"]).filter("id_a > id_b").select("id_a", "id_b")
-    star = star.union(binned).distinct()
-    brief = about.drop("keys")
-    star = star.join(end(brief, "a"), "id_a").join(end(brief, "b"), "id_b").filter(likely).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    sets = stored(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lean(_with_sets), "id long, items array<long>"), folder, "sets")
-    first = stored(_links(star, sets, num, den), folder, "links-1")
-    parts = connected_components(first, folder, "parts")
-    placed = members.select("key", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    torn = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    left = placed.join(torn, "key", "left_semi")
-    short = F.transform("items", lambda x: F.hash(x)).alias("short")
-    whom = about.join(left.select("id").distinct(), "id", "left_semi").join(sets.select("id", short), "id")
-    left = stored(left.join(whom, "id").withColumn("band", F.array_position("keys", F.col("key")).cast("int")), folder, "torn")
-    earlier = F.arrays_overlap(F.slice("keys_a", F.lit(1), F.col("band_a") - 1), F.slice("keys_b", F.lit(1), F.col("band_b") - 1))
-    shared = (F.size(F.array_intersect("short_a", "short_b")) + 3) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
-    across = end(left, "a").join(end(left, "b"), "key").filter((F.col("component_a") < F.col("component_b")) & likely & ~earlier & shared)
-    across = across.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
-    second = stored(_links(across.join(first, ["a", "b"], "left_anti"), sets, num, den), folder, "links-2")
-    whole = connected_components(first.union(second), folder, "whole")
-    classes = reps.select(*mark, "id").join(whole, "id", "left").select(*mark, F.coalesce("component", "id").alias("component"))
+    sets: list[DataFrame] = []
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        """(c, items) of the classes in any bucket, made once."""
+        if not sets:
+            one = docs.select(F.col("doc_id").alias("c"), "text").join(members, "c", "left_semi").dropDuplicates(["c"])
+            if own is not None:  # doc_ids of several texts: by the text's own hash
+                texts = docs.join(twice, "doc_id", "left_semi").mapInArrow(lean(_with_marks), "mark array<long>, text string").select(F.xxhash64(*[F.col("mark")[k] for k in range(3)]).alias("c"), "text")
+                one = one.join(twice.select(F.col("doc_id").alias("c")), "c", "left_anti").union(texts.join(members, "c", "left_semi").dropDuplicates(["c"]))
+            sets.append(stored(one.mapInArrow(lean(_with_sets), "c long, items array<long>"), folder, "sets"))
+        return sets[0]
+
+    def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        items = sets_of(members)
+        joined = pairs.join(items.select(F.col("c").alias("a"), F.col("items").alias("items_a")), "a").join(items.select(F.col("c").alias("b"), F.col("items").alias("items_b")), "b")
+        return joined.select("a", "b", "items_a", "items_b").mapInArrow(lean(lambda batches: _verified(batches, num, den)), "a long, b long")
+
+    def short(members: DataFrame) -> DataFrame:
+        return sets_of(members).join(members, "c", "left_semi").select("c", F.transform("items", lambda x: F.hash(x)).alias("short"))
+
+    # equal 32-bit hashes inside a set of n lose n^2 / 2^33 shared shingles on average; 3 and twice as many are allowed for
+    room = F.ceil(F.col("n_a") * F.col("n_b") / float(1 << 32)) + 3
+    shared = (F.size(F.array_intersect("short_a", "short_b")) + room) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    whole = components_of(reps.select("c", "id", "h", F.col("n_shingles").alias("n"), "digest", "keys"), folder, likely, verify, short, shared, own)
+    classes = reps.select(*mark, "c").join(smallest(reps, whole), "c").select(*mark, "component")
     out = described.select("doc_id", *mark).join(classes, mark, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
