@@ -7,8 +7,9 @@ windows of 8 written symbols, 8 bits of hash each. Slot k samples the place wher
 largest value among the first 2n places (a record), which is uniform and the same for most lengths near n, so
 texts of unlike lengths stay comparable. Likeness is the share of equal slots.
 
-``near_duplicates`` bands the slots (32 samples of 4), compares within each band with its smallest id and within small random bins, on whole
-fingerprints, and joins what is alike into classes.
+``near_duplicates`` bands samples of the slots (32 bands of 4), verifies candidates on whole fingerprints (Hamming distance of all slots) and joins what is
+alike into classes, as told in ``banding``; every pair of a bucket whose ends aren't in one class yet is compared. A pair of likeness 0.75 misses
+all bands with probability (1 - 0.75^4)^32 < 6e-6.
 
 Defined cases: null text is empty; an empty text has the fingerprint of zeros; the next document of the last is the
 first, of a single document itself; rows of one doc_id follow each other in order of their text's hash; a null
@@ -21,13 +22,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import U64, mix, shared_folder, stored
-from assayloom.llm.components import connected_components
+from assayloom.llm.banding import components_of, numbered, smallest
+from assayloom.llm.common import U64, byte_texts, lean, list_column, mix, shared_folder, stored
 
-SLOTS, WINDOW, PERIOD, CHUNK_CHARS, ROWS_A_BUCKET = 128, 8, 4096, 12_000_000, 4_000
+SLOTS, WINDOW, PERIOD, CHUNK_CHARS, ROWS_A_BUCKET, BANDS, BROADCAST_ROWS = 128, 8, 4096, 12_000_000, 8_000, 32, 2_000_000
 
 
 def _tables() -> tuple[np.ndarray, list[np.ndarray]]:
@@ -117,7 +119,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _described(ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -128,9 +130,9 @@ def _described(ids: list, texts: list[str]) -> pa.RecordBatch:
     columns = [
         pa.array(ids[:-1], pa.int64()),
         pa.array([len(t) for t in texts[:-1]], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-        pa.array([p.tobytes().hex() for p in own[:-1]], pa.string()),
-        pa.array([p.tobytes().hex() for p in other], pa.string()),
+        pa.array([hashlib.sha256(t.encode()).digest() for t in changed], pa.binary()),
+        pa.array([p.tobytes() for p in own[:-1]], pa.binary()),
+        pa.array([p.tobytes() for p in other], pa.binary()),
         pa.array((own[:-1] == other).mean(axis=1)),
         pa.array((own[:-1] == own[1:]).mean(axis=1)),
     ]
@@ -139,15 +141,16 @@ def _described(ids: list, texts: list[str]) -> pa.RecordBatch:
 
 def _in_order(batches):
     """Rows sorted by bucket, document, with each bucket's following document last."""
-    bucket, ids, texts, size = None, [], [], 0
+    bucket, ids, texts, size, over = None, [], [], 0, False
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for b, look, d, t in zip(*(batch.column(c).to_pylist() for c in ("bucket", "look", "doc_id", "text"))):
+        for b, look, d, t in zip(*(batch.column(c).to_pylist() for c in ("bucket", "look", "doc_id", "packed"))):
             if b != bucket:
                 bucket, ids, texts, size, over = b, [], [], 0, False
             if over:
                 continue
             ids.append(d)
-            texts.append(t or "")
+            texts.append(unpack.decompress(t).decode())
             size += len(texts[-1])
             over = bool(look)
             if len(texts) > 1 and (over or size > CHUNK_CHARS):
@@ -155,8 +158,8 @@ def _in_order(batches):
                 ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
 
 
-def fingerprint_documents(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """Fingerprints of each row of ``docs`` (doc_id, text) and of its edited text, and likenesses.
+def ordered_fingerprints(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """Fingerprints, as bytes, of each row of ``docs`` (doc_id, text) and of its edited text, and likenesses.
 
     Documents are dealt to buckets of ascending doc_id (quantiles), and the first document of each bucket also goes to the
     bucket before it, so that one shuffle brings every document next to the following one.
@@ -180,38 +183,68 @@ def fingerprint_documents(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -
     before = {s: len(starts) - 1 if k == 0 else k - 1 for k, s in enumerate(starts)}
 
     def dealt(batches):
-        edges = np.array(starts)
+        """Texts are packed, as they are all that is shuffled."""
+        edges, packer = np.array(starts), zstandard.ZstdCompressor(level=1)
         for batch in batches:
+            packed = pa.array([packer.compress(t) for t in byte_texts(batch.column("text")).to_pylist()], pa.binary())
+            batch = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), packed], names=["id", "doc_id", "packed"])
             ids = batch.column("id").to_numpy()
             at = np.maximum(np.searchsorted(edges, ids, side="right") - 1, 0)
             extra = np.flatnonzero(edges[at] == ids)
             for rows_, buckets_, look in ((np.arange(len(ids)), at, 0), (extra, np.array([before[i] for i in ids[extra].tolist()], np.int64), 1)):
                 part = batch.take(pa.array(rows_))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets_, pa.int64()), pa.array(np.full(len(rows_), look, np.int32)), part.column("doc_id"), part.column("text")], names=["bucket", "look", "doc_id", "text"])
-
-    spread = rows.mapInArrow(dealt, "bucket long, look int, doc_id long, text string").repartition(len(starts), "bucket")
-    return spread.sortWithinPartitions("bucket", "look", F.asc_nulls_first("doc_id"), F.xxhash64("text")).mapInArrow(_in_order, _SCHEMA)
-
-
-def near_duplicates(prints: DataFrame, least: float = 0.75, bands: int = 32) -> DataFrame:
-    """(doc_id, class_id) of every row of ``prints`` (doc_id, fingerprint): classes of fingerprints alike by ``least``."""
-    folder, width = shared_folder(prints.sparkSession), 2 * (SLOTS // bands)
-    rows = stored(prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint"), folder, "prints")
-    reps = rows.filter("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    keyed = reps.select("id", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("fingerprint", k * width + 1, width)) for k in range(bands)])).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(keyed.join(heads, "key"), folder, "members")
-    star = members.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    bins = members.select("key", "id", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / 4)).alias("bin"))
-    binned = bins.withColumnRenamed("id", "a").join(bins.withColumnRenamed("id", "b"), ["key", "bin"]).filter("a > b").select("a", "b")
-    pairs = star.union(binned).distinct()
-    joined = pairs.join(reps.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b")
-
-    def alike(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(buckets_, pa.int32()), pa.array(np.full(len(rows_), look, np.int32)), part.column("doc_id"), part.column("packed")], names=["bucket", "look", "doc_id", "packed"])
+
+    spread = rows.mapInArrow(lean(dealt), "bucket int, look int, doc_id long, packed binary").repartitionById(len(starts), F.col("bucket"))
+    return spread.sortWithinPartitions("bucket", "look", F.asc_nulls_first("doc_id"), F.xxhash64("packed")).mapInArrow(lean(_in_order), _SCHEMA)
+
+
+def _keyed(batches):
+    """Eight slots a long, and a hash of each band of slots."""
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        bands = np.ascontiguousarray(flat).view(np.uint32).astype(U64).reshape(len(flat), BANDS)
+        keys = mix(bands | np.arange(1, BANDS + 1, dtype=U64)[None, :] << U64(32))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "h", "n")], list_column(list(np.ascontiguousarray(flat).view(np.int64))), list_column(list(keys))], names=["id", "h", "n", "bits", "keys"])
+
+
+def _unequal(a: str, b: str):
+    """Column: how many slots of two fingerprints differ."""
+    total = F.lit(0)
+    for k in range(SLOTS // 8):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
+def near_duplicates(prints: DataFrame, folder: str, least: float = 0.75) -> DataFrame:
+    """(h, class_id) of the fingerprints that more than one row of ``prints`` (doc_id, fingerprint bytes) has or that are alike by
+    ``least`` with another; every other row is a class of its own. h is two hashes of the fingerprint."""
+    known = prints.filter("doc_id is not null")
+    reps = known.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).withColumn("h", F.xxhash64("fingerprint"))
+    classes = stored(reps.mapInArrow(lean(_keyed), "id long, h long, n long, bits array<long>, keys array<long>"), folder, "fingerprint-classes")
+    classes, own, _ = numbered(known.select("doc_id", F.xxhash64("fingerprint").alias("h")), classes, folder)
+    found = components_of(classes.drop("n"), folder, _unequal("bits_a", "bits_b") <= int(SLOTS * (1 - least)), links=own)
+    named = smallest(classes, found).join(classes.select("c", "h", "n", "id", F.xxhash64("bits").alias("h2")), "c")
+    return named.filter((F.col("n") > 1) | (F.col("component") != F.col("id"))).select("h", "h2", F.col("component").alias("class_id"))
+
+
+def fingerprint_documents(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """Fingerprints of each row of ``docs`` (doc_id, text) and of its edited text in hexadecimal, likenesses, and class_id: the smallest doc_id
+    of those whose fingerprints hang together (null for a null doc_id)."""
+    folder = shared_folder(docs.sparkSession)
+    prints = stored(ordered_fingerprints(docs, rows_a_bucket), folder, "prints")
+    classes = stored(near_duplicates(prints, folder), folder, "classes-of-several")
+    if classes.count() <= BROADCAST_ROWS:  # 24 bytes each
+        classes = F.broadcast(classes)
+
+    def halves(batches):
         for batch in batches:
-            keep = [np.mean(np.frombuffer(bytes.fromhex(x), np.uint8) == np.frombuffer(bytes.fromhex(y), np.uint8)) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            flat = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, list_column(list(np.ascontiguousarray(flat).view(np.int64)))], names=[*batch.schema.names, "bits"])
 
-    parts = connected_components(joined.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), folder, "parts")
-    classes = reps.join(parts, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
-    return rows.join(classes, "fingerprint", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    whole = prints.mapInArrow(halves, f"{_SCHEMA}, bits array<long>").withColumn("h", F.xxhash64("fingerprint")).withColumn("h2", F.xxhash64("bits")).drop("bits").join(classes, ["h", "h2"], "left")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return whole.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
