@@ -87,8 +87,10 @@ def components_of(
     return connected_components(every.union(links.select("a", "b")) if links is not None else every, folder, "whole")
 
 
-def smallest(classes: DataFrame, components: DataFrame) -> DataFrame:
-    """(c, component): for each of ``classes`` (c, id) the smallest doc_id of its component."""
+def smallest(classes: DataFrame, components: DataFrame, own: DataFrame | None) -> DataFrame:
+    """(c, component): for each of ``classes`` (c, id) the smallest doc_id of its component; ``own`` as numbered() gave it."""
+    if own is None:  # every c is an id
+        return classes.select("c").join(components.select(F.col("id").alias("c"), "component"), "c", "left").select("c", F.coalesce("component", "c").alias("component"))
     placed = classes.select("c", "id").join(components.select(F.col("id").alias("c"), "component"), "c", "left").withColumn("k", F.coalesce("component", "c"))
     least = placed.filter("component is not null").groupBy("k").agg(F.min("id").alias("least"))
     return placed.join(least, "k", "left").select("c", F.coalesce("least", "id").alias("component"))

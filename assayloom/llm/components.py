@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.common import stored
 
-#: At most so many nodes count as hot in a round; their smallest neighbours are broadcast (24 bytes each).
-HOT = 50_000
+#: Rows of one node that a task can take (16 bytes each); at most so many nodes have more, and their smallest neighbours are broadcast.
+NODE_ROWS, HOT = 1_000_000, 50_000
 
 
 def _with_least(rows: DataFrame, ends: DataFrame, links: int) -> DataFrame:
     """``rows`` (a, b) with m, the smallest b of a in ``ends`` (a, b).
 
-    Nodes of more than max(1000, 2 * links / HOT) ends, so fewer than HOT, don't go to one task each but meet their rows where these are.
+    Nodes of more than max(NODE_ROWS, 2 * links / HOT) ends, so fewer than HOT, don't go to one task each but meet their rows where these are.
     """
     least = ends.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    hot = F.broadcast(least.filter(F.col("n") > max(1000, 2 * links // HOT)).select("a", "m"))
+    if 2 * links <= NODE_ROWS:  # no node can have more
+        return rows.join(least.select("a", "m"), "a")
+    hot = F.broadcast(least.filter(F.col("n") > max(NODE_ROWS, 2 * links // HOT)).select("a", "m"))
     cold = rows.join(hot.select("a"), "a", "left_anti").join(least.select("a", "m"), "a")
     return cold.union(rows.join(hot, "a").select(*cold.columns))
 
@@ -30,8 +32,8 @@ def _large_star(links: DataFrame, n: int) -> DataFrame:
 
 def _small_star(links: DataFrame, n: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    moved = _with_least(down, down, n)
-    return moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b"))).distinct()
+    moved = _with_least(down, down, n).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
+    return moved.select("x.*").filter("a <> b").distinct()
 
 
 def connected_components(links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -47,7 +49,9 @@ def connected_components(links: DataFrame, folder: str, name: str) -> DataFrame:
         if tuple(mark) == seen or mark[0] == 0:
             break
         seen, k = tuple(mark), k + 1
-        half = stored(_large_star(now, mark[0]), folder, f"{name}-{k}-large")
+        half = _large_star(now, mark[0])
+        if 2 * mark[0] > NODE_ROWS:  # read more than once below
+            half = stored(half, folder, f"{name}-{k}-large")
         now = stored(_small_star(half, mark[0]), folder, f"{name}-{k}")
     tops = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(tops.select("id", F.col("id").alias("component")))

@@ -227,7 +227,7 @@ def near_duplicates(prints: DataFrame, folder: str, least: float = 0.75) -> Data
     classes = stored(reps.mapInArrow(lean(_keyed), "id long, h long, n long, bits array<long>, keys array<long>"), folder, "fingerprint-classes")
     classes, own, _ = numbered(known.select("doc_id", F.xxhash64("fingerprint").alias("h")), classes, folder)
     found = components_of(classes.drop("n"), folder, _unequal("bits_a", "bits_b") <= int(SLOTS * (1 - least)), links=own)
-    named = smallest(classes, found).join(classes.select("c", "h", "n", "id", F.xxhash64("bits").alias("h2")), "c")
+    named = smallest(classes, found, own).join(classes.select("c", "h", "n", "id", F.xxhash64("bits").alias("h2")), "c")
     return named.filter((F.col("n") > 1) | (F.col("component") != F.col("id"))).select("h", "h2", F.col("component").alias("class_id"))
 
 

@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     room = F.ceil(F.col("n_a") * F.col("n_b") / float(1 << 32)) + 3
     shared = (F.size(F.array_intersect("short_a", "short_b")) + room) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
     whole = components_of(reps.select("c", "id", "h", F.col("n_shingles").alias("n"), "digest", "keys"), folder, likely, verify, short, shared, own)
-    classes = reps.select(*mark, "c").join(smallest(reps, whole), "c").select(*mark, "component")
+    classes = reps.select(*mark, "c").join(smallest(reps, whole, own), "c").select(*mark, "component")
     out = described.select("doc_id", *mark).join(classes, mark, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

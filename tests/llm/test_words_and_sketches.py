@@ -149,7 +149,10 @@ def test_odd_documents(odd, none):
     assert fastsketch.near_duplicates(none).count() == 0
 
 
-def test_hot_hub(spark, tmp_path):
+def test_hot_hub(spark, tmp_path, monkeypatch):
+    from assayloom.llm import components
+
+    monkeypatch.setattr(components, "NODE_ROWS", 1000)
     links = [(k, 5) for k in range(6, 2_500)] + [(k, 5_000) for k in range(2_500, 5_000)] + [(5_000, 2_499), (9_000, 8_999)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), str(tmp_path), "h").collect()}
     assert got == {**{k: 5 for k in range(5, 5_001)}, 8_999: 8_999, 9_000: 8_999}
