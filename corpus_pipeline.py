@@ -14,7 +14,7 @@ from assayloom.llm.common import shared_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be determined."""
+    """Drops documents whose likeliest hypothesis, by text, declared language and source together, is no language."""
     return langid.keep_identified(docs, docs)
 
 
@@ -24,10 +24,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of smallest id, one row of it."""
+    """Keeps of each group of near-duplicates the document of smallest id, one row of each of its texts."""
     kept = fastsketch.near_duplicates(docs).filter("kept").select("doc_id").distinct()
     nameless = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).union(nameless)
+    mark = "_".join(["text", *docs.columns])  # a name no column has
+    once = docs.join(kept, "doc_id", "left_semi").withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark])
+    return once.select(docs.columns).union(nameless)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
