@@ -102,9 +102,12 @@ class Table:
         out = fs.create(path(f"{self.root}/CURRENT.new"), True)
         out.write(bytearray((name + "\n").encode()))
         out.close()
-        if fs.exists(path(f"{self.root}/CURRENT")):
-            fs.delete(path(f"{self.root}/CURRENT"), False)
-        fs.rename(path(f"{self.root}/CURRENT.new"), path(f"{self.root}/CURRENT"))
+        # one rename over the old pointer: readers see the old version or the new one, never none
+        fs_package = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        context = fs_package.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(fs_package.Options.Rename, 1)
+        options[0] = fs_package.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(path(f"{self.root}/CURRENT.new")), fs.makeQualified(path(f"{self.root}/CURRENT")), options)
 
     def append(self, df: DataFrame) -> None:
         """Rows added to the current version."""

@@ -426,10 +426,11 @@ def semi_available(spark, sf_dir):
     return catalog.available(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT')")
 def anti_new(spark, sf_dir):
+    """Customers without an urgent finished order; some are left at every scale."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return catalog.not_yet_stored(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), key="c_custkey")
+    return catalog.not_yet_stored(c, table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), key="c_custkey")
 
 
 @query("select c_custkey, c_nationkey from customer where c_custkey % 3 = 0 union all select c_custkey, null from customer where c_custkey % 3 <> 0")
@@ -544,11 +545,13 @@ def without_parser(spark, sf_dir):
     return validate.without_parser(p.drop("p_size"), p.filter("p_size < 25")).select("p_partkey", "type", "model")
 
 
-@query("select p_partkey, p_type as type from part where p_type not in (select p_type from part where p_size = 5)")
+@query("""
+with p as (select p_partkey, p_type || '/' || (p_partkey // 3) as type from part)
+select p_partkey, type from p where type not in (select type from p where p_partkey % 3 = 0)""")
 def without_schema(spark, sf_dir):
-    """J3."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("type"), "p_size")
-    return validate.without_schema(p.drop("p_size"), p.filter("p_size = 5")).select("p_partkey", "type")
+    """Types that no part with a key divisible by three has; some are left at every scale."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_type", F.floor(F.col("p_partkey") / 3).cast("string")).alias("type"))
+    return validate.without_schema(p, p.filter("p_partkey % 3 = 0")).select("p_partkey", "type")
 
 
 @query("""
@@ -612,12 +615,12 @@ def registry_validation(spark, sf_dir):
 
 
 @query("""
-select o_custkey as experiment_name, o_orderkey, o_orderstatus as run_id from orders where o_orderstatus = 'F' and o_custkey < 50
-order by o_orderdate desc nulls last, o_custkey limit 25""")
+select o_orderkey as experiment_name, o_custkey, o_orderstatus as run_id from orders where o_orderstatus = 'F'
+order by o_orderdate desc nulls last, o_orderkey limit 25""")
 def list_datasets(spark, sf_dir):
     """E5."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey < 50").select(F.col("o_custkey").alias("experiment_name"), "o_orderkey", F.col("o_orderstatus").alias("run_id"), F.col("o_orderdate").alias("updated_at"), F.lit(None).cast("timestamp").alias("created_at"))
-    return datasets.list_datasets(o, limit=25, run_id="F").select("experiment_name", "o_orderkey", "run_id")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("experiment_name"), "o_custkey", F.col("o_orderstatus").alias("run_id"), F.col("o_orderdate").alias("updated_at"), F.lit(None).cast("timestamp").alias("created_at"))
+    return datasets.list_datasets(o, limit=25, run_id="F").select("experiment_name", "o_custkey", "run_id")
 
 
 @query("""

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from assayloom.plans import exports  # noqa: F401  registers its queries too
 from assayloom.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
