@@ -106,3 +106,15 @@ def test_pipeline(spark, sf_dir):
             rows = after.collect()
             assert {r.doc_id for r in rows} == {r.doc_id for r in before.select("doc_id").collect()}
     assert [name for name, _ in cp.STAGES] == ["language_id", "toxicity", "near_dedup", "mixing", "packing"]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf_dir, odd, none):
+    cp = pytest.importorskip("corpus_pipeline")
+    for start in (odd, none):
+        docs = start
+        for k, (name, stage) in enumerate(cp.STAGES):
+            after = stage(spark, docs, sf_dir)
+            if k < len(cp.STAGES) - 1:
+                assert after.columns == start.columns, name
+                docs = after.persist()
+        assert after.count() >= 0 and (start is odd or after.count() == 0)
