@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.operators.normalize import quoted
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between neighbours) by group, as ``{name: share}``; groups without values are left out.
+
+    Rows are counted by group and value first, so a hot group is summed in many tasks; what is then sorted and cumulated
+    within a group are its distinct values, which spill instead of filling a hash map.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counted.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(group))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))  # noqa: E731  the value at a rank from 0
+    columns = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("_all") - 1)
+        columns += [at(F.floor(place)).alias(f"_{name}_low"), at(F.ceil(place)).alias(f"_{name}_high"), F.max(place - F.floor(place)).alias(f"_{name}_part")]
+    found = ranked.groupBy(*by).agg(*columns)
+    return found.select(*by, *[(F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * F.col(f"_{n}_part")).alias(n) for n in shares])
+
+
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, std, min, quartiles (linear) and max of a value by group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    return out.select(*by, "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, by, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).select(*[F.col(c).alias(f"_{c}") for c in by], "q25", "q50", "q75")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out.join(q, same, "left").select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def features(df: DataFrame, by: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -67,3 +67,11 @@ def test_hook(spark):
 def test_first_and_latest(spark):
     df = spark.createDataFrame([("f", "1.0", 0), ("f", "1.0", 1), ("f", "2.0", 2)], "source_file string, mz string, row_idx int")
     assert [r["row_idx"] for r in C.first_wins(df, ["source_file", "mz"], ["row_idx"]).orderBy("row_idx").collect()] == [0, 2]
+
+
+def test_quantiles_of_odd_groups(spark):
+    from assayloom.operators import features
+
+    rows = [(None, 1.0), (None, 4.0), ("a", None), ("b", 7.0), ("c", 1.0), ("c", 1.0), ("c", 2.0), ("c", 10.0)]
+    got = {r.g: (r["count"], r.q25, r.q50, r.q75) for r in features.describe(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert got == {None: (2, 1.75, 2.5, 3.25), "a": (0, None, None, None), "b": (1, 7.0, 7.0, 7.0), "c": (4, 1.0, 1.5, 4.0)}
