@@ -1,9 +1,13 @@
 """Language-model scoring by Brown's class-based bigrams.
 
 Words are UTF-8 runs between white space with A-Z lower-cased; each text ends with one end token. Counts of all
-training tokens come from grouped sums over the whole corpus and grow with it. The ``units`` of the exchange clustering
-are the most frequent words, one each, the end token, and the other words grouped by their last three bytes. The
-exchange algorithm moves each unit to the class that most raises the likelihood of the class bigram model.
+training tokens come from grouped sums over the whole corpus and grow with it. Clustering is by exchange, in two steps.
+First the ``units``, the most frequent words one each and the other words grouped by their last three bytes, are moved
+one after another on the driver, each to the class that most raises the likelihood of the class bigram model. Then all
+``head`` words are exchanged one by one in ``sweeps`` Spark jobs: grouped sums give each word's counts before and after
+every class, and each word takes its best class against the classes of the sweep before (as in Uszkoreit and Brants
+2008); alternate words move in a sweep, and one that doesn't raise the likelihood is undone. Words beyond
+``head``, the rarest ones, have the class of their ending.
 
     P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))
 
@@ -12,8 +16,9 @@ and what this frees is the probability, in each class, of a word not met in trai
 words and of one unknown word a class sum to 1 after every context.
 
 The vocabulary is never sent whole to a task: the ``head`` most frequent words are (a parameter), the rest of the
-vocabulary is joined by a hash of the word to the texts' other words, which are few. Classes, transitions
-and unit counts are bounded by ``units`` and ``suffixes``.
+vocabulary is joined to the texts' other words, which are few. Classes, transitions and unit counts are bounded by
+``units`` and ``suffixes`` (at most 1,281 squared cells of 16 bytes, 26 MB, to the driver), a sweep's counts in a task
+by ``head`` times 97 cells of 8 bytes (51 MB), its moves by ``head`` rows.
 
 Defined cases: null text is empty and has the end token alone; repeated rows score each; nothing to train on gives
 every token the probability of an unknown one; a null doc_id is the empty text in crc32. Extra columns are ignored.
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.common import byte_texts, crc_mod, crc_mod_py, lean, shared_folder, stored
 
-HEAD, UNITS, SUFFIXES, CLASSES, FLUSH, ROWS_AT_ONCE = 65_536, 1023, 256, 48, 200_000, 400
+HEAD, UNITS, SUFFIXES, CLASSES, SWEEPS, FLUSH, ROWS_AT_ONCE = 65_536, 1023, 256, 48, 4, 200_000, 400
+PIECE = 1024  # bigrams in a stored row
 
 
 class _Numbers(dict):
@@ -46,6 +52,37 @@ class _Numbers(dict):
         return self.base + self.ending.get(word[-3:], self.other)
 
 
+def _h(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of class bigrams and of words in their classes, without what no exchange changes."""
+    return float(_h(table).sum() - _h(table.sum(axis=1)).sum() - _h(table.sum(axis=0)).sum())
+
+
+def without(table: np.ndarray, g: int, a: np.ndarray, b: np.ndarray, own: float) -> np.ndarray:
+    """Class bigrams less those of a unit of class ``g``: ``a`` to and ``b`` from each class, ``own`` with itself (in neither)."""
+    t = table.copy()
+    t[g, :] -= a
+    t[:, g] -= b
+    t[g, g] -= own
+    return t
+
+
+def gains(t: np.ndarray, a: np.ndarray, b: np.ndarray, own: float) -> np.ndarray:
+    """What the likelihood gains if the unit that ``t`` is without joins each class."""
+    # the sums of a class also hold the unit's counts with its members, wherever the unit is
+    left, right, d = t.sum(axis=1) + b, t.sum(axis=0) + a, np.diag(t)
+    after, before = np.flatnonzero(a), np.flatnonzero(b)
+    rows = (_h(t[:, after] + a[after]) - _h(t[:, after])).sum(axis=1) - (_h(d + a) - _h(d))
+    columns = (_h(t[before, :] + b[before, None]) - _h(t[before, :])).sum(axis=0) - (_h(d + b) - _h(d))
+    # counts of the unit with members of the class it joins meet in the corner cell
+    corner = _h(d + a + b + own) - _h(d)
+    ends = _h(left + a.sum() + own) - _h(left) + _h(right + b.sum() + own) - _h(right)
+    return rows + columns + corner - ends
+
+
 def exchange(pairs: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     """Class of each unit, from the matrix of unit bigram counts, by the exchange algorithm.
 
@@ -61,7 +98,6 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     member = np.zeros((n, classes))
     member[np.arange(n), of] = 1
     table = member.T @ pairs @ member
-    h = lambda x: x * np.log(np.maximum(x, 1e-300))
     into, outof = pairs.T @ member, pairs @ member  # of each unit: counts from and to each class
     for _ in range(sweeps):
         moved = 0
@@ -72,17 +108,8 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
             a, b = outof[u].copy(), into[u].copy()  # unit -> class, class -> unit
             a[g] -= own
             b[g] -= own
-            t = table.copy()
-            t[g, :] -= a
-            t[:, g] -= b
-            t[g, g] -= own
-            left, right = t.sum(axis=1), t.sum(axis=0)
-            rows = (h(t + a[None, :]) - h(t)).sum(axis=1) - (h(np.diag(t) + a) - h(np.diag(t)))
-            columns = (h(t + b[:, None]) - h(t)).sum(axis=0) - (h(np.diag(t) + b) - h(np.diag(t)))
-            corner = h(np.diag(t) + a + b + own) - h(np.diag(t))
-            ends = h(left + a.sum() + own) - h(left) + h(right + b.sum() + own) - h(right)
-            # counts of u with members of the class it joins meet in the corner cell
-            gain = rows + columns + corner - ends
+            t = without(table, g, a, b, own)
+            gain = gains(t, a, b, own)
             to = int(np.argmax(gain))
             if gain[to] <= gain[g] + 1e-9:
                 continue
@@ -136,64 +163,133 @@ def _word_counts(batches):
     yield out()
 
 
-def train(docs: DataFrame, folder: str, head: int = HEAD, units: int = UNITS, suffixes: int = SUFFIXES, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model, and the stored word counts (word, n) of the training texts."""
-    vocabulary = stored(docs.mapInArrow(lean(_word_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), folder, "vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    ends = docs.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([sum(_trains(b.column("doc_id").to_pylist()))], pa.int64())], names=["n"]) for b in batches), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(head).collect()
-    words, counts = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
-    units = min(units, len(words))
-    # endings of all words that are no units of their own
-    unit_words = docs.sparkSession.createDataFrame([(w,) for w in words[:units]], "word binary")
-    endings = vocabulary.join(F.broadcast(unit_words), "word", "left_anti").groupBy(F.expr("substring(word, greatest(length(word) - 2, 1), 3)").alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).orderBy(F.desc("n"), "s")
-    kept = endings.limit(suffixes).collect()
-    rest = endings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("t")).first()
-    names = [bytes(r["s"]) for r in kept]
-    sums = np.array([r["n"] for r in kept] + [rest["n"] - sum(r["n"] for r in kept)], np.int64)
-    kinds = np.array([r["types"] for r in kept] + [rest["t"] - sum(r["types"] for r in kept)], np.int64)
-    size = units + len(names) + 2  # units, endings, other, end
-
-    def to_unit(numbers: _Numbers) -> np.ndarray:
-        """Unit of each number: head words after the units count by their ending."""
-        out = np.arange(len(words) + len(names) + 1) - len(words) + units
-        out[:units] = np.arange(units)
-        out[units : len(words)] = [units + numbers.ending.get(w[-3:], numbers.other) for w in words[units:]]
-        return out
+def _numbered(words: list[bytes], names: list[bytes]):
+    """Numbers of the training tokens as rows of PIECE bigrams: the texts one after another, an end before, between and after them."""
 
-    def bigrams(batches):
+    def work(batches):
         numbers = _Numbers(words, names)
-        unit = to_unit(numbers)
-        seen = np.zeros(size * size, np.int64)
-        for batch in batches:
+        end = len(words) + len(names) + 1
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
+            stream = [end]
             for ok, text in zip(_trains(batch.column("doc_id").to_pylist()), byte_texts(batch.column("text")).to_pylist()):
                 if ok:
-                    tokens = text.lower().split()
-                    line = np.full(len(tokens) + 2, size - 1)
-                    line[1:-1] = unit[np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))]
-                    np.add.at(seen, line[:-1] * size + line[1:], 1)
+                    stream.extend(map(numbers.__getitem__, text.lower().split()))
+                    stream.append(end)
+            line = np.array(stream, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([line[i : i + PIECE + 1].tobytes() for i in range(0, len(line) - 1, PIECE)], pa.binary())], names=["line"])
+
+    return work
+
+
+def _rows(batches):
+    for batch in batches:
+        for line in batch.column("line"):
+            yield np.frombuffer(line.as_buffer(), np.int32)
+
+
+def pair_counts(lines: DataFrame, group: np.ndarray, size: int) -> np.ndarray:
+    """size x size counts of the bigrams of groups (``group`` of each number)."""
+
+    def count(batches):
+        seen = np.zeros(size * size, np.int64)
+        for line in _rows(batches):
+            g = group[line].astype(np.int64)
+            np.add.at(seen, g[:-1] * size + g[1:], 1)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
 
     pairs = np.zeros(size * size, np.int64)
-    counted = docs.mapInArrow(lean(bigrams), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
+    counted = lines.mapInArrow(lean(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
     pairs[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
-    pairs = pairs.reshape(size, size)
+    return pairs.reshape(size, size)
+
+
+def sweep(lines: DataFrame, class_of: np.ndarray, table: np.ndarray, turn: int) -> np.ndarray:
+    """The class of each number after those of ``turn``'s parity went to their best classes, all against ``table``; the end stays."""
+    k, width, old = len(table), 2 * len(table) + 1, class_of.astype(np.int16)
+    moves_now = np.arange(len(old)) % 2 == turn % 2
+    moves_now[-1] = False
+
+    def contexts(batches):
+        seen = np.zeros(len(old) * width, np.int64)
+        for line in _rows(batches):
+            left, right = line[:-1].astype(np.int64), line[1:].astype(np.int64)
+            same, l, r = left == right, moves_now[left], moves_now[right]
+            np.add.at(seen, (left * width + np.where(same, 2 * k, old[right]))[l], 1)
+            np.add.at(seen, (right * width + k + old[left])[r & ~same], 1)
+        at = np.flatnonzero(seen)
+        step = 100_000
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
+            yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int16)), pa.array(seen[part])], names=["number", "cell", "n"])
+
+    def best(batches):
+        for batch in batches:
+            cells = batch.column("cells")
+            at, flat = cells.offsets.to_numpy() - cells.offsets[0].as_py(), cells.flatten()
+            cell, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            numbers, to = batch.column("number").to_numpy(), []
+            for u, i, j in zip(numbers, at[:-1], at[1:]):
+                row = np.zeros(width)
+                row[cell[i:j]] = n[i:j]
+                a, b, own, g = row[:k], row[k:-1], row[-1], old[u]
+                gain = gains(without(table, g, a, b, own), a, b, own)[:-1]
+                c = int(np.argmax(gain))
+                to.append(c if gain[c] > gain[g] + 1e-9 else int(g))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(to, pa.int16())], names=["number", "class"])
+
+    counts = lines.mapInArrow(lean(contexts), "number int, cell short, n long").groupBy("number", "cell").agg(F.sum("n").alias("n"))
+    a_word = counts.groupBy("number").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most 2k + 1 cells a word
+    moved = a_word.mapInArrow(lean(best), "number int, class short").toArrow()  # at most a row a number
+    out = class_of.copy()
+    out[moved.column("number").to_numpy()] = moved.column("class").to_numpy()
+    return out
+
+
+def train(docs: DataFrame, folder: str, head: int = HEAD, units: int = UNITS, suffixes: int = SUFFIXES, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
+    """The model, and the stored word counts (word, n) of the training texts."""
+    vocabulary = stored(docs.mapInArrow(lean(_word_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), folder, "vocabulary")
+    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    ends = docs.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([sum(_trains(b.column("doc_id").to_pylist()))], pa.int64())], names=["n"]) for b in batches), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(head).collect()
+    words, counts = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    units = min(units, len(words))
+    # endings of all words that are no units of their own, and of those beyond the head
+    ranked = docs.sparkSession.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "rank": pa.array(range(len(words)), pa.int32())}))
+    far = F.col("rank").isNull()
+    others = vocabulary.join(F.broadcast(ranked), "word", "left").filter(far | (F.col("rank") >= units))  # at most ``head`` rows
+    sums = [F.sum("n").alias("n"), F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("far_n"), F.count_if(far).alias("far_types")]
+    endings = others.groupBy(F.expr("substring(word, greatest(length(word) - 2, 1), 3)").alias("s")).agg(*sums).orderBy(F.desc("n"), "s")
+    kept, rest = endings.limit(suffixes).collect(), others.agg(*sums).first()
+    names = [bytes(r["s"]) for r in kept]
+    far_n, far_types = ([r[c] for r in kept] + [rest[c] - sum(r[c] for r in kept)] for c in ("far_n", "far_types"))
+    size = units + len(names) + 2  # units, endings, other, end
+    # unit of each number (head words, endings, other, end): head words that are no units count by their ending
+    numbers = _Numbers(words, names)
+    unit = np.arange(len(words) + len(names) + 2) - len(words) + units
+    unit[:units] = np.arange(units)
+    unit[units : len(words)] = [units + numbers.ending.get(w[-3:], numbers.other) for w in words[units:]]
+
+    lines = stored(docs.mapInArrow(lean(_numbered(words, names)), "line binary"), folder, "lines")
+    pairs = pair_counts(lines, unit, size)
     alone = exchange(pairs[:-1, :-1], classes)
     of_unit = np.append(alone, alone.max(initial=-1) + 1)  # the end is a class of its own
     k = int(of_unit.max()) + 1
     member = np.zeros((size, k))
     member[np.arange(size), of_unit] = 1
-    table = member.T @ pairs @ member
+    table, class_of = member.T @ pairs @ member, of_unit[unit]
+    for turn in range(sweeps):
+        tried = sweep(lines, class_of, table, turn)
+        met = pair_counts(lines, tried, k).astype(np.float64)
+        if likelihood(met) > likelihood(table):
+            table, class_of = met, tried
     share = (table.sum(axis=0) + 1) / (table.sum() + k)
     step = np.log10((table + 5 * share[None, :]) / (table.sum(axis=1, keepdims=True) + 5))
-    known_units = np.concatenate([counts[:units], sums, [ends]])
-    class_tokens = member.T @ known_units
     n1, n2 = total[2], total[3]
     discount = n1 / (n1 + 2 * n2) if n1 else 0.5
-    class_types = member.T @ np.concatenate([np.zeros(units), kinds, [0]])
+    class_tokens = np.bincount(class_of, np.concatenate([counts, far_n, [ends]]), k)
+    class_types = np.bincount(class_of, np.concatenate([np.zeros(units), np.ones(len(words) - units), far_types, [0]]), k)  # discounted words
     free = np.log10((discount * class_types + 1) / (class_tokens + 1))
-    class_of = np.append(of_unit[to_unit(_Numbers(words, names))], of_unit[-1])
     return Model(words, names, counts, units, int(total[0] + ends), int(total[1] + (ends > 0)), int(ends), class_of, step, class_tokens, discount, free), vocabulary
 
 
@@ -234,9 +330,10 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = rows.mapInArrow(lean(local), "mark long, word binary, n int, class short, doc_id long, tokens long, known long, base double, own double")
-    parts = parts.select(F.when(F.col("word").isNull(), F.col("mark")).otherwise(F.xxhash64("word")).alias("key"), F.col("word").isNotNull().alias("far"), *[c for c in parts.columns if c != "word"])
-    counts = vocabulary.select(F.xxhash64("word").alias("key"), F.col("n").alias("c"), F.lit(True).alias("far"))
-    met = parts.join(counts, ["key", "far"], "left")
+    parts = parts.select(F.when(F.col("word").isNull(), F.col("mark")).otherwise(F.xxhash64("word")).alias("key"), F.col("word").isNotNull().alias("far"), *parts.columns)
+    counts = vocabulary.select(F.xxhash64("word").alias("key"), "word", F.col("n").alias("c"))
+    # the key spreads the rows of documents, whose word is null and meets nothing
+    met = parts.join(counts, ["key", "word"], "left")
     numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])[F.col("class").cast("int")]
     met = met.select(
         "mark", "doc_id", "tokens", F.when(F.col("far"), 0).otherwise(1).alias("rows"),

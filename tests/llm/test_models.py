@@ -159,6 +159,39 @@ def test_exchange_raises_the_likelihood():
     assert max(likelihood(np.where(n == u, c, found)) - best for u in n for c in range(6)) < 0.1
 
 
+def test_sweep_takes_each_words_best_class(spark):
+    rng = np.random.default_rng(3)
+    n, k = 30, 5  # 29 words and the end
+    streams = [np.concatenate([[n - 1], rng.integers(0, n - 1, 200) ** 2 // n, [n - 1]]).astype(np.int32) for _ in range(6)]
+    lines = spark.createDataFrame([(bytearray(s.tobytes()),) for s in streams], "line binary")
+    of = np.append(rng.integers(0, k - 1, n - 1), k - 1)
+    pairs = sum(np.bincount(s[:-1].astype(int) * n + s[1:], minlength=n * n) for s in streams).reshape(n, n)
+
+    def table(c):
+        member = np.eye(k)[c]
+        return member.T @ pairs @ member
+
+    assert (brown.pair_counts(lines, of, k) == table(of)).all()
+    for turn in (0, 1):
+        got = brown.sweep(lines, of, table(of).astype(float), turn)
+        for u in range(n):
+            trials = [brown.likelihood(table(np.where(np.arange(n) == u, c, of))) for c in range(k - 1)]
+            if u == n - 1 or u % 2 != turn or not pairs[u].sum():
+                assert got[u] == of[u]
+            else:
+                assert trials[got[u]] > max(trials) - 1e-6
+
+
+def test_all_head_words_are_exchanged(docs, tmp_path):
+    kwargs = {"units": 50, "suffixes": 10, "classes": 8}
+    plain, _ = brown.train(docs, str(tmp_path / "a"), sweeps=0, **kwargs)
+    full, vocabulary = brown.train(docs, str(tmp_path / "b"), **kwargs)
+    assert len(full.head) == min(vocabulary.count(), brown.HEAD) and full.tokens == plain.tokens
+    assert (full.class_of[50:] != plain.class_of[50:]).sum() > 100
+    held = [brown.score(docs, m, vocabulary).filter("held_out").agg({"score": "sum"}).first()[0] for m in (plain, full)]
+    assert held[1] > held[0]
+
+
 def test_class_scores(docs, odd, none):
     for df in (docs, odd):
         rows = [(r.doc_id, (r.text or "").encode().lower().split() + [None]) for r in df.select("doc_id", "text").collect()]
