@@ -18,7 +18,7 @@ words and of one unknown word a class sum to 1 after every context.
 The vocabulary is never sent whole to a task: the ``head`` most frequent words are (a parameter), the rest of the
 vocabulary is joined to the texts' other words, which are few. Classes, transitions and unit counts are bounded by
 ``units`` and ``suffixes`` (at most 1,281 squared cells of 16 bytes, 26 MB, to the driver), a sweep's counts in a task
-by ``head`` times 97 cells of 8 bytes (51 MB), its moves by ``head`` rows.
+by ``head`` times 99 cells of 8 bytes (52 MB), its moves by ``head`` rows.
 
 Defined cases: null text is empty and has the end token alone; repeated rows score each; nothing to train on gives
 every token the probability of an unknown one; a null doc_id is the empty text in crc32. Extra columns are ignored.
@@ -39,6 +39,7 @@ from assayloom.llm.common import byte_texts, crc_mod, crc_mod_py, lean, shared_f
 
 HEAD, UNITS, SUFFIXES, CLASSES, SWEEPS, FLUSH, ROWS_AT_ONCE = 65_536, 1023, 256, 48, 4, 200_000, 400
 PIECE = 1024  # bigrams in a stored row
+BLOCK = 256  # numbers whose counts travel together; their cells, 256 * 99 of 48 classes, fit 16 bits
 
 
 class _Numbers(dict):
@@ -208,6 +209,7 @@ def sweep(lines: DataFrame, class_of: np.ndarray, table: np.ndarray, turn: int)
     """The class of each number after those of ``turn``'s parity went to their best classes, all against ``table``; the end stays."""
     k, width, old = len(table), 2 * len(table) + 1, class_of.astype(np.int16)
     moves_now = np.arange(len(old)) % 2 == turn % 2
+    place = np.uint16 if BLOCK * width <= 1 << 16 else np.uint32
     moves_now[-1] = False
 
     def contexts(batches):
@@ -217,30 +219,34 @@ def sweep(lines: DataFrame, class_of: np.ndarray, table: np.ndarray, turn: int)
             same, l, r = left == right, moves_now[left], moves_now[right]
             np.add.at(seen, (left * width + np.where(same, 2 * k, old[right]))[l], 1)
             np.add.at(seen, (right * width + k + old[left])[r & ~same], 1)
-        at = np.flatnonzero(seen)
-        step = 100_000
-        for i in range(0, len(at), step):
-            part = at[i : i + step]
-            yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int16)), pa.array(seen[part])], names=["number", "cell", "n"])
+        found = []
+        for block in range(-(-len(old) // BLOCK)):
+            part = seen[block * BLOCK * width : (block + 1) * BLOCK * width]
+            at = np.flatnonzero(part)
+            found.append((block, at.astype(place).tobytes(), part[at].tobytes()))
+        blocks, cells, n = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(cells, pa.binary()), pa.array(n, pa.binary())], names=["block", "cells", "n"])
 
     def best(batches):
+        sums: dict[int, np.ndarray] = {}  # of the task's blocks, whatever the number of rows
         for batch in batches:
-            cells = batch.column("cells")
-            at, flat = cells.offsets.to_numpy() - cells.offsets[0].as_py(), cells.flatten()
-            cell, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            numbers, to = batch.column("number").to_numpy(), []
-            for u, i, j in zip(numbers, at[:-1], at[1:]):
-                row = np.zeros(width)
-                row[cell[i:j]] = n[i:j]
-                a, b, own, g = row[:k], row[k:-1], row[-1], old[u]
+            for block, cells, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "n"))):
+                sums.setdefault(block, np.zeros(BLOCK * width, np.int64))[np.frombuffer(cells, place)] += np.frombuffer(n, np.int64)
+        for block, flat in sums.items():
+            rows = flat.reshape(BLOCK, width)
+            met = np.flatnonzero(rows.any(axis=1))
+            to = []
+            for u in met:
+                row = rows[u].astype(np.float64)
+                a, b, own, g = row[:k], row[k:-1], row[-1], old[block * BLOCK + u]
                 gain = gains(without(table, g, a, b, own), a, b, own)[:-1]
                 c = int(np.argmax(gain))
                 to.append(c if gain[c] > gain[g] + 1e-9 else int(g))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(to, pa.int16())], names=["number", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(block * BLOCK + met, pa.int32()), pa.array(to, pa.int16())], names=["number", "class"])
 
-    counts = lines.mapInArrow(lean(contexts), "number int, cell short, n long").groupBy("number", "cell").agg(F.sum("n").alias("n"))
-    a_word = counts.groupBy("number").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most 2k + 1 cells a word
-    moved = a_word.mapInArrow(lean(best), "number int, class short").toArrow()  # at most a row a number
+    # each task has summed its counts already; blocks of numbers meet and are added up as they come in
+    blocks = lines.mapInArrow(lean(contexts), "block int, cells binary, n binary").repartition("block")
+    moved = blocks.mapInArrow(lean(best), "number int, class short").toArrow()  # at most a row a number
     out = class_of.copy()
     out[moved.column("number").to_numpy()] = moved.column("class").to_numpy()
     return out
@@ -330,10 +336,11 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = rows.mapInArrow(lean(local), "mark long, word binary, n int, class short, doc_id long, tokens long, known long, base double, own double")
-    parts = parts.select(F.when(F.col("word").isNull(), F.col("mark")).otherwise(F.xxhash64("word")).alias("key"), F.col("word").isNotNull().alias("far"), *parts.columns)
+    row = F.when(F.col("word").isNull(), F.struct("doc_id", "tokens", "known", "base", "own")).alias("row")  # of a document; null for its rare words
+    parts = parts.select(F.when(F.col("word").isNull(), F.col("mark")).otherwise(F.xxhash64("word")).alias("key"), "word", "mark", "n", "class", row)
     counts = vocabulary.select(F.xxhash64("word").alias("key"), "word", F.col("n").alias("c"))
     # the key spreads the rows of documents, whose word is null and meets nothing
-    met = parts.join(counts, ["key", "word"], "left")
+    met = parts.join(counts, ["key", "word"], "left").select("*", F.col("word").isNotNull().alias("far"), "row.*")
     numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])[F.col("class").cast("int")]
     met = met.select(
         "mark", "doc_id", "tokens", F.when(F.col("far"), 0).otherwise(1).alias("rows"),
