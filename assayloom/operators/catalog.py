@@ -127,6 +127,11 @@ def write_measurements(df: DataFrame, root: str) -> None:
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument_name", "experiment_id").parquet(root)
 
 
+def drop_folder(spark: SparkSession, root: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_twice(df: DataFrame, primary: str, secondary: str) -> str | None:
     """K3: the first write must succeed; the second's failure is returned as text."""
     kept = df.persist()
@@ -151,10 +156,14 @@ def provenance(df: DataFrame, reports: DataFrame, backend: str, root: str) -> Da
     return met.select("experiment_id", "rows", F.struct(F.current_timestamp().alias("saved_at"), F.lit("1").alias("version"), storage.alias("storage"), schema.alias("schema"), F.struct(F.col("files"), F.size("files").alias("file_count")).alias("source")).alias("provenance"))
 
 
-def register_views(spark: SparkSession, catalog: DataFrame) -> list[str]:
-    """A temporary view for each catalogue row that can be read; others are skipped. The catalogue is small by nature."""
+def register_views(spark: SparkSession, catalog: DataFrame, names: list[str] | None = None) -> list[str]:
+    """A temporary view for each catalogue row that can be read; others are skipped.
+
+    ``names``: only these tables, where a query needs a few of a large catalogue; a row costs a listing on the driver.
+    """
     made = []
-    for r in catalog.select(scalar.table_name(F.col("table_name")).alias("view"), "storage_path").toLocalIterator():
+    wanted = catalog if names is None else catalog.filter(scalar.table_name(F.col("table_name")).isin(list(names)))
+    for r in wanted.select(scalar.table_name(F.col("table_name")).alias("view"), "storage_path").toLocalIterator():
         try:
             spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(r["storage_path"]).createOrReplaceTempView(r["view"])
             made.append(r["view"])

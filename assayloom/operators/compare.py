@@ -54,17 +54,26 @@ def labelled(data: DataFrame, datasets: DataFrame) -> DataFrame:
     return out.withColumn("comparison_label", F.coalesce(name, F.col("experiment_id").cast("string"), F.concat(F.lit("dataset_"), F.col("comparison_pos"))))
 
 
+def stored_folders(spark: SparkSession, root: str, experiment_ids: list[str]) -> list[str]:
+    """Partition folders below ``root`` that hold the experiments, whatever their instrument."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().toString() for i in experiment_ids for f in fs.globStatus(path(f"{root.rstrip('/')}/instrument_name=*/experiment_id={i}")) or []]
+
+
 def load_experiments(spark: SparkSession, catalog: DataFrame, root: str, names: list[str]) -> tuple[DataFrame, list[str]]:
     """(tidy rows of the named experiments in request order, names that aren't stored); no name is an error.
 
-    One scan, pruned to the experiments' partitions by the semi-join's ids.
+    One scan of these experiments' folders only; their schemas are merged, no other file's is read.
     """
     if not names:
         raise ValueError("name at least one experiment")
     wanted = spark.createDataFrame(list(enumerate(names)), "pos int, experiment_name string")
     found = wanted.join(catalog, "experiment_name")
-    data = spark.read.option("mergeSchema", True).parquet(root)
-    have = {r["experiment_name"] for r in found.select("experiment_name").distinct().collect()}  # at most the names asked for
+    rows = found.select("experiment_name", "experiment_id").distinct().collect()  # of the names asked for
+    have = {r["experiment_name"] for r in rows}
+    folders = stored_folders(spark, root, sorted({r["experiment_id"] for r in rows}))
+    data = spark.read.option("basePath", root).option("mergeSchema", True).parquet(*folders) if folders else spark.read.parquet(root).limit(0)
     return labelled(data, found), [n for n in names if n not in have]
 
 

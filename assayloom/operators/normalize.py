@@ -95,11 +95,13 @@ def normalize_mixed(rows: DataFrame, kinds: list[tuple[str, str, str | None]]) -
     planned = planned.select("*", renamed.alias("from_alias"), own.alias("own"))
     missing = F.array_except(F.coalesce("required", F.array().cast("array<string>")), F.array_union(F.map_keys("from_alias"), F.col("own")))
     several = F.transform(F.filter("taken", lambda x: F.size(x["found"]) > 1), lambda x: F.concat(F.lit("several columns for '"), x["canonical"], F.lit("', using first")))
+    changes = F.array(*[F.struct(F.lit(c).alias("canonical"), F.lit(a).alias("raw")) for a, c in sorted(UNIT_CHANGES)])
+    changed = F.transform(F.filter("taken", lambda x: F.exists(changes, lambda u: (u["canonical"] == x["canonical"]) & (u["raw"] == x["found"][0]))), lambda x: F.concat(F.lit("'"), x["found"][0], F.lit("' is in another unit than '"), x["canonical"], F.lit("'; values are kept")))
     reports = planned.select(
         "experiment_id",
         F.struct(
             F.coalesce("applied", F.lit(False)).alias("schema_applied"), F.col("version").alias("schema_version"), F.col("from_alias").alias("renamed_columns"), missing.alias("missing_required_columns"),
-            F.concat(F.coalesce("notes", F.array(F.lit("no schema"))), several).alias("warnings"), F.col("profile").alias("measurement_profile"), F.coalesce("layers", F.array().cast("array<string>")).alias("layers_applied"),
+            F.concat(F.coalesce("notes", F.array(F.lit("no schema"))), several, changed).alias("warnings"), F.col("profile").alias("measurement_profile"), F.coalesce("layers", F.array().cast("array<string>")).alias("layers_applied"),
         ).alias("report"),
     )
     plan = planned.select("experiment_id", "from_alias", "own")

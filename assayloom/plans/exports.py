@@ -91,7 +91,21 @@ def export_bad_files(spark, sf_dir):
 def export_headerless(spark, sf_dir):
     """S7."""
     folder = exported(spark, points(spark, sf_dir), F.concat_ws(",", "idx", "x"), "")
-    return _numbers(text.parsed(text.read_lines(spark, folder), "ms", "bruker")[0], idx="m/z", x="intensity")
+    return _numbers(text.parsed(text.read_lines(spark, folder), "sec", "agilent")[0], idx="time (min)", x="value")
+
+
+@query(_POINTS + """
+select run, mz, first(x order by idx, x::varchar) as x, row_number() over (partition by run order by mz) - 1 as row_idx, mz in (select x from points q where q.run = g.run and q.z > 0.09) as peaks
+from (select run, idx, floor(y / 1000) as mz, x from points union all select run, idx + 1152921504606846976, x, 1 from points where z > 0.09) g group by run, mz""")
+def export_mass_spectrum(spark, sf_dir):
+    """A run's points in any order with repeated m/z, and its peak list after them."""
+    p = points(spark, sf_dir)
+    main = p.select("run", "idx", F.concat_ws(",", F.floor(F.col("y") / 1000).cast("string"), "x").alias("line"))
+    peaks = p.filter("z > 0.09").select("run", (F.col("idx") + F.lit(1 << 60)).alias("idx"), F.concat_ws(",", F.col("x").cast("long"), F.lit("1")).alias("line"))
+    mark = p.select("run").distinct().select("run", F.lit(1 << 59).alias("idx"), F.lit("Peak list").alias("line"))
+    folder = exported(spark, main.unionByName(peaks).unionByName(mark), F.col("line"), "")
+    rows, _ = text.parsed(text.read_lines(spark, folder), "ms", "bruker")
+    return rows.select(_run(), scalar.to_number(text.column("m/z")).alias("mz"), scalar.to_number(text.column("intensity")).alias("x"), "row_idx", "peaks")
 
 
 @query(_POINTS + "select run, idx::double as idx, x, y from points where z > 0")
@@ -109,11 +123,11 @@ def export_two_row_header(spark, sf_dir):
     return _numbers(text.parsed(text.read_lines(spark, exported(spark, points(spark, sf_dir), line, head)), "rheometer", "anton_paar")[0], idx="n", x="w [rad/s]", y="G' [Pa]")
 
 
-@query(_POINTS + "select run, x, y, timestamp '2024-01-05 09:00:00' as at from points")
+@query(_POINTS + "select run, x * 20 as x, y, timestamp '2024-01-05 09:00:00' as at from points where x * 20 between 280 and 900")
 def export_spectrum(spark, sf_dir):
-    """The time of the Date line, and the two columns after the mark."""
+    """The time of the Date line, and the two columns after the mark within the range of wavelengths."""
     head = "Date: Fri Jan 05 10:00:00 CET 2024\nNumber of Pixels in Spectrum: 3\n>>>>>Begin\nheader\n"
-    rows, _ = text.parsed(text.read_lines(spark, exported(spark, points(spark, sf_dir), F.concat_ws("\t", "x", "y"), head)), "uv_vis", "flame")
+    rows, _ = text.parsed(text.read_lines(spark, exported(spark, points(spark, sf_dir), F.concat_ws("\t", F.col("x") * 20, "y"), head)), "uv_vis", "flame")
     return rows.select(_run(), scalar.to_number(text.column("wavelength (nm)")).alias("x"), scalar.to_number(text.column("transmission")).alias("y"), F.date_trunc("second", "timestamp").alias("at"))
 
 

@@ -12,18 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayloom.functions import scalar
 from assayloom.functions.scalar import infer_detector, spectrum_time, to_number
 
-EXTENSIONS = (".txt", ".csv", ".tsv", ".bsc", ".dat")
+EXTENSIONS = (".txt", ".csv", ".tsv", ".bsc", ".dat", ".jsonl")
+WAVELENGTHS = (280, 900)  # fixed values: the range kept of a spectrum, in nm
 NO_END = r"\A\b\B"  # matches nothing
 
 
-def read_lines(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """source_file, line_no (from 0) and line of every text file below a path; other extensions are skipped."""
+def read_texts(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """source_file and value, the whole text, of every text file below a path; other extensions are skipped."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
     named = files.select(F.col("_metadata.file_path").alias("source_file"), "value")
-    wanted = F.lower("source_file").rlike(r"(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z")
-    return lines_of(named.filter(wanted))
+    return named.filter(F.lower("source_file").rlike(r"(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z"))
+
+
+def read_lines(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """source_file, line_no (from 0) and line of every text file below a path."""
+    return lines_of(read_texts(spark, path, extensions))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -152,6 +158,69 @@ def with_detector(rows: DataFrame) -> DataFrame:
 
 
 Parser = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def peak_list(lines: DataFrame) -> DataFrame:
+    """(source_file, mz) of the lines after one with Peak up to one with End, however many such blocks a file has."""
+    marker = F.when(F.col("line").contains("Peak"), 1).when(F.col("line").contains("End"), 0)
+    before = F.last(marker, ignorenulls=True).over(_by_file().rowsBetween(Window.unboundedPreceding, -1))
+    cells = F.split(F.trim("line"), ",")
+    listed = lines.withColumn("inside", F.coalesce(before, F.lit(0))).filter("inside = 1").select("source_file", to_number(F.get(cells, F.lit(0))).alias("mz"), to_number(F.get(cells, F.lit(1))).alias("intensity"))
+    return listed.filter("mz is not null and intensity is not null").select("source_file", "mz")
+
+
+def read_mass_spectrum(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of points with one m/z text the first counts, rows lie in m/z order, ``peaks`` marks those of the file's peak list."""
+    mz = F.trim(F.split("line", ",")[0])
+    firsts = lines.withColumn("nth", F.row_number().over(Window.partitionBy("source_file", mz).orderBy("line_no"))).filter("nth = 1").drop("nth")
+    points, bad = read_delimited(firsts, names=["m/z", "intensity"])
+    points = points.withColumn("mz", to_number(F.col("raw")["m/z"]))
+    points = points.withColumn("row_idx", F.row_number().over(Window.partitionBy("source_file").orderBy("mz", "row_idx")) - 1)
+    listed = peak_list(lines).distinct().withColumn("peaks", F.lit(True))
+    return points.join(listed, ["source_file", "mz"], "left").select("source_file", "row_idx", "raw", F.coalesce("peaks", F.lit(False)).alias("peaks")), bad
+
+
+def read_decoded_spectra(lines: DataFrame, x: str = "ppm", y: str = "intensity") -> tuple[DataFrame, DataFrame]:
+    """Files whose one line is a JSON object of two arrays, decoded elsewhere; a row a point, empty points left out."""
+    body = lines.filter(F.trim("line") != "").withColumn("r", F.from_json("line", f"`{x}` array<double>, `{y}` array<double>"))
+    arrays = body.groupBy("source_file").agg(F.min_by("r", "line_no").alias("r")).select("source_file", F.col("r")[x].alias("a"), F.col("r")[y].alias("b"))
+    rows, bad = explode_spectrum(arrays, "a", "b", ["source_file"])
+    rows = rows.filter("x is not null or y is not null")
+    raw = F.create_map(F.lit(x), F.col("x").cast("string"), F.lit(y), F.col("y").cast("string"))
+    without = lines.select("source_file").distinct().join(rows.select("source_file").distinct(), "source_file", "left_anti").join(bad.select("source_file"), "source_file", "left_anti")
+    return rows.select("source_file", "row_idx", raw.alias("raw")), bad.unionByName(without.withColumn("reason", F.lit("no data rows")))
+
+
+def csv_apart(lines: DataFrame, read: Parser) -> tuple[DataFrame, DataFrame]:
+    """.csv files have one header and keep all rows, the others go to ``read``."""
+    plain = F.lower("source_file").endswith(".csv")
+    rows, bad = read_delimited(lines.filter(plain), drop="none")
+    others, broken = read(lines.filter(~plain))
+    return rows.unionByName(others), bad.unionByName(broken)
+
+
+def and_then(got: tuple[DataFrame, DataFrame], *steps: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Steps on the rows of a reader; bad files stay as they are."""
+    rows, bad = got
+    for step in steps:
+        rows = step(rows)
+    return rows, bad
+
+
+def named_by(name: Column) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.withColumn("name", name)
+
+
+def within(column: str, least: float, most: float) -> Callable[[DataFrame], DataFrame]:
+    """P10."""
+    return lambda rows: rows.filter(to_number(F.col("raw")[column]).between(least, most))
+
+
+def without_empty_values(rows: DataFrame) -> DataFrame:
+    """A raw column without any value in an experiment isn't one of its headers."""
+    return rows.withColumn("raw", F.map_filter("raw", lambda _, v: v.isNotNull()))
+
+
 PARSERS: dict[tuple[str, str], Parser] = {}
 
 
@@ -170,28 +239,62 @@ def parser(kind: str, model: str):
 
 
 # The markers and delimiters of each instrument's export.
-parser("dsc", "prior")(lambda lines: read_sectioned(lines, "Index", "Results", r"\s+", 6))
-parser("tga", "tgaX")(lambda lines: read_sectioned(lines, "Index", "Results", r"\s+", 6, unit_shift=False))
-parser("dsc", "perkin_elmer")(lambda lines: read_sectioned(lines, r"\tTime", NO_END, "\t"))
-parser("dsc", "default")(lambda lines: read_sectioned(lines, r"\tTime", NO_END, "\t"))
-parser("dsc", "mettler_toledo")(lambda lines: read_sectioned(lines, r"\s+Index", NO_END, r"\s\s+", unit_shift=False))
-parser("dma", "ta_q800")(read_signals)
-parser("ftir", "bruker")(lambda lines: read_delimited(lines, skip=1, strict=True))
-parser("ms", "bruker")(lambda lines: read_delimited(lines, names=["m/z", "intensity"]))
-parser("sec", "agilent")(lambda lines: (lambda got: (with_detector(got[0]), got[1]))(read_delimited(lines, names=["time (min)", "value"])))
-parser("saxs", "anton_paar")(lambda lines: read_delimited(lines))
-parser("rheometer", "anton_paar")(read_two_row_header)
-parser("uv_vis", "flame")(read_preamble_spectrum)
-parser("reflection", "flame")(read_preamble_spectrum)
-parser("uv_vis", "Shimadzu")(lambda lines: read_delimited(lines, delimiter="\t", skip=1))
+@parser("dsc", "prior")
+def _prior(lines):
+    return and_then(read_sectioned(lines, "Index", "Results", r"\s+", 6), named_by(scalar.stem(F.col("source_file"))))
 
 
-def peak_list(lines: DataFrame) -> DataFrame:
-    """(source_file, mz) of the lines between Peak and End."""
-    w = _by_file().rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce(F.max(F.when(F.trim("line") == "Peak", 1).otherwise(0)).over(w), F.lit(0))
-    closed = F.coalesce(F.max(F.when(F.trim("line") == "End", 1).otherwise(0)).over(w), F.lit(0))
-    return lines.withColumn("o", opened).withColumn("c", closed).filter("o = 1 and c = 0 and trim(line) <> 'End'").select("source_file", to_number(F.split("line", ",")[0]).alias("mz")).filter("mz is not null")
+@parser("tga", "tgaX")
+def _tga(lines):
+    return and_then(csv_apart(lines, lambda x: read_sectioned(x, "Index", "Results", r"\s+", 6, unit_shift=False)), named_by(scalar.stem(F.col("source_file"))))
+
+
+@parser("dsc", "perkin_elmer")
+@parser("dsc", "default")
+def _tabbed(lines):
+    return and_then(csv_apart(lines, lambda x: read_sectioned(x, r"\tTime", NO_END, "\t")), named_by(scalar.stem(F.col("source_file"))))
+
+
+@parser("dsc", "mettler_toledo")
+def _mettler(lines):
+    return and_then(read_sectioned(lines, r"\s+Index", NO_END, r"\s\s+", unit_shift=False), named_by(scalar.stem(F.col("source_file"))))
+
+
+@parser("ms", "bruker")
+def _ms(lines):
+    return and_then(read_mass_spectrum(lines), named_by(F.lower(scalar.stem(F.col("source_file")))))
+
+
+@parser("sec", "agilent")
+def _sec(lines):
+    return and_then(read_delimited(lines, names=["time (min)", "value"]), with_detector, named_by(scalar.without_dx(F.lower(scalar.stem(F.col("source_file"))))))
+
+
+@parser("saxs", "anton_paar")
+def _saxs(lines):
+    return and_then(read_delimited(lines), named_by(F.lower(scalar.base_name(scalar.dir_name(F.col("source_file"))))))
+
+
+@parser("rheometer", "anton_paar")
+def _rheometer(lines):
+    return and_then(read_two_row_header(lines), without_empty_values, named_by(scalar.before_dollar(scalar.base_name(F.col("source_file")))))
+
+
+@parser("uv_vis", "flame")
+@parser("reflection", "flame")
+def _flame(lines):
+    return and_then(read_preamble_spectrum(lines), within("wavelength (nm)", *WAVELENGTHS), named_by(scalar.base_name(scalar.dir_name(F.col("source_file")))))
+
+
+@parser("uv_vis", "Shimadzu")
+def _shimadzu(lines):
+    titrant = lambda rows: rows.withColumn("titrant", scalar.titrant(scalar.stem(F.col("source_file"))))
+    return and_then(read_delimited(lines, delimiter="\t", skip=1), titrant, named_by(scalar.base_name(scalar.dir_name(F.col("source_file")))))
+
+
+parser("nmr", "bruker_nmr")(lambda lines: and_then(read_decoded_spectra(lines), without_empty_values))
+parser("dma", "ta_q800")(read_signals)
+parser("ftir", "bruker")(lambda lines: read_delimited(lines, skip=1, strict=True))
 
 
 def parsed(lines: DataFrame, kind: str, model: str) -> tuple[DataFrame, DataFrame]:

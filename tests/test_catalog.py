@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators import catalog, compare, features, series, validate
 from assayloom.plans import datasets
-from assayloom.plans.ingest import CATALOG, ingest
+from assayloom.plans.ingest import BAD_FILES, CATALOG, ingest
 from assayloom.sources import registry
 from assayloom.streaming.ingest import run_incremental
 
@@ -54,6 +54,31 @@ def test_ingest_and_compare(spark, lab):
     assert [r["mass_pct"] for r in tga] == [100.0, 0.0]
 
 
+def test_ingest_of_many_instruments(spark, tmp_path):
+    """Steps of single instruments reach the store, broken files are named, the raw folder is staged once, a second store gets a copy."""
+    raw, store, second = tmp_path / "raw", str(tmp_path / "store"), tmp_path / "second"
+    for name, body in {
+        "m/Scan.bsc": "11,4\n10.5,3\n10.5,9\nPeak\n11,4\nEnd\n",
+        "u/run_012.txt": "title\nWavelength nm.\tAbs.\n200\t0.5\n",
+        "f/ok.csv": "skip\ncm-1,%T\n400,1.5\n", "f/broken.csv": "skip\ncm-1,%T\n400,oops\n",
+        "g/broken.csv": "skip\ncm-1,%T\n400,oops\n",
+    }.items():
+        (raw / name).parent.mkdir(parents=True, exist_ok=True)
+        (raw / name).write_text(body)
+    kinds = [("ms", "bruker"), ("uv_vis", "Shimadzu"), ("ftir", "bruker")]
+    ins = spark.createDataFrame([(k, k, m) for k, m in kinds], "name string, type string, model string")
+    reg = spark.createDataFrame([("spectrum", "ms", "m"), ("titration", "uv_vis", "u"), ("half", "ftir", "f"), ("none", "ftir", "g")], "name string, instrument_name string, raw_data_filename string")
+    got = {r["name"]: (r["status"], r["reason"]) for r in ingest(spark, registry.experiments(reg), ins, str(raw), store, second=str(second)).collect()}
+    assert got == {"spectrum": ("persisted", None), "titration": ("persisted", None), "half": ("persisted", "some files left out: a value is no number"), "none": ("failed", "no file could be read: a value is no number")}
+    ms = spark.read.parquet(f"{store}/data/ms").orderBy("row_idx").collect()
+    assert [(r["mz"], r["intensity_a_u"], r["peaks"], r["name"]) for r in ms] == [(10.5, 3.0, False, "scan"), (11.0, 4.0, True, "scan")]
+    uv = spark.read.parquet(f"{store}/data/uv_vis").first()
+    assert (uv["titrant"], uv["name"], uv["wavelength_nm"]) == ("12", "u", 200.0)
+    assert spark.read.parquet(f"{second}/data/ftir").count() == 1 and not list((tmp_path / "store" / "staging").iterdir())
+    bad = catalog.Table(spark, f"{store}/bad_files", BAD_FILES).read()
+    assert {r["source_file"].rsplit("/", 2)[1] for r in bad.collect()} == {"f", "g"}
+
+
 def test_dual_write_and_snapshot(spark, tmp_path):
     df = spark.createDataFrame([("i", "e", 1.0)], "instrument_name string, experiment_id string, v double")
     assert catalog.write_twice(df, str(tmp_path / "a"), str(tmp_path / "b")) is None

@@ -43,11 +43,12 @@ def test_dma_ftir_ms_sec_saxs(spark, tmp_path):
     write(tmp_path / "ftir", a__csv="skip me\ncm-1,%T\n400,1.5\n401,1.6\n", b__csv="skip\ncm-1,%T\n400,oops\n")
     got, bad = read(spark, tmp_path / "ftir", "ftir", "bruker")
     assert list(got) == ["a.csv"] and bad == {"b.csv"}
-    write(tmp_path / "ms", a__bsc="10.5,3\n11,4\nPeak\n11,4\nEnd\n")
+    write(tmp_path / "ms", A__bsc="11,4\n10.5,3\n12,1\n10.5,9\nPeak list\n11,4\n7\nEnd\n13,1\nPeak\n12,1\nEnd\n")
     lines = text.read_lines(spark, str(tmp_path / "ms"))
     rows, _ = text.parsed(lines, "ms", "bruker")
-    assert [r["raw"]["m/z"] for r in rows.orderBy("row_idx").collect()] == ["10.5", "11", "11"]
-    assert [r["mz"] for r in text.peak_list(lines).collect()] == [11.0]
+    got = rows.orderBy("row_idx").collect()
+    assert [(r["raw"]["m/z"], r["raw"]["intensity"], r["peaks"], r["name"]) for r in got] == [("10.5", "3", False, "a"), ("11", "4", True, "a"), ("12", "1", True, "a"), ("13", "1", False, "a")]
+    assert sorted(r["mz"] for r in text.peak_list(lines).collect()) == [11.0, 12.0]
     write(tmp_path / "sec", run_RID1A__csv="0.1,5\n0.2,x\n0.3,6\n")
     got, _ = read(spark, tmp_path / "sec", "sec", "agilent")
     assert [r["detector_name"] for r in got["run_RID1A.csv"]] == ["ri", "ri"]
@@ -59,7 +60,7 @@ def test_rheometer_and_spectra(spark, tmp_path):
     head = "".join(f"line{k}\n\n" for k in range(4))
     write(tmp_path / "r", x__csv=head + "Interval data:\tPoint No.\tTime\tG'\nignored\n\t\t[s]\t[Pa]\n\t1\t0.5\t10\n\t2\t1.0\n\t3\t2\t3\t4\t5\n")
     got, _ = read(spark, tmp_path / "r", "rheometer", "anton_paar")
-    assert got["x.csv"] == [{"Time [s]": "0.5", "G' [Pa]": "10"}, {"Time [s]": "1.0", "G' [Pa]": None}]
+    assert got["x.csv"] == [{"Time [s]": "0.5", "G' [Pa]": "10"}, {"Time [s]": "1.0"}]
     write(tmp_path / "f", **{"s_1-250__txt": "Date: Fri Jan 05 10:00:00 CET 2024\nNumber of Pixels in Spectrum: 3\n>>>>>\n100\t1\n300\t2\n400\t3\n"})
     rows, _ = text.parsed(text.read_lines(spark, str(tmp_path / "f")), "uv_vis", "flame")
     got = rows.orderBy("row_idx").collect()
@@ -68,6 +69,20 @@ def test_rheometer_and_spectra(spark, tmp_path):
     assert read(spark, tmp_path / "u", "uv_vis", "Shimadzu")[0]["t_007.txt"] == [{"Wavelength nm.": "200", "Abs.": "0.5"}]
 
 
+def test_csv_branch_titrant_and_decoded_spectra(spark, tmp_path):
+    write(tmp_path / "t", a__csv="Temperature,Weight [mg],note\n20,10.0,x\n30,,y\n", b__txt="Index t Tr Mass\n[#] [s] [°C] [mg]\n0 1.0 20.0 10.0\n")
+    got, bad = read(spark, tmp_path / "t", "tga", "tgaX")
+    assert [r["Weight [mg]"] for r in got["a.csv"]] == ["10.0", None] and got["b.txt"][0]["Mass [mg]"] == "10.0" and not bad
+    write(tmp_path / "p", a__csv="Time,Program Temperature\n1,2\n")
+    assert read(spark, tmp_path / "p", "dsc", "default")[0]["a.csv"] == [{"Time": "1", "Program Temperature": "2"}]
+    write(tmp_path / "u", dna_007__txt="title\nWavelength nm.\tAbs.\n200\t0.5\n")
+    row = text.parsed(text.read_lines(spark, str(tmp_path / "u")), "uv_vis", "Shimadzu")[0].first()
+    assert (row["titrant"], row["name"]) == ("7", "u")
+    write(tmp_path / "n", a__jsonl='{"ppm": [1.5, 2.5, null], "intensity": [3.0, null, null]}\n', b__jsonl='{"ppm": [1], "intensity": [1, 2]}', c__jsonl="{oops", d__jsonl="\n")
+    got, bad = read(spark, tmp_path / "n", "nmr", "bruker_nmr")
+    assert got == {"a.jsonl": [{"ppm": "1.5", "intensity": "3.0"}, {"ppm": "2.5"}]} and bad == {"b.jsonl", "c.jsonl", "d.jsonl"}
+
+
 def test_spectrum_arrays(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0], [3.0, 4.0]), ("b", [1.0], [1.0, 2.0]), ("c", None, [1.0])], "source_folder string, ppm array<double>, i array<double>")
     rows, bad = text.explode_spectrum(df, "ppm", "i", ["source_folder"])
