@@ -238,7 +238,8 @@ def sweep(lines: DataFrame, class_of: np.ndarray, table: np.ndarray, turn: int)
                 to.append(c if gain[c] > gain[g] + 1e-9 else int(g))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(to, pa.int16())], names=["number", "class"])
 
-    counts = lines.mapInArrow(lean(contexts), "number int, cell short, n long").groupBy("number", "cell").agg(F.sum("n").alias("n"))
+    # one shuffle by word serves both groupings; tasks have summed their cells before it
+    counts = lines.mapInArrow(lean(contexts), "number int, cell short, n long").repartition("number").groupBy("number", "cell").agg(F.sum("n").alias("n"))
     a_word = counts.groupBy("number").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most 2k + 1 cells a word
     moved = a_word.mapInArrow(lean(best), "number int, class short").toArrow()  # at most a row a number
     out = class_of.copy()
