@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators: op1_ to op10_ and their SQL where SQL can say it."""
+"""The registered queries of the training-data operators: op1_ to op13_ and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm import blockjoin, brown, editprint, fastsketch, htmlblocks, langid, mixing, packing, tokenfile, toxicity
+from assayloom.llm import blockjoin, blocknames, brown, editprint, fastsketch, htmlblocks, langid, mixing, packing, tokenfile, toxicity
 from assayloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknames.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -64,10 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_token_files": op10_token_files,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 
-#: Models, sketches and subword ids can't be said in SQL; exact neighbours can, in the order of summation that op9 keeps.
+#: Models, sketches and subword ids can't be said in SQL; exact neighbours can, in the order of summation that op9 keeps, and exact copies.
 ORACLE_SQL: dict[str, str] = {
     "op9_nearest_neighbours": """
 with v as (
@@ -78,4 +83,8 @@ pairs as (
   from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0 group by 1, 2),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20""",
+    "op13_exact_dedup": """
+with folded as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id is not distinct from max(doc_id) over w as kept, sha256(body) as text_sha256
+from folded window w as (partition by body)""",
 }
