@@ -8,7 +8,7 @@ of n blocks ends at level ceil(log2 n). No hash decides anything.
 
 Every step is keyed by single blocks or pairs, never by a whole document, so a long text is spread over tasks. Copies of a block collapse
 before they are shuffled to be named, and the joins back to the documents are plain ones that adaptive execution splits where a key
-is frequent. Texts go through the shuffle twice; each level has half the rows of the one before, a few bytes each.
+is frequent. Distinct blocks of each task go through the shuffle once; each level has half the rows of the one before, a few bytes each.
 
 Defined cases: a null text counts as the empty one, which is one empty block; a row is a document of its own, so repeated rows are
 copies of each other; the largest doc_id of a group stays, and ``kept`` marks each row with that doc_id (so repeated rows of one document
@@ -41,13 +41,27 @@ def _blocks(docs: DataFrame, *keep: str) -> DataFrame:
     return spread.withColumn("block", F.substring("body", F.col("pos") * BLOCK + 1, F.lit(BLOCK)))
 
 
+def _hashes() -> list[Column]:
+    return [F.xxhash64(F.lit(1), "block").alias("h1"), F.xxhash64(F.lit(2), "block").alias("h2")]
+
+
+def block_names(docs: DataFrame, folder: str) -> tuple[DataFrame, list[str]]:
+    """Names of all distinct blocks, and the columns by which they are looked up."""
+    blocks = _blocks(docs).select("block")
+    short = named(blocks, folder, "blocks", keep=_hashes())
+    if short.groupBy("h1", "h2").count().filter("count > 1").isEmpty():
+        return short, ["h1", "h2"]
+    return named(blocks, folder, "whole-blocks"), ["block"]
+
+
 def identities(docs: DataFrame, folder: str) -> DataFrame:
     """A row for each row of ``docs``: row (a number), doc_id, sha (of the normalised text), and its identity (level, name)."""
-    blocks = named(_blocks(docs).select("block"), folder, "blocks")
+    blocks, keys = block_names(docs, folder)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     first = F.col("pos") == 0
-    placed = _blocks(rows, "row", "doc_id").select("row", "pos", "n", "block", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.unhex(F.sha2("body", 256))).alias("sha"))
-    ground = stored(placed.join(blocks, "block").drop("block"), folder, "level-0")
+    by = ["block"] if keys == ["block"] else _hashes()
+    placed = _blocks(rows, "row", "doc_id").select("row", "pos", "n", *by, F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.unhex(F.sha2("body", 256))).alias("sha"))
+    ground = stored(placed.join(blocks, keys).drop(*keys), folder, "level-0")
     about = ground.filter("pos = 0").select("row", "doc_id", "sha")
     now, level, ended = ground.select("row", "pos", "n", "name"), 0, []
     most = ground.agg(F.max("n")).first()[0] or 1
@@ -71,7 +85,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs`` (doc_id, text)."""
     folder = shared_folder(docs.sparkSession)
     found = stored(identities(docs, folder), folder, "identities")
-    groups = found.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stored(found.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), folder, "groups")
     return found.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

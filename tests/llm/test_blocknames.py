@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayloom.llm import blocknames
 
@@ -73,6 +74,12 @@ def test_deduplicated_keeps_one_row_of_each_text(spark, odd):
     assert sorted((str(i), t) for i, t in rows) == best
 
 
+def test_hashes_that_collide_are_not_used(spark, monkeypatch, docs):
+    monkeypatch.setattr(blocknames, "_hashes", lambda: [(F.xxhash64("block") % 5).alias("h1"), F.lit(0).alias("h2")])
+    few = docs.limit(80).select("doc_id", "text")
+    assert held(few) == sorted(brute([tuple(r) for r in few.collect()]), key=lambda r: tuple(str(x) for x in r))
+
+
 def test_no_python_in_the_plans(spark, docs):
     plan = blocknames.exact_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
