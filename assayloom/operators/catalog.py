@@ -1,18 +1,16 @@
 """Manifest, catalogue and metadata tables, and what is written.
 
-Tables are Parquet. A table that is replaced is written under a new version folder and the pointer file moves
-last, so readers never see half a table; there is one writer.
+Tables are Parquet; those that several jobs write are kept by a commit log (``commits.Table``).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions import scalar
 from assayloom.operators.characterize import latest_wins
+from assayloom.operators.commits import Table  # noqa: F401  a table of a catalogue
 
 PAIR = ["instrument_name", "raw_data_filename"]
 
@@ -74,50 +72,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], now=None) -> DataFra
     return latest_wins(both, keys, [F.desc("_new"), F.desc_nulls_last("updated_at")]).join(first, keys).withColumn("created_at", F.col("_first")).drop("_first", "_new")
 
 
-class Table:
-    """A small replaceable Parquet table of a store: versions in folders, the current one named by a pointer."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def version(self) -> str | None:
-        fs, path = self._fs()
-        if not fs.exists(path(f"{self.root}/CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
-
-    def read(self) -> DataFrame:
-        now = self.version()
-        return self.spark.createDataFrame([], self.schema) if now is None else self.spark.read.schema(self.schema).parquet(f"{self.root}/{now}")
-
-    def replace(self, df: DataFrame) -> None:
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
-        fs, path = self._fs()
-        out = fs.create(path(f"{self.root}/CURRENT.new"), True)
-        out.write(bytearray((name + "\n").encode()))
-        out.close()
-        # one rename over the old pointer: readers see the old version or the new one, never none
-        fs_package = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        context = fs_package.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(fs_package.Options.Rename, 1)
-        options[0] = fs_package.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(path(f"{self.root}/CURRENT.new")), fs.makeQualified(path(f"{self.root}/CURRENT")), options)
-
-    def append(self, df: DataFrame) -> None:
-        """Rows added to the current version."""
-        now = self.version()
-        if now is None:
-            self.replace(df)
-        else:
-            df.write.mode("append").parquet(f"{self.root}/{now}")
-
-
 def write_measurements(df: DataFrame, root: str) -> None:
     """K1 and K2: Hive layout by instrument and experiment on any Hadoop file system; only touched experiments are replaced.
 
@@ -127,6 +81,11 @@ def write_measurements(df: DataFrame, root: str) -> None:
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument_name", "experiment_id").parquet(root)
 
 
+def stored_rows(spark: SparkSession, root: str, experiments: DataFrame, schema) -> DataFrame:
+    """Rows of the experiments (instrument_name, experiment_id) below ``root``; other experiments' folders are pruned before they are read."""
+    return spark.read.schema(schema).parquet(root).join(experiments.select("instrument_name", "experiment_id").distinct(), ["instrument_name", "experiment_id"], "left_semi")
+
+
 def drop_folder(spark: SparkSession, root: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.operators.normalize import joined_null_safe
+from assayloom.sources.shared import shared_folder, stored
+
+CHUNK = 4_000_000  # rows of a run that a task takes
+
 
 def _run(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -18,18 +23,25 @@ def differences(df: DataFrame, x: str, by: list[str], order: list[str]) -> DataF
     return df.withColumn("d", F.col(x) - F.lag(x).over(w)).withColumn("d2", F.col("d") - F.lag("d").over(w))
 
 
-def base_label(sensitivity: float):
+def base_label(sensitivity: float, d: Column | None = None, d2: Column | None = None):
     """A segment's kind from d and d2."""
-    moving = F.col("d").isNotNull() & (F.col("d") != 0)
+    d, d2 = F.col("d") if d is None else d, F.col("d2") if d2 is None else d2
+    moving = d.isNotNull() & (d != 0)
     return (
-        F.when(F.col("d2") < -sensitivity, F.when(moving, "Cooling_start").otherwise("Heating_end"))
-        .when(F.col("d2") > sensitivity, F.when(moving, "Heating_start").otherwise("Cooling_end"))
-        .when(F.col("d") > 0, "Heating")
-        .when(F.col("d") < 0, "Cooling")
+        F.when(d2 < -sensitivity, F.when(moving, "Cooling_start").otherwise("Heating_end"))
+        .when(d2 > sensitivity, F.when(moving, "Heating_start").otherwise("Cooling_end"))
+        .when(d > 0, "Heating")
+        .when(d < 0, "Cooling")
         .otherwise("Isothermal")
     )
 
 
+def _cycled(base: str = "base") -> Column:
+    """The label with its cycle; the counts are in heat, cool and iso."""
+    cycle = F.when(F.col(base).isin("Heating_end", "Cooling_end"), None).when(F.col(base).startswith("Heating"), F.col("heat")).when(F.col(base).startswith("Cooling"), F.col("cool")).otherwise(F.col("iso"))
+    return F.concat_ws("_", base, cycle.cast("string"))
+
+
 def segment_labels(df: DataFrame, x: str = "temperature_C", by: list[str] | None = None, order: list[str] | None = None, sensitivity: float = 0.1, keep_parts: bool = False) -> DataFrame:
     """``profile`` with cycle numbers for each row of each run.
 
@@ -46,26 +58,71 @@ def segment_labels(df: DataFrame, x: str = "temperature_C", by: list[str] | None
     ends = lambda what: F.sum(F.when(F.col("base") == what, 1).otherwise(0)).over(upto)
     starts = (F.col("base") == "Isothermal") & (F.lag("base", 1, "").over(w) != "Isothermal")
     out = out.withColumn("starts", starts).withColumn("heat", ends("Heating_end")).withColumn("cool", ends("Cooling_end")).withColumn("iso", F.sum(F.col("starts").cast("int")).over(upto) - 1)
-    cycle = F.when(F.col("base").isin("Heating_end", "Cooling_end"), None).when(F.col("base").startswith("Heating"), F.col("heat")).when(F.col("base").startswith("Cooling"), F.col("cool")).otherwise(F.col("iso"))
-    out = out.withColumn("profile", F.concat_ws("_", "base", cycle.cast("string")))
+    out = out.withColumn("profile", _cycled())
     return out if keep_parts else out.drop("d", "d2", "base", "starts", "heat", "cool", "iso")
 
 
-def mass_percent(df: DataFrame, mass: str = "mass_mg", by: list[str] | None = None, out: str = "mass_pct", mode: str = "minmax", order: list[str] | None = None) -> DataFrame:
-    """Percent of the mass span of a run (constant: 0), or of its first mass; a full column is left as it is."""
+def row_chunks(rows: int = CHUNK, order: str = "row_idx") -> Column:
+    """Chunks of a run by its row numbers."""
+    return F.floor(F.col(order) / rows).cast("long")
+
+
+def scanned_labels(df: DataFrame, x: str = "temperature_C", by: list[str] | None = None, order: list[str] | None = None, sensitivity: float = 0.1, chunk: Column | None = None) -> DataFrame:
+    """W1 to W4 for runs larger than a task: a segmented prefix scan, equal to ``segment_labels``.
+
+    ``chunk`` never falls along the order within a run (row numbers in ``CHUNK``s by default; a time span, for runs ordered by time). Windows look
+    at one chunk only. Each chunk hands on its last three values, with which the label of every row and of the row before it is known where the row
+    lies, and how many ends and starts it has; both are folded over the chunks of a run, and each chunk adds what comes before it.
+    """
+    if x not in df.columns:
+        raise ValueError(f"no column {x}")
+    by = by if by is not None else [c for c in ("name", "run_id") if c in df.columns][:1]
+    order = order or ["row_idx"]
+    folder = shared_folder(df.sparkSession)
+    w = _run([*by, "_chunk"], order)
+    lags = {f"_x{k}": F.lag(x, k).over(w) for k in (1, 2, 3)}
+    near = stored(df.withColumn("_chunk", row_chunks() if chunk is None else chunk).withColumns({"_n": F.row_number().over(w), **lags}), folder, "near")
+    keys = [*by, "_chunk"]
+    chunks = Window.partitionBy(*by).orderBy("_chunk") if by else Window.orderBy("_chunk")  # a row a chunk
+    last = near.groupBy(*keys).agg(F.max(F.struct("_n", x, "_x1", "_x2")).alias("l"))
+    last = last.withColumn("v", F.slice(F.array(f"l.{x}", "l._x1", "l._x2"), F.lit(1), F.least("l._n", F.lit(3))))
+    none = F.array().cast("array<" + df.schema[x].dataType.simpleString() + ">")
+    carried = last.select(*keys, F.slice(F.concat(*[F.coalesce(F.lag("v", k).over(chunks), none) for k in (1, 2, 3)]), 1, 3).alias("_before"))
+    met = joined_null_safe(near, carried, keys)
+    x0, x1, x2, x3 = F.col(x), *[F.when(F.col("_n") > k, F.col(f"_x{k}")).otherwise(F.get("_before", F.lit(k) - F.col("_n"))) for k in (1, 2, 3)]
+    base = base_label(sensitivity, x0 - x1, (x0 - x1) - (x1 - x2))
+    before = F.when((F.col("_n") > 1) | (F.size("_before") > 0), base_label(sensitivity, x1 - x2, (x1 - x2) - (x2 - x3))).otherwise("")
+    met = met.select(*df.columns, "_chunk", base.alias("base"), before.alias("_base")).withColumn("starts", (F.col("base") == "Isothermal") & (F.col("_base") != "Isothermal"))
+    counts = {"heat": F.col("base") == "Heating_end", "cool": F.col("base") == "Cooling_end", "iso": F.col("starts")}
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    summed = met.groupBy(*keys).agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
+    summed = summed.select(*keys, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in counts])
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = joined_null_safe(met, summed, keys).withColumns({name: F.col(f"_{name}") + F.sum(c.cast("int")).over(upto) - (1 if name == "iso" else 0) for name, c in counts.items()})
+    return out.select(*df.columns, _cycled().alias("profile"))
+
+
+def mass_percent(df: DataFrame, mass: str = "mass_mg", by: list[str] | None = None, out: str = "mass_pct", mode: str = "minmax", order: list[str] | None = None, large: bool = False) -> DataFrame:
+    """Percent of the mass span of a run (constant: 0), or of its first mass; a full column is left as it is.
+
+    ``large``: a run's figures are aggregated and joined back, so that its rows needn't meet in one task.
+    """
     if mass not in df.columns:
         return df
-    w = Window.partitionBy(*(by or ["experiment_id"]))
-    if mode == "initial":
-        first = F.min(F.struct(*(order or ["row_idx"]), mass)).over(w)[mass]
-        value = F.col(mass) / first * 100
+    by = by or ["experiment_id"]
+    figures = {"_first": F.min(F.struct(*(order or ["row_idx"]), mass))[mass]} if mode == "initial" else {"_low": F.min(mass), "_high": F.max(mass)}
+    if out in df.columns:
+        figures["_full"] = F.bool_and(F.col(out).isNotNull())
+    if large:
+        met = joined_null_safe(df, df.groupBy(*by).agg(*[c.alias(name) for name, c in figures.items()]), by)
     else:
-        low, high = F.min(mass).over(w), F.max(mass).over(w)
-        value = F.when(high == low, F.lit(0.0)).otherwise((F.col(mass) - low) / F.nullif(high - low, F.lit(0.0)) * 100)
+        w = Window.partitionBy(*by)
+        met = df.withColumns({name: (F.min(F.struct(*(order or ["row_idx"]), mass)).over(w)[mass] if name == "_first" else c.over(w)) for name, c in figures.items()})
+    low, high = F.col("_low"), F.col("_high")
+    value = F.col(mass) / F.col("_first") * 100 if mode == "initial" else F.when(high == low, F.lit(0.0)).otherwise((F.col(mass) - low) / F.nullif(high - low, F.lit(0.0)) * 100)
     if out in df.columns:
-        full = F.bool_and(F.col(out).isNotNull()).over(w)
-        value = F.when(full, F.col(out)).otherwise(value)
-    return df.withColumn(out, value)
+        value = F.when(F.col("_full"), F.col(out)).otherwise(value)
+    return met.withColumn(out, value).drop(*figures)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -84,7 +141,7 @@ def appearance_order(df: DataFrame, group: str, order: str = "row_idx") -> DataF
 
 
 CHARACTERISERS: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {
-    "dsc_profiling": lambda sensitivity=0.1, **kw: lambda df: segment_labels(df, sensitivity=sensitivity, **kw),
+    "dsc_profiling": lambda sensitivity=0.1, large=False, **kw: lambda df: (scanned_labels if large else segment_labels)(df, sensitivity=sensitivity, **kw),
     "tga": lambda **kw: lambda df: mass_percent(df, **kw),
 }
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.scalar import group_label, is_boundary
 
+# The metadata columns of a comparison.
 METADATA = ("experiment_name", "experiment_id", "sample_id", "run_id", "instrument_name", "instrument_type", "measurement_profile")
 MODES = ("auto", "overlay", "facet", "stacked")
 

@@ -5,36 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.operators.normalize import quoted
+from assayloom.operators.normalize import joined_null_safe, quoted
+from assayloom.sources.shared import shared_folder, stored
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Rows by group and value, dealt by ranges of (group, value): ``_n`` rows in range ``_part``; written once."""
+    counted = df.groupBy(*by, value).agg(F.count("*").alias("_n")).repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
+    return stored(counted, shared_folder(df.sparkSession), "counted", ("_part",))
+
+
+def quantiles_of(counted: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear between neighbours) by group, as ``{name: share}``; groups without values are left out.
 
-    Rows are counted by group and value first, so a hot group is summed in many tasks; what is then sorted and cumulated
-    within a group are its distinct values, which spill instead of filling a hash map.
+    A distributed selection over counted_values(): sums of the ranges tell in which range each wanted rank lies, and only those
+    ranges are looked into, each in a task of its own.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(group))
-    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))  # noqa: E731  the value at a rank from 0
-    columns = []
-    for name, share in shares.items():
-        place = F.lit(share) * (F.col("_all") - 1)
-        columns += [at(F.floor(place)).alias(f"_{name}_low"), at(F.ceil(place)).alias(f"_{name}_high"), F.max(place - F.floor(place)).alias(f"_{name}_part")]
-    found = ranked.groupBy(*by).agg(*columns)
-    return found.select(*by, *[(F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * F.col(f"_{n}_part")).alias(n) for n in shares])
+    some = counted.filter(F.col(value).isNotNull())
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row a range
+    ranges = some.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
+    ranges = ranges.withColumn("_all", F.sum("_in").over(group)).withColumn("_upto", F.sum("_in").over(group.orderBy("_part")))
+    place = lambda share: F.lit(share) * (F.col("_all") - 1)
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(place(share)).cast("long").alias("rank"), (place(share) - F.floor(place(share))).alias("part")) for name, share in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    asked = ranges.select("*", F.explode(F.array(*wanted)).alias("w")).filter((F.col("w.rank") < F.col("_upto")) & (F.col("w.rank") >= F.col("_upto") - F.col("_in")))
+    asked = asked.select(*by, "_part", F.col("w.name").alias("_name"), F.col("w.side").alias("_side"), (F.col("w.rank") - F.col("_upto") + F.col("_in")).alias("_rank"), F.col("w.part").alias("_fraction"))
+    keys = [*by, "_part"]
+    here = joined_null_safe(some, asked.select(*keys).distinct(), keys)
+    here = here.withColumn("_last", F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = joined_null_safe(here, asked, keys).filter((F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_n")))
+    at = lambda name, side: F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col(value)))
+    between = lambda name: at(name, "low") + (at(name, "high") - at(name, "low")) * F.max(F.when(F.col("_name") == name, F.col("_fraction")))
+    return found.groupBy(*by).agg(*[between(name).alias(name) for name in shares])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a value by group; see quantiles_of()."""
+    return quantiles_of(counted_values(df, by, value), by, value, shares)
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, mean, std, min, quartiles (linear) and max of a value by group."""
-    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    q = quantiles(df, by, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).select(*[F.col(c).alias(f"_{c}") for c in by], "q25", "q50", "q75")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return out.join(q, same, "left").select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    """Count, mean, std, min, quartiles (linear) and max of a value by group, all from its counted values; the table is read once."""
+    counted = counted_values(df, by, value)
+    v, n = F.col(value).cast("double"), F.when(F.col(value).isNotNull(), F.col("_n"))
+    plain = counted.groupBy(*by).agg(F.coalesce(F.sum(n), F.lit(0)).alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    if not by:
+        plain = plain.filter("count >= 0")
+    away = joined_null_safe(counted, plain.select(*by, "mean"), by).groupBy(*by).agg(F.sum(n * (v - F.col("mean")) ** 2).alias("_away"))
+    q = quantiles_of(counted, by, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    out = joined_null_safe(joined_null_safe(plain, away, by), q, by, "left")
+    std = F.sqrt(F.col("_away") / F.nullif(F.col("count") - 1, F.lit(0)))
+    return out.select(*by, "count", "mean", std.alias("std"), "min", "q25", "q50", "q75", "max")
 
 
 def features(df: DataFrame, by: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -17,6 +17,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def joined_null_safe(df: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the other columns of ``right``; null keys meet. Without keys ``right`` is one row."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & quoted(k).eqNullSafe(quoted(f"_of_{k}"))
+    return df.join(other, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def chosen_aliases(headers: list[str], layers: Layers) -> tuple[dict[str, str], list[str]]:
     """P2 for known headers: {canonical: raw header} and warnings; a present canonical column is left alone."""
     taken, warnings = {}, []

@@ -73,9 +73,9 @@ def latest_metadata(df: DataFrame, limit: int | None = None, key: str = "dataset
     return out if limit is None else out.limit(limit)
 
 
-def latest_named(df: DataFrame, name: str, column: str = "dataset_name") -> DataFrame:
-    """L3."""
-    return latest_metadata(df.filter(F.col(column) == name), 1)
+def latest_named(df: DataFrame, name: str, column: str = "dataset_name", tie: str | None = None) -> DataFrame:
+    """L3; ``tie``: the column whose smallest value wins between equally new rows."""
+    return latest_metadata(df.filter(F.col(column) == name), 1, tie or column)
 
 
 def page(df: DataFrame, order: list[str], limit: int = 100, offset: int = 0) -> tuple[DataFrame, dict[str, str]]:
@@ -85,16 +85,11 @@ def page(df: DataFrame, order: list[str], limit: int = 100, offset: int = 0) ->
     return df.orderBy(*order).offset(offset).limit(limit), dict(df.dtypes)
 
 
-def runs_by_status(runs: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
+def runs_by_status(runs: DataFrame, status: str | None = None, limit: int | None = None, key: str | None = None) -> DataFrame:
     """L5."""
-    return latest(runs if status is None else runs.filter(F.col("status") == status), "created_at", limit)
+    return latest(runs if status is None else runs.filter(F.col("status") == status), "created_at", limit, key)
 
 
-def by_mass(df: DataFrame) -> DataFrame:
-    """L6."""
-    return df.orderBy("mz")
-
-
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """L7."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
+    """The first rows, of any order or of a given one."""
+    return (df.orderBy(*order) if order else df).limit(n)

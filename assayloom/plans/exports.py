@@ -1,46 +1,34 @@
 """Queries over raw exports: a table's rows are written as instrument text files by Spark and read back by the real readers.
 
-A run is what a nation's suppliers delivered. Files lie in the shared folder ``spark.checkpoint.dir``, in a new folder for each call.
+A run is a range of ``ORDERS`` orders, so there are more runs in a larger table and a file stays small. Files lie in the shared folder ``spark.checkpoint.dir``, in a new folder for each call.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions import scalar
 from assayloom.operators import catalog, normalize, select, validate
+from assayloom.plans import ingest as plan
 from assayloom.plans.queries import query, table
 from assayloom.sources import files, registry, text
+from assayloom.sources.shared import shared_folder
 from assayloom.streaming import ingest as stream
 
-_POINTS = "with points as (select s_nationkey as run, l_orderkey * 10 + l_linenumber as idx, l_quantity as x, l_extendedprice as y, l_discount as z from lineitem join supplier on l_suppkey = s_suppkey)\n"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see; a local one only for a local session without the setting (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="assayloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/exports-{uuid.uuid4().hex}"
+ORDERS = 2048
+_POINTS = "with points as (select (l_orderkey // 2048)::int as run, l_orderkey * 10 + l_linenumber as idx, l_quantity as x, l_extendedprice as y, l_discount as z from lineitem)\n"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    return l.join(s, l.l_suppkey == s.s_suppkey).select(F.col("s_nationkey").alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("z"))
+    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("z"))
 
 
-def exported(spark: SparkSession, rows: DataFrame, line, head: str, foot: str = "", end: str = "\n") -> str:
+def exported(spark: SparkSession, rows: DataFrame, line, head: str, foot: str = "", end: str = "\n", folder: str | None = None) -> str:
     """Folder with one text file a run: ``head``, a ``line`` (column) for each row of ``rows``, ``foot``."""
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
     body = rows.select("run", "idx", line.alias("line")).groupBy("run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "line"))), lambda p: p["line"]), end).alias("body"))
-    body.select("run", F.concat(F.lit(head), "body", F.lit(foot)).alias("value")).write.partitionBy("run").text(folder)
+    body.select("run", F.concat(F.lit(head), "body", F.lit(foot)).alias("value")).write.mode("append").partitionBy("run").text(folder)
     return folder
 
 
@@ -167,6 +155,111 @@ def export_stream(spark, sf_dir):
     return spark.read.schema("source_file string, lines long").parquet(f"{out}/lines").select(_run(), "lines")
 
 
+def _laboratory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points, experiments and instruments: even runs belong to a calorimeter, odd ones to a spectrometer, each with a folder of its own."""
+    p = points(spark, sf_dir)
+    instrument = F.when(F.col("run") % 2 == 0, "cal").otherwise("spec")
+    rows = p.select("run").distinct().select(F.concat(F.lit("exp "), "run").alias("name"), instrument.alias("instrument_name"), F.concat(F.lit("run="), "run").alias("raw_data_filename"))
+    devices = spark.createDataFrame([("cal", "dsc", "prior", "calorimeter", ("dsc_profiling", 0.1)), ("spec", "ftir", "bruker", "infrared", None)], "name string, type string, model string, folder_name string, characterizer struct<type: string, sensitivity: double>")
+    return p, registry.experiments(rows), devices
+
+
+def _measured(p: DataFrame, raw: str) -> None:
+    """Raw exports of the points' runs below ``raw``, as their instruments write them."""
+    exported(p.sparkSession, p.filter("run % 2 = 0"), F.concat_ws("   ", F.lit(" "), "idx", "idx", "x", "y"), "Report\n  Index   t   Tr   Value\n       [s]   [°C]   [mW]\n", "\nResults:\n", folder=f"{raw}/calorimeter")
+    exported(p.sparkSession, p.filter("run % 2 = 1"), F.concat_ws(",", "x", "y"), "exported by hand\nWavenumber,Absorbance\n", folder=f"{raw}/infrared")
+
+
+_INGESTED = _POINTS + "select 'exp ' || run as experiment, case when run % 2 = 0 then x end as temperature, case when run % 2 = 0 then y end as heat, case when run % 2 = 1 then x end as wavenumber, case when run % 2 = 1 then y end as absorbance from points"
+
+
+def _ingested(spark: SparkSession, store: str) -> DataFrame:
+    """All rows of a store under the names of its catalogue."""
+    known = catalog.Table(spark, f"{store}/catalog", plan.CATALOG).read().select("experiment_id", F.col("experiment_name").alias("experiment"))
+    wanted = {"temperature": "temperature_C", "heat": "heat_flow_mW", "wavenumber": "wavenumber_cm_inv", "absorbance": "absorbance_a_u"}
+    parts = []
+    for kind in ("dsc", "ftir"):
+        rows = registry.scan_storage(spark, f"{store}/data/{kind}", partitioned=True).join(known, "experiment_id")
+        parts.append(rows.select("experiment", *[(F.col(c) if c in rows.columns else F.lit(None).cast("double")).alias(name) for name, c in wanted.items()]))
+    return parts[0].unionByName(parts[1])
+
+
+@query(_INGESTED)
+def ingest_store(spark, sf_dir):
+    """Two thirds of the experiments are ingested, then all, of which the first are registered; the store is read back."""
+    p, experiments, devices = _laboratory(spark, sf_dir)
+    raw, store = shared_folder(spark), shared_folder(spark)
+    _measured(p, raw)
+    plan.ingest(spark, experiments.filter(~F.col("name").endswith("3")), devices, raw, store)
+    plan.ingest(spark, experiments, devices, raw, store)
+    return _ingested(spark, store)
+
+
+@query(_INGESTED)
+def ingest_stream(spark, sf_dir):
+    """Files that come in two portions are ingested up to the catalogue by a stream; the store is read back."""
+    p, experiments, devices = _laboratory(spark, sf_dir)
+    raw, store, checkpoint = shared_folder(spark), shared_folder(spark), shared_folder(spark)
+    for part in ("run % 3 <> 0", "run % 3 = 0"):
+        _measured(p.filter(part), raw)
+        stream.ingest_new(spark, experiments, devices, raw, store, checkpoint)
+    return _ingested(spark, store)
+
+
+@query("select lower(trim(' DSC_' || n_nationkey || ' ')) as name, 'dsc' as type, 'prior' as model, 'folder ' || n_nationkey as folder_name, n_nationkey / 100.0 as sensitivity from nation")
+def instrument_config(spark, sf_dir):
+    """An instrument configuration written as one JSON array and read with folded names."""
+    n, folder = table(spark, sf_dir, "nation"), shared_folder(spark)
+    entry = F.struct(F.concat(F.lit(" DSC_"), "n_nationkey", F.lit(" ")).alias("name"), F.lit("dsc").alias("type"), F.lit("prior").alias("model"), F.concat(F.lit("folder "), "n_nationkey").alias("folder_name"), F.struct((F.col("n_nationkey") / 100).alias("sensitivity")).alias("characterizer"))
+    n.agg(F.to_json(F.collect_list(entry)).alias("value")).write.text(folder)  # a configuration
+    return registry.read_instruments(spark, folder).select("name", "type", "model", "folder_name", F.col("characterizer.sensitivity").alias("sensitivity"))
+
+
+@query("select c_name as name, c_nationkey::varchar as instrument_name from customer where c_name in (select c_name from customer where c_custkey % 50 = 1)")
+def registry_snapshot(spark, sf_dir):
+    """The chosen registry rows as a job's snapshot."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("instrument_name"))
+    names = [r["name"] for r in c.filter("c_custkey % 50 = 1").select("name").collect()]  # the names a user gives
+    return spark.read.parquet(catalog.snapshot(c.drop("c_custkey"), names, shared_folder(spark), "job 1"))
+
+
+@query("select 'n' || s_nationkey as experiment_id, 'data ' || s_nationkey as dataset_name, s_nationkey::varchar as nation, max(s_suppkey)::varchar as newest from supplier group by s_nationkey")
+def sidecar_files(spark, sf_dir):
+    """A metadata file for each dataset; files that are none give no row."""
+    s, folder = table(spark, sf_dir, "supplier"), shared_folder(spark)
+    known = s.groupBy("s_nationkey").agg(F.max("s_suppkey").cast("string").alias("newest")).withColumn("place", F.col("s_nationkey"))
+    about = F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string"), F.lit("newest"), F.col("newest"))
+    known.select("place", F.concat(F.lit("n"), "s_nationkey").alias("experiment_id"), F.concat(F.lit("data "), "s_nationkey").alias("dataset_name"), about.alias("metadata")).write.partitionBy("place").json(folder)
+    known.select((F.col("place") + 1000).alias("place"), F.lit("oops").alias("other")).write.mode("append").partitionBy("place").json(folder)
+    return registry.read_sidecars(spark, folder).select("experiment_id", "dataset_name", F.col("metadata.nation").alias("nation"), F.col("metadata.newest").alias("newest"))
+
+
+def _catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets of points, one a run, with their catalogue: some have a column more, some paths are gone."""
+    root, p = shared_folder(spark), points(spark, sf_dir)
+    for part, columns in (("run % 3 = 0", ["x", "y", "z"]), ("run % 3 <> 0", ["x", "y"])):
+        p.filter(part).select("run", *columns).withColumn("dataset", F.col("run")).write.mode("append").partitionBy("dataset").parquet(root)
+    runs = p.select("run").distinct()
+    lost = runs.filter("run % 4 = 1").select((F.col("run") + 100000).alias("run"))
+    return runs.union(lost).select(F.concat(F.lit("run "), "run").alias("table_name"), F.concat(F.lit(root + "/dataset="), "run").alias("storage_path"))
+
+
+@query(_POINTS + "select 'run_' || run as dataset, count(*) as rows, round(sum(y), 2) as total from points where run % 5 <> 2 group by run")
+def catalogue_views(spark, sf_dir):
+    """Views of a catalogue, some of them removed, what can't be read left out; each view is read by SQL."""
+    known = _catalogued(spark, sf_dir)
+    for r in known.filter("cast(substr(table_name, 5) as int) % 5 = 2 and cast(substr(table_name, 5) as int) < 100000").select("table_name").collect():  # the names a user removes
+        known = catalog.remove(spark, known, r["table_name"])
+    made = catalog.register_views(spark, known)
+    return catalog.query(spark, " union all ".join(f"select '{v}' as dataset, count(*) as rows, round(sum(y), 2) as total from {v}" for v in made))
+
+
+@query(_POINTS + "select run, x, y, case when run % 3 = 0 then z end as z from points where run = 3")
+def stored_dataset(spark, sf_dir):
+    """A dataset by its catalogue name."""
+    return registry.read_dataset(spark, _catalogued(spark, sf_dir), "run 3").select("run", "x", "y", "z")
+
+
 @query("""
 select s_name as name, lower(trim(' DSC_' || s_nationkey || ' ')) as instrument_name, s_name || '.txt' as raw_data_filename, case when s_suppkey % 2 = 0 then 'note ' || s_suppkey end as remark from supplier""")
 def registry_files(spark, sf_dir):

@@ -122,6 +122,33 @@ def appearance_order(spark, sf_dir):
     return characterize.appearance_order(table(spark, sf_dir, "events"), "event_type", "event_id")
 
 
+@query(_LABELS + "select event_id, user_id, profile from labelled")
+def segment_labels_scanned(spark, sf_dir):
+    """W1 to W4 by a segmented prefix scan: a run's rows are spread over its days."""
+    out = characterize.scanned_labels(_runs(spark, sf_dir), "x", ["user_id"], ["ts", "event_id"], 0.1, F.unix_date(F.to_date("ts")).cast("long"))
+    return out.select("event_id", "user_id", "profile")
+
+
+@query("""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(case when hi = lo then 0 else (l_quantity - lo) / nullif(hi - lo, 0) * 100 end, 4) as mass_pct
+from (select *, min(l_quantity) over (partition by l_returnflag) as lo, max(l_quantity) over (partition by l_returnflag) as hi from lineitem)""")
+def minmax_pct_large(spark, sf_dir):
+    """W5 where a third of all rows are one run."""
+    out = characterize.mass_percent(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"], large=True)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r4("mass_pct", "mass_pct"))
+
+
+@query("select user_id, count(*) as points, round(max(value) - min(value), 4) as height from events group by user_id")
+def user_characteriser(spark, sf_dir):
+    """A registered hook over each run."""
+
+    @characterize.characteriser("height")
+    def make(by: str):
+        return lambda df: df.groupBy(by).agg(F.count("*").alias("points"), r4(F.max("value") - F.min("value"), "height"))
+
+    return characterize.characterize(table(spark, sf_dir, "events"), "height", by="user_id")[0]
+
+
 # --- normalisation -----------------------------------------------------------------------------------------------
 
 
@@ -148,14 +175,16 @@ def normalize_mixed(spark, sf_dir):
 
 
 @query("""
-select case when o_orderkey % 2 = 0 then 'f' else 't' end || (o_custkey % 100) as experiment_id, bool_and(true) as schema_applied,
-       case when max(o_orderkey % 2) = 0 then 0 else 1 end as n_missing from orders group by 1""")
+select case when o_orderkey % 2 = 0 then 'f' else 't' end || (o_custkey % 100) as experiment_id, true as schema_applied, '1.0' as schema_version, case when o_orderkey % 2 = 0 then 'Wavenumber' else 'Temperature' end as renamed_from,
+       case when o_orderkey % 2 = 0 then [] else ['mass_mg'] end as missing_required_columns, []::varchar[] as warnings, null::varchar as measurement_profile,
+       case when o_orderkey % 2 = 0 then ['base', 'model:bruker'] else ['base', 'model:tgaX'] end as layers_applied from orders group by all""")
 def normalization_report(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     even = F.col("o_orderkey") % 2 == 0
     rows = o.select(F.concat(F.when(even, "f").otherwise("t"), (F.col("o_custkey") % 100).cast("string")).alias("experiment_id"), F.when(even, "ftir").otherwise("tga").alias("type"), F.when(even, "bruker").otherwise("tgaX").alias("model"), F.lit(None).cast("string").alias("profile"), F.create_map(F.when(even, "Wavenumber").otherwise("Temperature"), F.col("o_custkey").cast("string")).alias("raw"))
     _, reports = normalize.normalize_mixed(rows, [("ftir", "bruker", None), ("tga", "tgaX", None)])
-    return reports.select("experiment_id", F.col("report.schema_applied").alias("schema_applied"), F.size("report.missing_required_columns").alias("n_missing"))
+    names = ("schema_applied", "schema_version", "missing_required_columns", "warnings", "measurement_profile", "layers_applied")
+    return reports.select("experiment_id", F.array_join(F.map_values("report.renamed_columns"), ", ").alias("renamed_from"), *[F.col(f"report.{c}").alias(c) for c in names])
 
 
 @query("select event_id, try_cast(json_extract_string(props, '$.k') as double) as k from events where try_cast(json_extract_string(props, '$.k') as double) is not null")
@@ -266,7 +295,7 @@ def list_metadata(spark, sf_dir):
 @query("select o_custkey as dataset_name, o_orderkey from orders where o_custkey = 7 order by o_orderdate desc nulls last, o_orderkey limit 1")
 def latest_named(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset_name"), "o_orderkey", F.col("o_orderdate").alias("updated_at"), F.lit(None).cast("timestamp").alias("created_at"))
-    return select.latest_metadata(o.filter("dataset_name = 7"), 1, "o_orderkey").select("dataset_name", "o_orderkey")
+    return select.latest_named(o, 7, tie="o_orderkey").select("dataset_name", "o_orderkey")
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_orderkey limit 100 offset 200")
@@ -276,8 +305,14 @@ def page(spark, sf_dir):
 
 @query("select o_orderkey, o_orderdate as created_at from orders where o_orderstatus = 'O' order by o_orderdate desc, o_orderkey limit 30")
 def runs_by_status(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_orderkey", F.col("o_orderdate").alias("created_at"))
-    return select.latest(o, "created_at", 30, "o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    return select.runs_by_status(o, "O", 30, "o_orderkey").select("o_orderkey", "created_at")
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_orderkey limit 5")
+def preview(spark, sf_dir):
+    """L7, in the order of keys."""
+    return select.preview(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), order=["o_orderkey"])
 
 
 # --- aggregations ------------------------------------------------------------------------------------------------
@@ -307,7 +342,7 @@ def span(spark, sf_dir):
     return features.span(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity")
 
 
-@query("select user_id, count(*) as rows, 5 as columns from events group by user_id")
+@query("select user_id, count(*) as rows, (count(event_id) > 0)::int + (count(ts) > 0)::int + (count(event_type) > 0)::int + (count(value) > 0)::int + (count(props) > 0)::int as columns from events group by user_id")
 def dataset_sizes(spark, sf_dir):
     return features.sizes(table(spark, sf_dir, "events"), "user_id")
 
@@ -357,9 +392,15 @@ def distinct_values(spark, sf_dir):
     return features.distinct_values(table(spark, sf_dir, "orders"), "o_orderpriority")
 
 
-@query("select min(o_totalprice) as low, max(o_totalprice) as high from orders")
+@query("""
+with b as (select 'price' as which, min(o_totalprice) as low, max(o_totalprice) as high from orders union all select 'one order', min(o_totalprice), min(o_totalprice) from orders union all select 'zero', min(0.0), max(0.0) from orders)
+select which, (low - case when low = high then case when low = 0 then 1 else abs(low) * 0.05 end else 0 end)::double as low, (high + case when low = high then case when low = 0 then 1 else abs(low) * 0.05 end else 0 end)::double as high from b""")
 def padded_bounds(spark, sf_dir):
-    return features.bounds(table(spark, sf_dir, "orders"), "o_totalprice")
+    """A16, with both paddings of equal bounds."""
+    o = table(spark, sf_dir, "orders")
+    least = o.agg(F.min("o_totalprice").alias("o_totalprice"))
+    cases = {"price": o, "one order": least, "zero": o.select(F.lit(0.0).alias("o_totalprice"))}
+    return compare.union_labelled({name: features.bounds(df, "o_totalprice") for name, df in cases.items()}, "which")
 
 
 @query("select o_orderstatus, case when o_totalprice < 0 then 0 when o_totalprice >= 500000 then 21 else floor(o_totalprice / 25000)::bigint + 1 end as bin, count(*) as n from orders group by 1, 2")
@@ -487,22 +528,22 @@ def stacked_offset(spark, sf_dir):
 
 
 @query("""
-select 0 as position, 'value' as x_column, 'purchase side' as series, value as x, user_id::double as y from events where event_type = 'purchase'
-union all select 1, 'value', case when event_type = 'view' then 'rest | view' else 'rest | ' || event_type end, value, user_id + 5.0 from events where event_type <> 'purchase'""")
+with l as (select l_extendedprice as x, l_quantity as y, case when l_linenumber = 1 then 'Heating_start_1' when l_linenumber = 2 then null else l_returnflag end as g from lineitem)
+select 0 as position, 'price' as x_column, 'all' as series, x, y from l
+union all select 1, 'price', case when g is null or g = 'Heating_start_1' then 'parts' else 'parts | ' || g end, x, y + 5.0 from l""")
 def stacked_series(spark, sf_dir):
-    """E8 in stacked mode."""
-    e = table(spark, sf_dir, "events")
-    a = e.filter("event_type = 'purchase'").select(F.lit(None).cast("string").alias("group"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
-    b = e.filter("event_type <> 'purchase'").select(F.col("event_type").alias("group"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
-    return compare.compare_series({"purchase side": ("value", a), "rest": ("value", b)}, "stacked", 5.0)[0]
+    """E8 in stacked mode: groups, a missing group, and a boundary label that is left out."""
+    group = F.when(F.col("l_linenumber") == 1, "Heating_start_1").when(F.col("l_linenumber") != 2, F.col("l_returnflag"))
+    b = table(spark, sf_dir, "lineitem").select(group.alias("group"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    a = b.withColumn("group", F.lit(None).cast("string"))
+    return compare.compare_series({"all": ("price", a), "parts": ("price", b)}, "stacked", 5.0)[0]
 
 
-@query("select 'heat_flow_mW' as signal, l_shipdate is not null as has_x, l_returnflag as \"group\", count(*) as points, round(sum(l_extendedprice), 2) as total from lineitem group by 2, 3")
+@query("select 'heat_flow_mW' as signal, l_returnflag as \"group\", l_quantity as x, l_extendedprice as y from lineitem")
 def dsc_series(spark, sf_dir):
     """E7 for a DSC dataset: grouped by its segment labels."""
     data = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("temperature_C"), F.col("l_extendedprice").alias("heat_flow_mW"), F.col("l_returnflag").alias("profile"))
-    out, _ = series.series(data, "dsc")
-    return out.groupBy("signal", F.col("x").isNotNull().alias("has_x"), "group").agg(F.count("*").alias("points"), F.round(F.sum("y"), 2).alias("total"))
+    return series.series(data, "dsc")[0].select("signal", "group", "x", "y")
 
 
 # --- registry rules ----------------------------------------------------------------------------------------------
@@ -588,6 +629,30 @@ def profile_infer(spark, sf_dir):
     return p.select("p_partkey", scalar.infer_profile(F.concat_ws(" ", "p_type", "p_name"), words).alias("profile"))
 
 
+@query("""
+with d as (select p_partkey, case p_partkey % 8 when 0 then 'Freq sweep' when 1 then 'oscillation' when 2 then 'temp ramp' when 3 then 'STRAIN' when 4 then 'amplitude freq' when 5 then 'viscosity' when 6 then 'shear' end as d,
+                  case when p_partkey % 5 = 0 then 'given' when p_partkey % 5 = 1 then ' ' end as e from part)
+select p_partkey, coalesce(nullif(trim(e), ''), case when contains(lower(d), 'freq') or contains(lower(d), 'oscill') then 'oscillatory_frequency_sweep' when contains(lower(d), 'temp') then 'oscillatory_temperature_sweep'
+  when contains(lower(d), 'strain') or contains(lower(d), 'amplitude') then 'oscillatory_strain_sweep' when contains(lower(d), 'flow') or contains(lower(d), 'viscos') or contains(lower(d), 'shear') then 'flow_curve' end) as profile from d""")
+def profile_given_or_inferred(spark, sf_dir):
+    """F4 and F5 with the library's own keywords; a given profile wins."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    words = ("Freq sweep", "oscillation", "temp ramp", "STRAIN", "amplitude freq", "viscosity", "shear")
+    said = F.element_at(F.array(*[F.lit(w) for w in words], F.lit(None).cast("string")), (k % 8 + 1).cast("int"))
+    return p.select("p_partkey", scalar.profile_of(F.when(k % 5 == 0, "given").when(k % 5 == 1, " "), said).alias("profile"))
+
+
+@query("""
+select p_partkey, 'run' || p_partkey || '_' || (case p_partkey % 5 when 0 then 'RID1A' when 1 then 'vwd2' when 2 then 'MALS' when 3 then 'visc-b' else 'other' end) as name,
+  case p_partkey % 5 when 0 then 'ri' when 1 then 'uv' when 2 then 'ls' when 3 then 'viscometer' else 'unknown' end as detector from part""")
+def detector_names(spark, sf_dir):
+    """F11 and F12 with the library's own detectors."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    kind = F.when(k % 5 == 0, "RID1A").when(k % 5 == 1, "vwd2").when(k % 5 == 2, "MALS").when(k % 5 == 3, "visc-b").otherwise("other")
+    name = F.concat(F.lit("run"), k.cast("string"), F.lit(".dx_"), kind)
+    return p.select("p_partkey", scalar.without_dx(name).alias("name"), scalar.infer_detector(scalar.without_dx(name)).alias("detector"))
+
+
 @query(r"""
 select page_id, case when regexp_matches(d, '(^| )th') then 'ri' when regexp_matches(d, '(^| )(en|fr)') then 'uv' else 'unknown' end as detector
 from (select page_id, regexp_replace(lower(string_split(url, '//')[2]), '[^a-z0-9]+', ' ', 'g') as d from pages)""")
@@ -730,10 +795,11 @@ def path_functions(spark, sf_dir):
 
 
 @query("""
-select o_orderkey, o_orderdate - interval 1 hour + to_milliseconds(o_orderkey % 1000) as at from orders""")
+select o_orderkey, o_orderdate - case when o_orderkey % 2 = 0 then interval 1 hour else interval 2 hour end + to_milliseconds(o_orderkey % 1000) as at from orders""")
 def spectrum_times(spark, sf_dir):
-    """order dates written as an instrument's CET line, milliseconds from the file name."""
+    """order dates written as an instrument's CET and CEST lines, milliseconds from the file name."""
     o = table(spark, sf_dir, "orders")
-    line = F.concat(F.lit("Date: "), F.date_format("o_orderdate", "EEE MMM dd HH:mm:ss"), F.lit(" CET "), F.date_format("o_orderdate", "yyyy"))
+    zone = F.when(F.col("o_orderkey") % 2 == 0, " CET ").otherwise(" CEST ")
+    line = F.concat(F.lit("Date: "), F.date_format("o_orderdate", "EEE MMM dd HH:mm:ss"), zone, F.date_format("o_orderdate", "yyyy"))
     name = F.concat(F.lit("x_1-"), (F.col("o_orderkey") % 1000).cast("string"), F.lit(".txt"))
     return o.select("o_orderkey", scalar.spectrum_time(line, name).alias("at"))

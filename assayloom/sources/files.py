@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions import scalar
+from assayloom.sources.scan import taken_literally
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """S3: path, length and modificationTime of the raw files below a folder (contents are pruned); no Parquet, no manifest."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", "length", "modificationTime")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(taken_literally(root)).select("path", "length", "modificationTime")
     return files.filter(~F.lower("path").endswith(".parquet") & (scalar.base_name(F.col("path")) != "manifest.json"))
 
 
@@ -38,3 +39,4 @@ def files_of(registry: DataFrame, files: DataFrame, key: str = "raw_data_filenam
     status = wanted.select("key").join(rule(hit, "a"), "key", "left").join(rule(folder, "b"), "key", "left").join(found.groupBy("key").agg(F.count("*").alias("matches")), "key", "left")
     status = status.select("key", F.coalesce("matches", F.lit(0)).alias("matches"), ((F.coalesce("a", F.lit(0)) > 1) | (F.coalesce("b", F.lit(0)) > 1)).alias("ambiguous"))
     return found.withColumnRenamed("key", key), status.withColumnRenamed("key", key)
+

@@ -50,9 +50,10 @@ def read_dataset(spark: SparkSession, catalog: DataFrame, name: str) -> DataFram
     return scan_storage(spark, row["storage_path"])
 
 
-def scan_storage(spark: SparkSession, root: str) -> DataFrame:
-    """All Parquet below a folder, unlike schemas merged."""
-    return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(root)
+def scan_storage(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
+    """All Parquet below a folder, unlike schemas merged; ``partitioned``: folders named key=value give columns."""
+    read = spark.read.option("mergeSchema", True)
+    return (read if partitioned else read.option("recursiveFileLookup", True)).parquet(root)
 
 
 def read_sidecars(spark: SparkSession, path: str, schema: str = "experiment_id string, dataset_name string, metadata map<string,string>") -> DataFrame:

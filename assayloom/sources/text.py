@@ -14,17 +14,27 @@ from pyspark.sql import functions as F
 
 from assayloom.functions import scalar
 from assayloom.functions.scalar import infer_detector, spectrum_time, to_number
+from assayloom.sources.scan import source_path
 
 EXTENSIONS = (".txt", ".csv", ".tsv", ".bsc", ".dat", ".jsonl")
 WAVELENGTHS = (280, 900)  # fixed values: the range kept of a spectrum, in nm
 NO_END = r"\A\b\B"  # matches nothing
 
 
+def _named_so(path: str, extensions: tuple[str, ...]) -> Column:
+    return F.lower(path).rlike(r"(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z")
+
+
+def readable(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """The files (path) that the readers take, whatever the case of their extensions."""
+    return files.filter(_named_so("path", extensions))
+
+
 def read_texts(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """source_file and value, the whole text, of every text file below a path; other extensions are skipped."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
-    named = files.select(F.col("_metadata.file_path").alias("source_file"), "value")
-    return named.filter(F.lower("source_file").rlike(r"(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z"))
+    named = files.select(source_path(F.col("_metadata.file_path")).alias("source_file"), "value")
+    return named.filter(_named_so("source_file", extensions))
 
 
 def read_lines(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -42,9 +52,8 @@ def _by_file():
     return Window.partitionBy("source_file").orderBy("line_no")
 
 
-def _ranked(lines: DataFrame) -> DataFrame:
-    """Lines that aren't blank, numbered anew from 0."""
-    return lines.filter(F.trim("line") != "").withColumn("rank", F.row_number().over(_by_file()) - 1)
+def _solid(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.trim("line") != "")
 
 
 def _finish(rows: DataFrame, all_files: DataFrame, strict_width: bool = True, drop: str = "any", numeric: bool = True, text_columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -52,22 +61,25 @@ def _finish(rows: DataFrame, all_files: DataFrame, strict_width: bool = True, dr
 
     ``strict_width``: a row with another number of tokens makes the file bad. ``drop``: rows without any, or with all, values go.
     """
-    width = F.size("tokens") != F.size("header")
-    checked = rows.withColumn("bad", F.max(F.when(width, 1).otherwise(0)).over(Window.partitionBy("source_file")) if strict_width else F.lit(0))
+    uneven = rows.filter(F.size("tokens") != F.size("header")).select("source_file").distinct()
+    even = rows.join(uneven, "source_file", "left_anti") if strict_width else rows
     fit = F.when(F.size("tokens") >= F.size("header"), F.slice("tokens", F.lit(1), F.size("header"))).otherwise(F.concat("tokens", F.array_repeat(F.lit(None).cast("string"), F.size("header") - F.size("tokens"))))
-    good = checked.filter("bad = 0").withColumn("tokens", fit)
     value = (lambda h, t: F.when(h.isin(*text_columns), t).otherwise(F.when(to_number(t).isNotNull(), F.trim(t)))) if text_columns else (lambda h, t: F.when(to_number(t).isNotNull(), F.trim(t)))
     pairs = F.zip_with("header", "tokens", lambda h, t: F.struct(h.alias("key"), (value(h, t) if numeric else t).alias("value")))
     # of columns of one name the first is kept
     first = F.filter(pairs, lambda p, i: F.array_position("header", p["key"]) == i + 1)
-    mapped = good.withColumn("raw", F.map_from_entries(first))
+    mapped = even.withColumn("tokens", fit).withColumn("raw", F.map_from_entries(first))
     values = F.map_values("raw")
     keep = F.forall(values, lambda v: v.isNotNull()) if drop == "any" else F.exists(values, lambda v: v.isNotNull()) if drop == "all" else F.lit(True)
-    out = mapped.filter(keep).withColumn("row_idx", F.row_number().over(_by_file()) - 1).select("source_file", "row_idx", "raw")
-    uneven = checked.filter("bad = 1").select("source_file").distinct().withColumn("reason", F.lit("rows of another width than the header"))
-    seen = out.select("source_file").distinct()
-    empty = all_files.select("source_file").distinct().join(seen, "source_file", "left_anti").join(uneven, "source_file", "left_anti").withColumn("reason", F.lit("no data rows"))
-    return out, uneven.union(empty)
+    out = mapped.filter(keep).select("source_file", F.col("line_no").alias("row_idx"), "raw")
+    wrong = uneven.withColumn("reason", F.lit("rows of another width than the header")) if strict_width else None
+    empty = _without(all_files, out).withColumn("reason", F.lit("no data rows"))
+    return out, (empty if wrong is None else wrong.union(empty.join(uneven, "source_file", "left_anti")))
+
+
+def _without(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Files (source_file) that give no row."""
+    return files.select("source_file").distinct().join(rows.select("source_file").distinct(), "source_file", "left_anti")
 
 
 def read_sectioned(lines: DataFrame, start: str, end: str = NO_END, delimiter: str = r"\s+", limit: int = -1, unit_shift: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -76,20 +88,17 @@ def read_sectioned(lines: DataFrame, start: str, end: str = NO_END, delimiter: s
     The start line holds the headers, the line after it the units (a blank one goes before them if ``unit_shift``); a column is
     called ``header unit``. ``limit``: at most so many tokens a row, the last takes the rest.
     """
-    upto = _by_file().rowsBetween(Window.unboundedPreceding, -1)
-    first = F.min(F.when(F.col("line").rlike(start), F.col("line_no"))).over(Window.partitionBy("source_file"))
-    marked = lines.withColumn("s", first).filter("s is not null and line_no >= s")
-    ended = F.coalesce(F.max(F.when((F.col("line_no") > F.col("s")) & F.col("line").rlike(end), 1).otherwise(0)).over(upto), F.lit(0))
-    inside = marked.withColumn("ended", ended).filter("ended = 0")
     tokens = lambda c: F.split(F.trim(c) if delimiter.startswith("\\s") else F.rtrim(c), delimiter, limit)
-    heads = inside.filter("line_no <= s + 1").groupBy("source_file").agg(F.max(F.when(F.col("line_no") == F.col("s"), F.col("line"))).alias("h"), F.max(F.when(F.col("line_no") == F.col("s") + 1, F.col("line"))).alias("u"))
+    begin = lines.filter(F.col("line").rlike(start)).groupBy("source_file").agg(F.min("line_no").alias("s"))
+    line_no, s, line = F.col("line_no"), F.col("s"), F.col("line")
+    about = lines.join(begin, "source_file").groupBy("source_file", "s").agg(F.max(F.when(line_no == s, line)).alias("h"), F.max(F.when(line_no == s + 1, line)).alias("u"), F.min(F.when((line_no > s) & line.rlike(end), line_no)).alias("e"))
     units = F.when(F.lit(unit_shift), F.concat(F.array(F.lit("")), tokens(F.coalesce("u", F.lit(""))))).otherwise(tokens(F.coalesce("u", F.lit(""))))
-    heads = heads.select("source_file", tokens(F.col("h")).alias("hs"), units.alias("us"))
+    about = about.select("source_file", "s", "e", tokens(F.col("h")).alias("hs"), units.alias("us"))
     n = F.least(F.size("hs"), F.size("us"))
     header = F.zip_with(F.slice("hs", F.lit(1), n), F.slice("us", F.lit(1), n), lambda h, u: F.trim(F.concat(h, F.lit(" "), u)))
-    heads = heads.select("source_file", header.alias("header"))
-    rows = inside.filter((F.col("line_no") > F.col("s") + 1) & (F.trim("line") != "") & ~F.col("line").rlike(end)).select("source_file", "line_no", tokens(F.col("line")).alias("tokens")).join(heads, "source_file")
-    return _finish(rows, lines)
+    inside = (line_no > s + 1) & (F.col("e").isNull() | (line_no < F.col("e")))
+    rows = _solid(lines).join(about.select("source_file", "s", "e", header.alias("header")), "source_file").filter(inside)
+    return _finish(rows.select("source_file", "line_no", tokens(line).alias("tokens"), "header"), lines)
 
 
 def read_signals(lines: DataFrame, delimiter: str = "\t") -> tuple[DataFrame, DataFrame]:
@@ -104,15 +113,14 @@ def read_signals(lines: DataFrame, delimiter: str = "\t") -> tuple[DataFrame, Da
 
 def read_delimited(lines: DataFrame, delimiter: str = ",", skip: int = 0, names: list[str] | None = None, strict: bool = False, drop: str = "any", text_columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """A header after ``skip`` lines, or given names; ``strict``: one bad number makes its file bad."""
-    ranked = _ranked(lines.filter(F.col("line_no") >= skip))
+    solid = _solid(lines.filter(F.col("line_no") >= skip))
     cells = lambda c: F.transform(F.split(c, delimiter), lambda x: F.btrim(F.trim(x), F.lit('"')))
+    rows = solid.select("source_file", "line_no", cells("line").alias("tokens"))
     if names is None:
-        heads = ranked.filter("rank = 0").select("source_file", cells("line").alias("header"))
-        rows = ranked.filter("rank > 0")
+        heads = solid.groupBy("source_file").agg(F.min(F.struct("line_no", "line")).alias("h")).select("source_file", F.col("h.line_no").alias("s"), cells("h.line").alias("header"))
+        rows = rows.join(heads, "source_file").filter(F.col("line_no") > F.col("s")).drop("s")
     else:
-        heads = ranked.select("source_file").distinct().withColumn("header", F.array(*[F.lit(n) for n in names]))
-        rows = ranked
-    rows = rows.select("source_file", "line_no", cells("line").alias("tokens")).join(heads, "source_file")
+        rows = rows.withColumn("header", F.array(*[F.lit(n) for n in names]))
     if not strict:
         return _finish(rows, lines, strict_width=False, drop=drop, text_columns=text_columns)
     wrong = rows.filter(F.exists("tokens", lambda t: to_number(t).isNull()) | (F.size("tokens") != F.size("header"))).select("source_file").distinct()
@@ -122,12 +130,15 @@ def read_delimited(lines: DataFrame, delimiter: str = ",", skip: int = 0, names:
 
 def read_two_row_header(lines: DataFrame, first: int = 4, second: int = 6, delimiter: str = "\t", drop_columns: tuple[str, ...] = ("Interval data:", "Point No.")) -> tuple[DataFrame, DataFrame]:
     """Names from two header lines (numbered without blank ones), joined by a blank; wide rows are skipped, short ones padded."""
-    ranked = _ranked(lines)
-    heads = ranked.groupBy("source_file").agg(F.max(F.when(F.col("rank") == first, F.col("line"))).alias("a"), F.max(F.when(F.col("rank") == second, F.col("line"))).alias("b")).filter("a is not null and b is not null")
+    solid = _solid(lines)
+    # a row number with an upper limit: each task keeps the first lines of a file before they are shuffled
+    ranked = solid.withColumn("rank", F.row_number().over(_by_file()) - 1).filter(F.col("rank") <= second)
+    heads = ranked.groupBy("source_file").agg(F.max(F.when(F.col("rank") == first, F.col("line"))).alias("a"), F.max(F.when(F.col("rank") == second, F.struct("line_no", "line"))).alias("b")).filter("a is not null and b is not null")
+    heads = heads.select("source_file", "a", F.col("b.line").alias("b"), F.col("b.line_no").alias("s"))
     split = lambda c: F.transform(F.split(c, delimiter), lambda x: F.trim(x))
     header = F.zip_with(split("a"), split("b"), lambda x, y: F.trim(F.concat(F.coalesce(x, F.lit("")), F.lit(" "), F.coalesce(y, F.lit("")))))
-    heads = heads.select("source_file", header.alias("header"))
-    rows = ranked.filter(F.col("rank") > second).select("source_file", "line_no", F.split("line", delimiter).alias("tokens")).join(heads, "source_file").filter(F.size("tokens") <= F.size("header"))
+    heads = heads.select("source_file", "s", header.alias("header"))
+    rows = solid.select("source_file", "line_no", F.split("line", delimiter).alias("tokens")).join(heads, "source_file").filter((F.col("line_no") > F.col("s")) & (F.size("tokens") <= F.size("header"))).drop("s")
     out, bad = _finish(rows, lines, strict_width=False, drop="all")
     away = lambda k: F.lit(False) if not drop_columns else k.isin(*drop_columns)
     return out.withColumn("raw", F.map_filter("raw", lambda k, _: ~away(k) & (k != ""))), bad

@@ -7,7 +7,8 @@ from assayloom.operators import catalog, compare, features, series, validate
 from assayloom.plans import datasets
 from assayloom.plans.ingest import BAD_FILES, CATALOG, ingest
 from assayloom.sources import registry
-from assayloom.streaming.ingest import run_incremental
+from assayloom.plans import ingest as plan
+from assayloom.streaming.ingest import ingest_new, run_incremental
 
 INSTRUMENTS = '[{"type": "dsc", "model": "prior", "name": "DSC", "characterizer": {"type": "dsc_profiling", "sensitivity": 0.1}}, {"type": "tga", "model": "tgaX", "name": "tga", "characterizer": {"type": "tga"}}]'
 
@@ -162,3 +163,47 @@ def test_stream_gives_each_file_once(spark, tmp_path):
     (src / "c.txt").write_text("3")
     run_incremental(spark, str(src), str(tmp_path / "cp"), take)
     assert sorted(got) == ["1", "2", "3"]
+
+
+def store_of(spark, store):
+    """What a store holds, without times and paths."""
+    known = catalog.Table(spark, f"{store}/catalog", CATALOG).read()
+    data = [sorted(map(str, spark.read.parquet(f"{store}/data/{k}").select("experiment_id", "row_idx", "temperature_C", *([c] if (c := {"dsc": "profile", "tga": "mass_pct"}[k]) else [])).collect())) for k in ("dsc", "tga")]
+    runs = catalog.Table(spark, f"{store}/runs", plan.RUNS).read()
+    bad = catalog.Table(spark, f"{store}/bad_files", BAD_FILES).read()
+    plain = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    return plain(known, "experiment_id", "experiment_name", "table_name", "rows"), data, plain(runs, "experiment_id", "name", "status", "reason"), plain(bad, "experiment_id", "reason")
+
+
+WHOLE = []
+
+
+@pytest.mark.parametrize("dies", [None, ("update", "catalog"), ("append", "runs")])
+def test_stream_to_the_catalogue(spark, lab, tmp_path, monkeypatch, dies):
+    """A batch that dies between store and catalogue, or between two tables, is run again and nothing is doubled."""
+    exps, ins, raw, store = lab
+    (tmp_path / "raw" / "DSC" / "one" / "bad.txt").write_text("no data")
+    stream = lambda: ingest_new(spark, exps, ins, raw, store, str(tmp_path / "checkpoint"))
+    if dies:
+        real = getattr(catalog.Table, dies[0])
+
+        def die(self, *args, **kw):
+            if self.root.endswith(dies[1]):
+                raise RuntimeError("killed here")
+            return real(self, *args, **kw)
+
+        with monkeypatch.context() as m:
+            m.setattr(catalog.Table, dies[0], die)
+            with pytest.raises(Exception, match="killed here"):
+                stream()
+    assert stream() == 1 and stream() == 0
+    if not WHOLE:
+        ingest(spark, exps.filter("name in ('exp one', 'exp two')"), ins, raw, str(tmp_path / "whole"))
+        WHOLE.append(store_of(spark, str(tmp_path / "whole")))
+    assert store_of(spark, store) == WHOLE[0]
+    if not dies:
+        body = (tmp_path / "raw" / "DSC" / "one" / "run.txt").read_text()
+        (tmp_path / "raw" / "DSC" / "one" / "run 2.txt").write_text(body)  # one more file of a known run: it is read anew as a whole
+        assert stream() == 1
+        now = catalog.Table(spark, f"{store}/catalog", CATALOG).read()
+        assert {r["experiment_name"]: r["rows"] for r in now.collect()} == {"exp one": 20, "exp two": 2}

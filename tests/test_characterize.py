@@ -75,3 +75,72 @@ def test_quantiles_of_odd_groups(spark):
     rows = [(None, 1.0), (None, 4.0), ("a", None), ("b", 7.0), ("c", 1.0), ("c", 1.0), ("c", 2.0), ("c", 10.0)]
     got = {r.g: (r["count"], r.q25, r.q50, r.q75) for r in features.describe(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
     assert got == {None: (2, 1.75, 2.5, 3.25), "a": (0, None, None, None), "b": (1, 7.0, 7.0, 7.0), "c": (4, 1.0, 1.5, 4.0)}
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 1000])
+def test_scanned_labels_equal_windows(spark, chunk):
+    """Chunks of every size, single rows, runs that end in a chunk, missing values, a run without a name."""
+    import random
+
+    r = random.Random(chunk)
+    runs = dict(RUNS) | {f"r{k}": [r.choice([1, 2, 2, 2, 3, 5, 8]) for _ in range(r.randrange(1, 40))] for k in range(6)} | {"gaps": [1, None, 2, 2, None, None, 3, 3, 3, 1]}
+    rows = [(n, i, None if x is None else float(x), "kept") for n, xs in runs.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "name string, row_idx int, temperature_C double, other string").repartition(5)
+    order = lambda out: sorted(map(str, out.select("name", "row_idx", "other", "profile").collect()))
+    assert order(C.scanned_labels(df, chunk=C.row_chunks(chunk))) == order(C.segment_labels(df))
+    assert C.scanned_labels(df.limit(0)).count() == 0
+    whole = df.filter("name = 'r1'").drop("name")
+    assert [r.profile for r in C.scanned_labels(whole, chunk=C.row_chunks(chunk)).orderBy("row_idx").collect()] == [r.profile for r in C.segment_labels(whole).orderBy("row_idx").collect()]
+
+
+def test_large_mass_percent_equals_windows(spark):
+    df = spark.createDataFrame([("a", 1, 10.0, None), ("a", 2, 5.0, None), (None, 1, 3.0, None), (None, 2, 4.0, None), ("c", 1, 1.0, 7.0), ("c", 2, 2.0, 8.0)], "experiment_id string, row_idx int, mass_mg double, mass_pct double")
+    for mode in ("minmax", "initial"):
+        order = lambda out: sorted(map(str, out.collect()))
+        assert order(C.mass_percent(df, mode=mode, large=True)) == order(C.mass_percent(df, mode=mode))
+
+
+def test_one_large_run_is_spread(spark):
+    """A run of 600,000 rows in chunks of 50,000: no task of the last stage takes more than a few chunks."""
+    df = spark.range(600_000).selectExpr("'one' as name", "id as row_idx", "floor(id / 1000) % 7 * 1.0D as temperature_C").repartition(8)
+    out = C.scanned_labels(df, chunk=C.row_chunks(50_000))
+    want = C.segment_labels(df)
+    mark = lambda d: d.selectExpr("sum(cast(xxhash64(row_idx, profile) as decimal(38, 0)))").first()[0]
+    assert mark(out) == mark(want)
+    sizes = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) > 1 and max(sizes) < 600_000
+
+
+@pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
+def test_quantiles_by_selection(spark, by):
+    import random
+
+    import duckdb
+    from assayloom.operators import features
+
+    r = random.Random(len(by))
+    rows = [(r.choice(["a", "b", None]), r.randrange(3), r.choice([None, r.random(), float(r.randrange(4)), -1e300, 1e300])) for _ in range(700)]
+    df = spark.createDataFrame(rows, "g string, h int, v double").repartition(4)
+    con = duckdb.connect()
+    con.execute("create table t (g varchar, h int, v double)")
+    con.executemany("insert into t values (?, ?, ?)", rows)
+    group = ", ".join(by)
+    want = con.execute(f"select {group + ',' if by else ''} count(v), min(v), max(v), quantile_cont(v, 0.25), quantile_cont(v, 0.5), quantile_cont(v, 0.9) from t where abs(v) < 1e10 {'group by ' + group if by else ''}").fetchall()
+    some = df.filter("abs(v) < 1e10")
+    q = features.quantiles(some, by, "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9})
+    about = features.describe(some, by, "v").select(*by, "count", "min", "max")
+    near = lambda t: tuple(round(x, 9) if isinstance(x, float) else x for x in t)
+    got = features.joined_null_safe(about, q, by).select(*by, "count", "min", "max", "q25", "q50", "q90")
+    assert sorted(map(str, map(near, map(tuple, got.collect())))) == sorted(map(str, map(near, want)))
+
+
+def test_quantiles_of_a_hot_group(spark):
+    """One group of 200,000 distinct values lies in many ranges; few of them are looked into."""
+    from assayloom.operators import features
+
+    df = spark.range(200_000).selectExpr("'hot' as g", "(id * 7919) % 200000 * 1.0D as v").unionByName(spark.range(10).selectExpr("'cold' as g", "id * 1.0D as v"))
+    counted = features.counted_values(df.repartition(6), ["g"], "v")
+    assert counted.filter("g = 'hot'").select("_part").distinct().count() >= 4
+    got = {x.g: (x.q0, x.q1, x.q50) for x in features.quantiles_of(counted, ["g"], "v", {"q0": 0.0, "q1": 1.0, "q50": 0.5}).collect()}
+    assert got == {"hot": (0.0, 199999.0, 99999.5), "cold": (0.0, 9.0, 4.5)}
+    assert features.describe(df.filter("v < 0"), ["g"], "v").count() == 0 and features.describe(df.filter("v < 0"), [], "v").first()["count"] == 0
