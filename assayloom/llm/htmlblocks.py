@@ -6,9 +6,10 @@ classes, ids, roles and their pairs), hashed words, and a few figures of length,
 
 There are no gold labels, so the LSTM is trained on a bounded sample of distinct pages (``SAMPLE`` of smallest hash, one span of ``SPAN`` blocks
 of each version) with labels from a teacher that reads tag names and class words. The teacher's verdict is no input. Each page
-comes in several versions: with inserted blocks (menus, sidebars, notices, adverts, forms, comments), and with container names taken
+comes in several versions: with its content in other leaves (lists, tables, quotes, subheads, definitions, code, captions, plain divisions, an
+article's own header), with inserted blocks (menus, sidebars, notices, adverts, forms, comments), and with container names taken
 away or replaced by words the teacher doesn't know while the labels stay, so that lengths, links, neighbours and shape have
-to be learnt too. Vectors are made in the executors; the driver gets ``SAMPLE`` * ``VERSIONS`` spans of half floats (40 MB at most).
+to be learnt too. Vectors are made in the executors; the driver gets ``SAMPLE`` * ``VERSIONS`` spans of half floats (100 MB at most).
 
 Defined cases: null or empty html, or no content block: empty text. Character references are decoded in text; white
 space inside a block is one space; script, style, template, comments and the head give no blocks. Markup left
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.common import lean
 
-PATH, WORDS, EXTRA, HIDDEN, SAMPLE, SPAN, VERSIONS, EPOCHS = 192, 32, 9, 20, 500, 64, 3, 8
+PATH, WORDS, EXTRA, HIDDEN, SAMPLE, SPAN, VERSIONS, EPOCHS = 320, 32, 9, 20, 500, 64, 4, 8
 #: Fixed value lists of HTML: elements that start a new block, elements without content, elements whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -139,13 +140,16 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def teacher(blocks: list[Block]) -> list[int]:
-    """1 for content: the innermost container whose words say anything decides."""
+    """1 for content: the innermost container whose words say anything decides; an article's own header says nothing."""
     told, out = any(not TOWARDS.isdisjoint(p) for b in blocks for p in b.path), []
     for b in blocks:
         label = None
-        for p in reversed(b.path):
+        for k in range(len(b.path) - 1, -1, -1):
+            p = b.path[k]
             if p[0] in ("article", "main"):  # whatever its classes say of its surroundings
                 label = int("comment" not in p and "related" not in p)
+            elif p[0] == "header" and AWAY.isdisjoint(p[1:]) and any(q[0] == "article" for q in b.path[:k]):
+                continue
             elif not AWAY.isdisjoint(p):
                 label = 0
             elif not TOWARDS.isdisjoint(p):
@@ -309,6 +313,8 @@ def padded(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: Leaves of blocks that are put in: as menus, notices and adverts have them.
+_LEAVES = (*[()] * 3, *[("p",)] * 3, *[("li",)] * 4, ("ul", "li"), ("ol", "li"), ("span",), ("h2",), ("h3",), ("h4",), ("h5",), ("h6",), ("table", "tr", "td"), ("table", "tbody", "tr", "td"), ("table", "tr", "th"), ("dl", "dt"), ("dl", "dd"), ("blockquote",), ("pre",), ("figure", "figcaption"), ("div",), ("header", "h1"))
 _SOUNDS = ("ba", "ko", "mi", "ru", "ta", "ze", "lo", "fen", "dar", "sil")
 
 
@@ -316,6 +322,60 @@ def _nonsense(rng: random.Random) -> str:
     return "".join(rng.choices(_SOUNDS, k=3))
 
 
+def leaved(blocks: list[Block], labels: list[int], rng: random.Random) -> list[Block]:
+    """Content in other leaves: its words as lists, tables, quotes, subheads, definitions, code, captions and divisions inside the same container."""
+    share, out, first = rng.choice([0.25, 0.5, 0.9]), [], True
+    for b, y in zip(blocks, labels):
+        if not y or rng.random() > share:
+            out.append(b)
+            first = first and not y
+            continue
+        inside = b.path[:-1] if b.path and (b.path[-1][0] == "p" or b.path[-1][0] in ("h1", "h2", "h3")) else b.path
+        words = b.text.split()
+        kind = rng.choice(["list", "table", "quote", "head", "terms", "pre", "figure", "div", "section", "header" if first else "list"])
+        first = False
+        at = 0
+
+        def put(most: int, *leaf: str) -> None:
+            nonlocal at
+            part = " ".join(words[at : at + rng.randrange(1, most + 1)])
+            at += len(part.split())
+            if part:
+                out.append(Block((*inside, *((tag,) for tag in leaf)), part, len(part) if rng.random() < 0.05 else 0))
+
+        if kind == "list":
+            outer, wrapped, most = rng.choice(["ul", "ol"]), rng.random() < 0.2, rng.choice([4, 12, 40])
+            for _ in range(rng.randrange(2, 9)):
+                put(most, outer, "li", *(["p"] if wrapped else []))
+        elif kind == "table":
+            body, most = ["table", "tbody"] if rng.random() < 0.5 else ["table"], rng.choice([2, 6, 25])
+            if rng.random() < 0.4:
+                put(8, "table", "caption")
+            for k in range(rng.randrange(2, 13)):
+                put(most, *body, "tr", "th" if k < 2 and rng.random() < 0.5 else "td")
+        elif kind == "terms":
+            for _ in range(rng.randrange(1, 5)):
+                put(4, "dl", "dt")
+                put(30, "dl", "dd")
+        elif kind == "head":
+            put(9, f"h{rng.randrange(2, 7)}")
+        elif kind == "header":
+            put(12, "header", rng.choice(["h1", "h2"]))
+            if rng.random() < 0.5:
+                put(20, "header", "p")
+        elif kind == "figure":
+            put(20, "figure", "figcaption")
+        elif kind == "quote":
+            put(60, "blockquote", *(["p"] if rng.random() < 0.5 else []))
+        elif kind == "pre":
+            put(40, "pre")
+        else:
+            put(60, kind, *(["p"] if kind == "section" else []))
+        if at < len(words):
+            out.append(Block((*inside, ("p",)), " ".join(words[at:]), 0))
+    return out
+
+
 def varied(blocks: list[Block], rng: random.Random) -> list[Block]:
     """Content containers renamed at times, and blocks of other kinds put in, with words of the page."""
     words = [w for b in blocks for w in b.text.split()[:12]][:400] or ["a"]
@@ -325,14 +385,14 @@ def varied(blocks: list[Block], rng: random.Random) -> list[Block]:
     out = list(blocks)
     outer = (("html",), ("body",))
     for _ in range(rng.randrange(1, 7)):
-        named = rng.choice(sorted(AWAY - {"head", "title"}))
+        named = rng.choice(("nav", "footer", "header", "aside")) if rng.random() < 0.5 else rng.choice(sorted(AWAY - {"head", "title"}))
         tag = named if named in BLOCKS and rng.random() < 0.7 else rng.choice(["div", "section", "ul", "aside", "p"])
-        at = rng.randrange(0, len(out) + 1)
+        at = rng.choice((0, len(out), rng.randrange(0, len(out) + 1), rng.randrange(0, len(out) + 1)))
         near = out[at - 1].path if at and rng.random() < 0.5 else outer
         inside = tuple(p for p in near if p[0] not in ("p", "h1", "h2", "li"))
         for _ in range(rng.randrange(1, 5)):
             text = " ".join(rng.choices(words, k=rng.randrange(1, 40)))
-            leaf = rng.choice([(), (("p",),), (("li",),), (("span",),), (("h3",),)])
+            leaf = tuple((tag,) for tag in rng.choice(_LEAVES))
             linked = len(text) if rng.random() < 0.4 else 0
             out.insert(at, Block((*inside, (tag, named) if tag != named else (tag,), *leaf), text, linked))
     return out
@@ -358,9 +418,10 @@ def sequences_of(page: str) -> list[tuple[np.ndarray, np.ndarray]]:
     rng, vectors, out = random.Random(zlib.crc32(page.encode(errors="replace"))), Vectors(), []
     blocks = blocks_of(page)
     for k in range(VERSIONS if blocks else 0):
-        version = varied(blocks, rng) if k else blocks
+        version = leaved(blocks, teacher(blocks), rng) if k else blocks
+        version = varied(version, rng) if k > 1 else version
         labels = teacher(version)
-        if k == 2:
+        if k == 3:
             version = unnamed(version, labels, rng)
         at = rng.randrange(0, max(1, len(version) - SPAN + 1))
         out.append((vectors.of(version)[at : at + SPAN], np.array(labels, np.float32)[at : at + SPAN]))

@@ -373,6 +373,49 @@ def test_the_network_decides_by_context(spark, sf_dir):
     assert len(set(labeller.label([htmlblocks.Vectors().of(blocks)])[0].tolist())) == 1
 
 
+LEAVES = {
+    "li": "<ul><li>{0}</li><li>{1}</li><li>{2}</li></ul>", "td": "<table><tr><td>{0}</td><td>{1}</td></tr><tr><td>{2}</td></tr></table>", "blockquote": "<blockquote>{0} {1}</blockquote>", "h2": "<h2>{0}</h2>", "h3": "<h3>{0}</h3>", "h4": "<h4>{0}</h4>",
+    "h5": "<h5>{0}</h5>", "h6": "<h6>{0}</h6>", "div": "<div>{0} {1} {2}</div>", "dt": "<dl><dt>{0}</dt><dd>{1} {2}</dd></dl>", "dd": "<dl><dt>{0}</dt><dd>{1} {2}</dd></dl>", "pre": "<pre>{0} {1}</pre>", "figcaption": "<figure><img src=x><figcaption>{0}</figcaption></figure>", "h1": "<header><h1>{0}</h1></header>",
+}
+
+
+def test_every_leaf_of_an_article_stays(spark, sf_dir):
+    """Held-out pages with a leaf of each kind put between the article's paragraphs, short and long, and the same leaf in a menu and a footer."""
+    import random
+    import re
+
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").collect()]
+    labeller = htmlblocks.Labeller()
+    labeller.fit([x for p in pages[::2] for x in htmlblocks.sequences_of(p)])
+    rng, kept, out = random.Random(1), {}, {}
+    for page in pages[1::2][:40]:
+        words = re.findall(r"[a-z]{3,}", page.split("<article>")[1])[:300]
+        some = lambda n: " ".join(rng.choices(words, k=n))
+        for kind, leaf in LEAVES.items():
+            length = rng.choice([3, 8, 20])
+            inner = leaf.format("qqin " + some(length), "qqin " + some(length), "qqin " + some(length))
+            outer = leaf.format(*[f'<a href="/x">qqout {some(2)}</a>' for _ in range(3)])
+            article = page.replace("</h1>", "</h1>" + inner, 1) if kind == "h1" else re.sub(r"(<article>.*?</p>)", lambda m: m[1] + inner, page, count=1, flags=re.S)
+            article = article.replace("<article>", rng.choice(["<article>", "<main>", '<main class="x">'])) if kind != "h1" else article
+            whole = article.replace("<body>", f"<body><nav>{outer}</nav>", 1).replace("<footer>", f"<footer>{outer}", 1)
+            blocks = htmlblocks.blocks_of(whole)
+            told = labeller.label([htmlblocks.Vectors().of(blocks)])[0] >= 0.5
+            for b, y in zip(blocks, told):
+                if "qqin" in b.text and b.path[-1][0] == kind:
+                    kept.setdefault(kind, []).append(y)
+                elif "qqout" in b.text:
+                    out.setdefault(kind, []).append(not y)
+    assert set(kept) == set(out) == set(LEAVES), set(LEAVES) ^ set(kept) | set(LEAVES) ^ set(out)
+    shares = {kind: (round(np.mean(kept[kind]), 3), round(np.mean(out[kind]), 3)) for kind in LEAVES}
+    assert min(x for x, _ in shares.values()) >= 0.95 and min(x for _, x in shares.values()) >= 0.95, shares
+
+
+def test_an_articles_own_header_counts():
+    b = lambda *path: htmlblocks.Block(tuple((p,) if isinstance(p, str) else p for p in path), "some text", 0)
+    blocks = [b("body", "header", "h1"), b("body", "article", "header", "h1"), b("body", "article", ("header", "menu"), "p"), b("body", "article", "ul", "li"), b("body", "article", "footer", "p")]
+    assert htmlblocks.teacher(blocks) == [0, 1, 0, 1, 0]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = htmlblocks.Labeller(inputs=5, hidden=3)
