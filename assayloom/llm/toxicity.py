@@ -8,13 +8,15 @@ rows one counts. The terms form a trie. The
 Levenshtein automaton of every term (0, 1 or 2 edits, by its length; a beginning allows none) is run on the
 trie at once: its states are sets of (trie node, edits). It runs on the branches of those terms only whose length and set of letters
 differ from the word's by no more than the term's edits can explain; so the result is that of the whole trie and most words need no run. Each hit is weighed by a window of tokens round it: quotation marks
-round it or a word of mention nearby make it a quoted hit. A logistic model of the hit features gives the score.
+round it or a word of mention nearby make it a quoted hit. A text's features are those of its worst ``SPAN`` words, whatever its length, and a logistic
+model of them gives the score; quoted evidence can lower a score but not raise it.
 
 Words of any length are looked up, and three or more single letters with signs between them also as one word.
 Spellings near a term that clean training texts use are no misspellings. Bounds, all parameters: at most
 ``sample`` labelled rows (those of smallest hash), at most ``terms`` terms (the most significant) and ``sample`` clean spellings.
 
-Defined cases: null or empty text scores as a text without hits. Rows whose label is null don't train. Labels
+Defined cases: null or empty text scores as a text without hits; a text of any length scores as its worst window; repeated rows score alike
+and train once; an empty table gives an empty result; terms that tie are taken in order of their letters. Rows whose label is null don't train. Labels
 without one of the two classes give the constant score of the share of toxic rows. A null doc_id is the empty
 text in crc32. Extra columns are ignored.
 """
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from assayloom.llm.common import U64, byte_texts, crc_mod, crc_mod_py, lean, mix, pieces, raw, shingle_sets
 
 SAMPLE, TERMS, STEMS, WINDOW, THRESHOLD, LEAST, CHANCE = 50_000, 4096, (4, 9), 5, 0.3, 3, 0.5
+#: Words of a scored window.
+SPAN = 40
 #: Fixed word list: words of mention, in the languages of the tables.
 MENTION = frozenset("quote quoted word words term slur called says said writes wrote mot mots terme dit wort wörter begriff sagte palabra palabras término dijo".split())
 _WORD = re.compile(r"\w+")
@@ -203,23 +207,34 @@ class Lexicon:
         return out
 
     def features(self, text: str) -> list[float]:
-        """Saturated evidence of plain and of quoted hits, share of hits, and 1. Each edit costs 30 % of a term's weight."""
+        """Saturated evidence of plain and of quoted hits in their worst windows, number of plain hits in one, and 1. Each edit costs 30 % of a term's weight."""
         return self.features_of([text])[0]
 
     def _weighed(self, lower: str, hits: dict[str, tuple[int, int]]) -> list[float]:
         places = list(_WORD.finditer(lower))
-        sums = [0.0, 0.0]
-        n = 0
+        found: tuple[list[tuple[int, float]], list[tuple[int, float]]] = ([], [])  # (place, evidence) of plain and of quoted hits
         for k, m in enumerate(places):
             if m[0] not in hits:
                 continue
             term, edits = hits[m[0]]
-            n += 1
             round_it = {places[x][0] for x in range(max(0, k - WINDOW), min(len(places), k + WINDOW + 1)) if x != k}
             left, right = lower[max(0, m.start() - 1) : m.start()], lower[m.end() : m.end() + 1]
             quoted = bool(left and left in _OPENERS and right and right in _OPENERS) or not MENTION.isdisjoint(round_it)
-            sums[quoted] += self.terms[term][2] * 0.7 ** max(0, edits)
-        return [*map(math.log1p, sums), math.log1p(100 * n / len(places)), 1.0]
+            found[quoted].append((k, self.terms[term][2] * 0.7 ** max(0, edits)))
+        (plain, n), (quoted_evidence, _) = map(worst_window, found)
+        return [math.log1p(plain), math.log1p(quoted_evidence), math.log1p(100 * n / SPAN), 1.0]
+
+
+def worst_window(found: list[tuple[int, float]], span: int = SPAN) -> tuple[float, int]:
+    """Largest evidence and largest number of hits within ``span`` words, of hits (place, evidence) in order."""
+    most, many, total, first = 0.0, 0, 0.0, 0
+    for k, (place, evidence) in enumerate(found):
+        total += evidence
+        while found[first][0] <= place - span:
+            total -= found[first][1]
+            first += 1
+        most, many = max(most, total), max(many, k - first + 1)
+    return most, many
 
 
 def tail(a: int, b: int, share: float) -> float:
@@ -335,7 +350,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, sample: int = SAMPL
     rows.unpersist()
     repeat = np.array([r["count"] for r in got])
     x, y = np.repeat(np.array([r["x"] for r in got]), repeat, axis=0), np.repeat(np.array([r["toxic"] for r in got], float), repeat)
-    return Model(chosen, [float(v) for v in _logistic(x, y)], near_clean)
+    weights = _logistic(x, y)
+    if weights[1] > 0:  # quoted evidence raises no score
+        weights = np.insert(_logistic(np.delete(x, 1, axis=1), y), 1, 0.0)
+    return Model(chosen, [float(v) for v in weights], near_clean)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -66,6 +66,24 @@ def test_quotes_are_told_from_abuse():
     assert plain[0] > 0 and plain[1] == 0 and quoted[0] == 0 and quoted[1] > 0 and none == [0, 0, 0, 1]
 
 
+def test_scores_tell_quotation_and_don_t_thin_out(spark, docs, sf_dir):
+    """By score: quoted terms are clean, abuse stays abuse after 9,000 clean words, and a beginning that some clean words share doesn't tell alone."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    term = next(t for t, kind, _ in model.terms if kind == 1 and t.isascii())
+    score = lambda *texts: model.scorer()(list(texts))
+    assert max(score(f'the word "{term}" is a slur', f'"{term}"', f'he called him a "{term}" and that is the word', "a kind text", "")) < 0.3
+    short, *long = score(f"you {term}, you {term}", *[f"{'plain words go on here ' * n}you {term}, you {term}" for n in (2, 20, 200, 1800)])
+    assert min(short, *long) >= 0.3 and max(long) - min(long) < 1e-9
+    both = score(f'the word "{term}" is a slur. Many plain words go on from here, and you {term}, you {term}')[0]
+    assert both >= 0.3 and model.weights[1] <= 0
+
+
+def test_worst_window():
+    assert toxicity.worst_window([]) == (0.0, 0)
+    assert toxicity.worst_window([(0, 1.0), (39, 1.0), (40, 2.0), (500, 2.5)]) == (3.0, 2)
+    assert toxicity.worst_window([(k, 1.0) for k in range(0, 4000, 2)]) == (20.0, 20)
+
+
 def test_toxicity_holds_out(spark, docs, sf_dir, odd, none):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
