@@ -19,7 +19,8 @@ id of many vectors is spread over cells. Bounds and heaps count distinct vec_ids
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part; vectors of
 another length than the query's are no candidates; fewer candidates than ``k`` give all of them; ties go to the smaller vec_id;
-a row is not its own candidate, nor is a repeated row of the same vec_id; a query_id of several vectors has the largest
+components of any finite size take part (a score beyond the doubles is infinite, and a
+sum of opposite infinities counts as the smallest); an empty table gives an empty result; a row is not its own candidate, nor is a repeated row of the same vec_id; a query_id of several vectors has the largest
 score over them. Extra columns are ignored.
 """
 
@@ -33,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUERIES_A_GROUP, ROWS_A_GROUP, TILE, QUERIES_AT_ONCE = 8192, 8192, 2048, 512
+#: Largest components within which no product, square or sum of products leaves the range of doubles; vectors beyond are compared without bounds.
+PLAIN = (1e-140, 1e140)
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,9 +45,14 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    most = np.abs(x).max(axis=1)
+    odd = (most < PLAIN[0]) | (most > PLAIN[1])
+    x = np.where(odd[:, None], 1.0, x)
     q, s = quantised(x)
     back = q * s[:, None]
-    return q.astype(np.float32 if x.shape[1] <= 1000 else np.float64), s, np.linalg.norm(x, axis=1), np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
+    error = np.linalg.norm(x - back, axis=1)
+    error[odd] = np.inf
+    return q.astype(np.float32 if x.shape[1] <= 1000 else np.float64), s, np.linalg.norm(x, axis=1), np.linalg.norm(back, axis=1), error
 
 
 def offer(heap: list[tuple[float, int]], held: dict[int, float], k: int, score: float, name: int) -> None:
@@ -65,9 +73,10 @@ def offer(heap: list[tuple[float, int]], held: dict[int, float], k: int, score:
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner product of each row of ``x`` with the same row of ``y``, summed from the first component to the last."""
     total = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        total += x[:, d] * y[:, d]
-    return total
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(x.shape[1]):
+            total += x[:, d] * y[:, d]
+    return np.where(np.isnan(total), -np.inf, total)
 
 
 def nearest_in_cell(ids: np.ndarray, x: np.ndarray, cand_ids: np.ndarray, y: np.ndarray, k: int, tile: int = TILE):

@@ -81,6 +81,16 @@ def test_repeated_rows_push_nobody_out(spark):
         assert [n for _, n in found] == [i for q, _, i, _ in want if q == 20]
 
 
+def test_components_of_any_size(spark):
+    """From the smallest to the largest doubles, among plain vectors."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2).tolist()) for i in range(1, 80)] + [(0, [1.0, 1.0]), (100, [1e300, 1e300]), (120, [5e-324, 1e-323]), (140, [1e160, -1e-200])]
+    rows += [(201, [1e200, 1e200]), (202, [1e308, 1e308]), (203, [1e308, 1.7e308]), (204, [1e-323, 5e-324]), (205, [-1e308, -1e308]), (206, [1e141, 1.0]), (207, [1e-141, 1e-160])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sizes in ({}, {"queries_a_group": 2, "rows_a_group": 9}):
+        compare(blockjoin.nearest(df, **sizes).collect(), brute(rows))
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(50, 33)) * rng.lognormal(size=(50, 1))
