@@ -5,8 +5,8 @@ Each task packs its own rows, so nothing is shuffled: ids stay where they were m
 piece's demand and the sequence's room (both as shares of the limits) among those that can hold it. If none can
 hold it and no more may be opened, the piece is cut: its head fills the roomiest sequence. What is unfinished
 at the end of a task is poured together; a last short sequence is cut into sequences whose lengths are powers
-of two, which need no padding. So there is no padding unless the limits on segments or loss bind, and a task
-leaves at most twelve short sequences.
+of two, which need no padding, and so is (``unpadded``, for documents) one that the limits on segments or loss close early. A
+task leaves at most twelve short sequences unless those limits bind.
 
 Defined cases: null or empty text is a document of the end id alone; repeated rows are packed each; ids of
 a document of any length lie in exactly one piece each; an empty table gives an empty result; extra columns
@@ -63,8 +63,8 @@ class Sequence:
 class Packer:
     """Give examples to add(); finished sequences come out of add() and finish()."""
 
-    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, most_open: int = OPEN) -> None:
-        self.limits = np.array([tokens, segments, loss or tokens])
+    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, most_open: int = OPEN, unpadded: bool = False) -> None:
+        self.limits, self.unpadded = np.array([tokens, segments, loss or tokens]), unpadded
         self.most_open, self.open = most_open, []
         self.room = np.empty((0, 3), np.int64)
 
@@ -74,7 +74,8 @@ class Packer:
         if (self.room[k] > 0).all():
             return []
         self.room = np.delete(self.room, k, axis=0)
-        return [self.open.pop(k)]
+        full = self.open.pop(k)
+        return powers_of_two(full, int(self.limits[0])) if self.unpadded else [full]
 
     def _fit(self, piece: Piece, k: int) -> int:
         """How many leading ids of a piece sequence k can hold."""
@@ -144,12 +145,12 @@ def _rows(sequences: list[Sequence], first: int):
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
 
-def _packed(rows: DataFrame, path: str | None, tokens: int, segments: int, loss: int | None) -> DataFrame:
+def _packed(rows: DataFrame, path: str | None, tokens: int, segments: int, loss: int | None, unpadded: bool = False) -> DataFrame:
     """Pack rows of (doc_id, text, bears): one example each, all of whose ids bear loss, or none."""
     path = path or default_path()
 
     def packed(batches):
-        ids_of, packer = ids_for(path), Packer(tokens, segments, loss)
+        ids_of, packer = ids_for(path), Packer(tokens, segments, loss, unpadded=unpadded)
         at = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
         for batch in batches:
             data, offsets = raw(byte_texts(batch.column("text")))
@@ -170,7 +171,7 @@ def _packed(rows: DataFrame, path: str | None, tokens: int, segments: int, loss:
 def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
     """One row for each piece of each row of ``docs`` (doc_id, text); every id bears loss."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(True).alias("bears"))
-    return _packed(rows, path, tokens, segments, None)
+    return _packed(rows, path, tokens, segments, None, unpadded=True)
 
 
 def pack_turns(turns: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = 64, loss: int = TOKENS // 2) -> DataFrame:

@@ -146,3 +146,12 @@ def test_turns_are_packed_under_all_limits(spark, sf_dir, encoded):
     assert any(sum(r.loss_tokens for r in parts) == 600 for parts in sequences.values()) and any(len(parts) == 8 for parts in sequences.values())
     want = sum(len(ids) for _, ids in encoded(turns.selectExpr("conv_id as doc_id", "text")))
     assert sum(r.length for r in rows) == want
+
+
+def test_short_documents_need_no_padding(spark):
+    """The limit on segments closes sequences early; what is short is cut into powers of two."""
+    docs = spark.createDataFrame([(i, "two words") for i in range(6000)], "doc_id long, text string").coalesce(2)
+    rows = packing.pack_documents(docs).groupBy("sequence_id").agg({"length": "sum", "*": "count"}).toDF("sequence_id", "n", "tokens").collect()
+    sizes = [sorted(r[1:])[-1] for r in rows]
+    assert all(size & (size - 1) == 0 and size <= 4096 for size in sizes) and sum(sizes) == packing.pack_documents(docs).agg({"length": "sum"}).first()[0]
+    assert max(min(r[1:]) for r in rows) <= packing.SEGMENTS
