@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.functions.scalar import to_integer, to_number
-from assayloom.functions.schemas import UNIT_CHANGES, Layers, layers_for
+from assayloom.functions.schemas import UNIT_CHANGES, Layers, Schema, layers_for
+
+INTEGERS = ("int64", "int", "int32", "integer", "long", "bigint")
 
 
 def quoted(name: str) -> Column:
@@ -46,7 +48,7 @@ def coerced(c: Column, dtype: str) -> Column:
     """Floats and integers as numbers with null for anything else, other types by try_cast."""
     if dtype in ("double", "float64", "float"):
         return to_number(c)
-    if dtype.lower() in ("int64", "int", "long", "bigint"):
+    if dtype.lower() in INTEGERS:
         return to_integer(c)
     return c.try_cast(dtype)
 
@@ -76,25 +78,27 @@ def normalize(df: DataFrame, kind: str, model: str | None = None, profile: str |
     return out, report
 
 
-def alias_table(spark, kinds: list[tuple[str, str, str | None]]) -> DataFrame:
-    """P1 as rows: (type, model, profile, aliases: [(canonical, names)], required, dtypes); bounded by the config."""
+def alias_table(spark, kinds: list[tuple[str, str, str | None]], schemas: dict[str, Schema] | None = None) -> DataFrame:
+    """P1 as rows: (type, model, profile, aliases: [(canonical, names)], required, integer columns); bounded by the config."""
     rows = []
     for kind, model, profile in kinds:
-        x = layers_for(kind, model, profile)
-        rows.append((kind, model, profile, list(x.aliases.items()), list(x.required), x.applied, x.version, list(x.layers), list(x.warnings)))
-    return spark.createDataFrame(rows, "type string, model string, profile string, aliases array<struct<canonical: string, names: array<string>>>, required array<string>, applied boolean, version string, layers array<string>, notes array<string>")
+        x = layers_for(kind, model, profile, schemas)
+        integers = [c for c, t in x.dtypes.items() if t.lower() in INTEGERS]
+        rows.append((kind, model, profile, list(x.aliases.items()), list(x.required), x.applied, x.version, list(x.layers), list(x.warnings), integers))
+    return spark.createDataFrame(rows, "type string, model string, profile string, aliases array<struct<canonical: string, names: array<string>>>, required array<string>, applied boolean, version string, layers array<string>, notes array<string>, integers array<string>")
 
 
-def normalize_mixed(rows: DataFrame, kinds: list[tuple[str, str, str | None]]) -> tuple[DataFrame, DataFrame]:
+def normalize_mixed(rows: DataFrame, kinds: list[tuple[str, str, str | None]], schemas: dict[str, Schema] | None = None) -> tuple[DataFrame, DataFrame]:
     """P2 to P5 over many experiments at once.
 
     ``rows``: experiment_id, type, model, profile, raw map<string,string>, and any columns that are kept. Returns
     the rows with ``canonical`` map<string,double> plus ``text`` map<string,string> of all renamed columns, and one report row an experiment.
+    An integer column that holds a number with a fraction in an experiment can't be cast there: a warning, and its values stay.
     """
-    aliases = F.broadcast(alias_table(rows.sparkSession, kinds))  # a row a configured (type, model, profile)
+    aliases = F.broadcast(alias_table(rows.sparkSession, kinds, schemas))  # a row a configured (type, model, profile)
     headers = rows.groupBy("experiment_id", "type", "model", "profile").agg(F.array_distinct(F.flatten(F.collect_set(F.map_keys("raw")))).alias("headers"))
     keys = [F.col(f"h.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("type", "model", "profile")]
-    met = headers.alias("h").join(aliases.alias("a"), keys[0] & keys[1] & keys[2], "left").select("h.*", "aliases", "required", "applied", "version", "layers", "notes")
+    met = headers.alias("h").join(aliases.alias("a"), keys[0] & keys[1] & keys[2], "left").select("h.*", "aliases", "required", "applied", "version", "layers", "notes", "integers")
     present = lambda x: F.array_contains(F.col("headers"), x["canonical"])
     found = F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<struct<canonical:string,names:array<string>>>")), lambda x: ~present(x)), lambda x: F.struct(x["canonical"].alias("canonical"), F.filter(x["names"], lambda n: F.array_contains(F.col("headers"), n)).alias("found")))
     taken = F.filter(found, lambda x: F.size(x["found"]) > 0)
@@ -113,15 +117,21 @@ def normalize_mixed(rows: DataFrame, kinds: list[tuple[str, str, str | None]]) -
             F.concat(F.coalesce("notes", F.array(F.lit("no schema"))), several, changed).alias("warnings"), F.col("profile").alias("measurement_profile"), F.coalesce("layers", F.array().cast("array<string>")).alias("layers_applied"),
         ).alias("report"),
     )
-    plan = planned.select("experiment_id", "from_alias", "own")
+    plan = planned.select("experiment_id", "from_alias", "own", "integers")
     named = F.map_concat(F.map_filter("raw", lambda k, _: F.array_contains(F.col("own"), k)), F.transform_values("from_alias", lambda _, h: F.try_element_at("raw", h)))
-    out = rows.join(plan, "experiment_id").withColumn("text", named).drop("from_alias", "own", "raw")
-    return out.withColumn("canonical", F.transform_values("text", lambda _, v: to_number(v))), reports
-
-
-def canonical_columns(df: DataFrame, columns: list[str], text_columns: tuple[str, ...] = ("detector_name",)) -> DataFrame:
-    """Project the maps of normalize_mixed to fixed columns."""
-    picked = [F.try_element_at("text" if c in text_columns else "canonical", F.lit(c)).alias(c) for c in columns]
+    out = rows.join(plan, "experiment_id").withColumn("text", named).withColumn("canonical", F.transform_values("text", lambda _, v: to_number(v)))
+    if any(t.lower() in INTEGERS for k in kinds for t in layers_for(*k, schemas).dtypes.values()):
+        broken = F.filter(F.map_entries("canonical"), lambda e: F.array_contains(F.col("integers"), e["key"]) & (e["value"] != F.floor(e["value"])))
+        uncast = out.select("experiment_id", F.explode(F.transform(broken, lambda e: e["key"])).alias("c")).groupBy("experiment_id").agg(F.sort_array(F.collect_set("c")).alias("uncast"))  # names of the configuration
+        told = F.transform(F.coalesce("uncast", F.array().cast("array<string>")), lambda c: F.concat(F.lit("could not cast column '"), c, F.lit("' to an integer")))
+        reports = reports.join(uncast, "experiment_id", "left").select("experiment_id", F.col("report").withField("warnings", F.concat("report.warnings", told)).alias("report"))
+    return out.drop("from_alias", "own", "raw", "integers"), reports
+
+
+def canonical_columns(df: DataFrame, columns: list[str], text_columns: tuple[str, ...] = ("detector_name",), integers: tuple[str, ...] = ()) -> DataFrame:
+    """Project the maps of normalize_mixed to fixed columns; of ``integers``, numbers with a fraction are null."""
+    value = lambda c: F.try_element_at("text" if c in text_columns else "canonical", F.lit(c))
+    picked = [(F.when(value(c) == F.floor(value(c)), value(c).cast("bigint")) if c in integers else value(c)).alias(c) for c in columns]
     return df.select(*[c for c in df.columns if c not in ("canonical", "text")], *picked)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions import scalar
 from assayloom.functions.schemas import SCHEMAS, canonical_profiles
+from assayloom.operators.normalize import joined_null_safe
 
 
 def duplicates(df: DataFrame, keys: list[str], not_null: list[str] | None = None) -> DataFrame:
@@ -54,23 +55,27 @@ def match_profiles(rows: DataFrame, profiles: DataFrame, column: str = "profile"
     """``canonical`` for each distinct text of ``column``: exact, then without case, then with underscores, then token subset
     (fewest tokens, then alphabetical); null if none fits.
 
-    ``profiles`` (canonical[, by]) is configuration, of a few rows. Only distinct registry texts take part, so the
-    condition join is of two small sides at any number of rows.
+    Only distinct registry texts take part. The first three rules are equal keys; for the subsets an inverted index of the profiles' tokens
+    is asked with each text's rarest token, if all its tokens are in the index at all, and what it gives is verified.
     """
     keys = [by] if by else []
     texts = rows.select(column, *keys).distinct()
-    names = profiles.select("canonical", *keys).distinct()
     low, other = F.lower(F.col(column)), F.lower("canonical")
-    mine, theirs = scalar.tokens(F.col(column)), scalar.tokens(F.col("canonical"))
-    rank = F.when(F.col(column) == F.col("canonical"), 1).when(low == other, 2).when(scalar.underscored(low) == other, 3).when((F.size(mine) > 0) & (F.size(theirs) > 0) & (F.size(F.array_except(mine, theirs)) == 0), 4)
-    names = names.select("canonical", *[F.col(k).alias(f"_{k}") for k in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    pairs = texts.join(F.broadcast(names), same & rank.isNotNull(), "left").withColumn("rank", F.when(F.col("canonical").isNotNull(), rank))
-    order = [F.asc_nulls_last("rank"), F.when(F.col("rank") == 4, F.size(theirs)), F.when(F.col("rank") == 4, other), F.asc("canonical")]
+    asked = texts.filter(F.col(column).isNotNull()).select(column, *keys, low.alias("_low"), scalar.underscored(low).alias("_under"), scalar.tokens(F.col(column)).alias("_mine"))
+    names = profiles.select("canonical", *keys).distinct().select("canonical", *keys, other.alias("_other"), scalar.tokens(F.col("canonical")).alias("_theirs"))
+    equal = lambda mine, theirs, rank: asked.withColumn("_key", F.col(mine)).join(names.withColumn("_key", F.col(theirs)), ["_key", *keys]).withColumn("rank", F.lit(rank))
+    postings = names.select("canonical", *keys, "_other", "_theirs", F.explode("_theirs").alias("_token"))
+    frequent = postings.groupBy("_token", *keys).agg(F.count("*").alias("_n"))
+    known = asked.select(column, *keys, "_mine", F.explode("_mine").alias("_token")).join(frequent, ["_token", *keys])
+    rarest = known.groupBy(column, *keys, "_mine").agg(F.min_by("_token", F.struct("_n", "_token")).alias("_token"), F.count("*").alias("_found")).filter(F.col("_found") == F.size("_mine"))
+    subsets = rarest.join(postings, ["_token", *keys]).filter(F.size(F.array_except("_mine", "_theirs")) == 0).withColumn("rank", F.lit(4))
+    columns = [column, *keys, "canonical", "_other", "_theirs", "rank"]
+    pairs = equal(column, "canonical", 1).select(*columns)
+    for more in (equal("_low", "_other", 2), equal("_under", "_other", 3), subsets):
+        pairs = pairs.union(more.select(*columns))
+    order = ["rank", F.when(F.col("rank") == 4, F.size("_theirs")), F.when(F.col("rank") == 4, F.col("_other")), F.asc("canonical")]
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(column, *keys).orderBy(*order))).filter("_n = 1")
-    return best.select(column, *keys, "canonical")
+    return joined_null_safe(texts, best.select(column, *keys, "canonical"), [column, *keys], "left")
 
 
 def diagnostic(instruments: DataFrame, parsers: DataFrame, types: DataFrame) -> DataFrame:

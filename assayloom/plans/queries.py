@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.functions import scalar
+from assayloom.functions import scalar, schemas
 from assayloom.operators import catalog, characterize, compare, features, normalize, select, series, validate
 from assayloom.plans import datasets
 from assayloom.sources import files, text
@@ -187,6 +187,23 @@ def normalization_report(spark, sf_dir):
     return reports.select("experiment_id", F.array_join(F.map_values("report.renamed_columns"), ", ").alias("renamed_from"), *[F.col(f"report.{c}").alias(c) for c in names])
 
 
+@query("""
+with r as (select o_orderkey, 'o' || (o_custkey % 60) as experiment_id, case when o_custkey % 60 < 20 and o_orderkey % 7 = 0 then o_orderkey + 0.5 else o_orderkey end as n, case when o_orderkey % 5 = 0 then null else o_totalprice end as p from orders),
+w as (select experiment_id, case when bool_or(n <> floor(n)) then 'could not cast column ''counts'' to an integer' else '' end as warnings from r group by experiment_id)
+select o_orderkey, experiment_id, case when n = floor(n) then n::bigint end as counts, p as level, warnings from r join w using (experiment_id)""")
+def normalize_mixed_integers(spark, sf_dir):
+    """P3 and P5 of mixed rows: an integer column, and the warning of the experiments where it holds fractions."""
+    own = {"counter": schemas.Schema(("counts",), {"one": {"counts": ["N", "Counts"], "level": ["Level"]}}, dtypes={"counts": "Int64"})}
+    o = table(spark, sf_dir, "orders")
+    key, experiment = F.col("o_orderkey"), F.concat(F.lit("o"), (F.col("o_custkey") % 60).cast("string"))
+    n = F.when((F.col("o_custkey") % 60 < 20) & (key % 7 == 0), F.concat(key.cast("string"), F.lit(".5"))).otherwise(key.cast("string"))
+    raw = F.create_map(F.lit("N"), n, F.lit("Level"), F.when(key % 5 == 0, "no value").otherwise(F.col("o_totalprice").cast("string")))
+    rows = o.select("o_orderkey", experiment.alias("experiment_id"), F.lit("counter").alias("type"), F.lit("one").alias("model"), F.lit(None).cast("string").alias("profile"), raw.alias("raw"))
+    tidy, reports = normalize.normalize_mixed(rows, [("counter", "one", None)], own)
+    flat = normalize.canonical_columns(tidy, ["counts", "level"], integers=("counts",)).select("o_orderkey", "experiment_id", "counts", "level")
+    return flat.join(reports.select("experiment_id", F.array_join("report.warnings", "; ").alias("warnings")), "experiment_id")
+
+
 @query("select event_id, try_cast(json_extract_string(props, '$.k') as double) as k from events where try_cast(json_extract_string(props, '$.k') as double) is not null")
 def numeric_coerce(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", scalar.to_number(F.get_json_object("props", "$.k")).alias("k"))

@@ -113,6 +113,30 @@ def test_profiles_match(spark):
     assert got == {"Frequency Sweep": "oscillatory_frequency_sweep", "temperature": "oscillatory_temperature_sweep", "sweep": "oscillatory_frequency_sweep", "flow-curve": "flow_curve", "oscillatory_freq_sweep": None, "FLOW_CURVE": "flow_curve"}
 
 
+def test_profiles_match_by_an_inverted_index(spark):
+    """Random token sets, one token in all of them, against the rules one by one; no join without a key."""
+    import random
+    import re
+
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    names = sorted({"_".join(["sweep", *r.sample(words, r.randrange(1, 5))]) for _ in range(1500)} | {"Sweep-One", "sweep_one"})
+    asked = sorted({r.choice(["-", " ", "_"]).join(r.sample([*words, "sweep", "SWEEP"], r.randrange(1, 4))) for _ in range(1500)} | {*names[:40], *(n.upper() for n in names[40:80]), *(n.replace("_", " ").title() for n in names[80:120]), "", "nothing here", "sweep one"})
+
+    def told(text):
+        tokens = lambda x: set(re.findall("[a-z0-9]+", x.lower()))
+        rules = [[n for n in names if n == text], [n for n in names if n.lower() == text.lower()], [n for n in names if n.lower() == text.lower().replace(" ", "_").replace("-", "_")]]
+        for found in rules:
+            if found:
+                return min(found)
+        found = [n for n in names if tokens(text) and tokens(text) <= tokens(n)]
+        return min(found, key=lambda n: (len(tokens(n)), n.lower(), n), default=None)
+
+    out = validate.match_profiles(spark.createDataFrame([(a,) for a in [*asked, None]], "profile string"), spark.createDataFrame([(n,) for n in names], "canonical string"))
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["profile"]: r["canonical"] for r in out.collect()} == {a: told(a) for a in asked} | {None: None}
+
+
 def test_grouping(spark):
     rows = [(w, 1.0, t, s) for t in ("t1", "t2") for w, s in ((200, "a"), (250, "b"), (300, "c"))]
     df = spark.createDataFrame(rows, "wavelength_nm int, absorbance_a_u double, timestamp string, other string")

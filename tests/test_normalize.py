@@ -99,3 +99,16 @@ def test_null_columns_and_rows(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None)], "a double, b string")
     assert N.drop_null_columns(df).columns == ["a"]
     assert N.drop_null_rows(df.select("a")).count() == 1
+
+
+def test_integers_of_mixed_rows(spark):
+    from assayloom.functions.schemas import Schema
+
+    own = {"c": Schema(("n",), {"m": {"n": ["N"]}}, dtypes={"n": "Int64"})}
+    rows = spark.createDataFrame([("a", {"N": "1"}), ("a", {"N": "2.0"}), ("a", {"N": "x"}), ("b", {"N": "1.5"}), ("b", {"N": "3"}), ("d", {"Q": "1.5"})], "experiment_id string, raw map<string,string>").selectExpr("*", "'c' as type", "'m' as model", "cast(null as string) as profile")
+    out, reports = N.normalize_mixed(rows, [("c", "m", None)], own)
+    told = {r["experiment_id"]: r["report"]["warnings"] for r in reports.collect()}
+    assert told == {"a": [], "b": ["could not cast column 'n' to an integer"], "d": []}
+    got = sorted(((r["experiment_id"], r["n"]) for r in N.canonical_columns(out, ["n"], integers=("n",)).collect()), key=str)
+    assert got == sorted([("a", 1), ("a", 2), ("a", None), ("b", None), ("b", 3), ("d", None)], key=str)
+    assert dict(N.canonical_columns(out, ["n"], integers=("n",)).dtypes)["n"] == "bigint"
