@@ -57,7 +57,7 @@ def test_conversations(spark, sf_dir):
     assert held(bursttrie.conversation_trie(df, limit=3)) == brute(rows)
 
 
-@pytest.mark.parametrize("seed,limits", [(0, {}), (1, {"limit": 1}), (2, {"limit": 4}), (3, {"turns": 10})])
+@pytest.mark.parametrize("seed,limits", [(1, {"limit": 1}), (2, {"limit": 4, "turns": 10})])
 def test_bushy_tries(spark, seed, limits):
     """Few different turns: deep common beginnings, conversations that end at inner nodes of heads and containers."""
     r = random.Random(seed)
