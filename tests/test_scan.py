@@ -24,7 +24,7 @@ def test_lines_equal_whole_texts(narrow, tmp_path):
     r = random.Random(1)
     for k, name in enumerate(NAMES):
         ends = ["\n", "\r\n", "\n", "\r\n", "\n"][k]
-        (tmp_path / name).write_bytes(ends.join("é" * r.randrange(60) + "z" * (k % 2) for _ in range(800)).encode() + (b"" if k % 2 else ends.encode()))
+        (tmp_path / name).write_bytes(ends.join("é" * r.randrange(60) + "z" * (k % 2) for _ in range(300)).encode() + (b"" if k % 2 else ends.encode()))
     listed = files.list_files(narrow, str(tmp_path))
     assert sorted(p.path.rsplit("/", 1)[1] for p in listed.collect()) == sorted(NAMES)
     lines = scan.staged_lines(text.readable(listed), str(tmp_path / "staged"))
@@ -32,7 +32,7 @@ def test_lines_equal_whole_texts(narrow, tmp_path):
     assert raw.select("source_file", "part").distinct().count() > 2 * len(NAMES)
     want = text.lines_of(text.read_texts(narrow, str(tmp_path)))
     order = lambda df: sorted(tuple(x) for x in df.select("source_file", "line_no", "line").collect())
-    assert order(lines) == order(want) and lines.count() == 800 * len(NAMES)
+    assert order(lines) == order(want) and lines.count() == 300 * len(NAMES)
 
 
 def test_waves(spark, tmp_path, monkeypatch):
