@@ -118,13 +118,17 @@ def provenance(df: DataFrame, reports: DataFrame, backend: str, root: str) -> Da
 def register_views(spark: SparkSession, catalog: DataFrame, names: list[str] | None = None) -> list[str]:
     """A temporary view for each catalogue row that can be read; others are skipped.
 
-    ``names``: only these tables, where a query needs a few of a large catalogue; a row costs a listing on the driver.
+    ``names``: only these tables, where a query needs a few of a large catalogue; a row costs a listing on the driver. Where the catalogue
+    knows a table's ``columns``, no file's footer is read.
     """
     made = []
     wanted = catalog if names is None else catalog.filter(scalar.table_name(F.col("table_name")).isin(list(names)))
-    for r in wanted.select(scalar.table_name(F.col("table_name")).alias("view"), "storage_path").toLocalIterator():
+    columns = F.col("columns") if "columns" in catalog.columns else F.lit(None).cast("string")
+    for r in wanted.select(scalar.table_name(F.col("table_name")).alias("view"), "storage_path", columns.alias("columns")).toLocalIterator():
         try:
-            spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(r["storage_path"]).createOrReplaceTempView(r["view"])
+            read = spark.read.option("recursiveFileLookup", True)
+            read = read.schema(r["columns"]) if r["columns"] else read.option("mergeSchema", True)
+            read.parquet(r["storage_path"]).createOrReplaceTempView(r["view"])
             made.append(r["view"])
         except Exception:  # a path that is gone must not keep the others from being registered
             continue
