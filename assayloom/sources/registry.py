@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions import scalar
 from assayloom.operators.normalize import with_extras
+from assayloom.sources.scan import source_path
 
 KNOWN = ("name", "instrument_name", "raw_data_filename", "sample_id", "run_id", "experiment_id", "measurement_profile")
 
@@ -59,7 +60,7 @@ def scan_storage(spark: SparkSession, root: str, partitioned: bool = False) -> D
 def read_sidecars(spark: SparkSession, path: str, schema: str = "experiment_id string, dataset_name string, metadata map<string,string>") -> DataFrame:
     """Metadata sidecars; a broken file gives no row, missing ids are taken from the path."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
-    at = F.col("_metadata.file_path")
+    at = source_path(F.col("_metadata.file_path"))
     parsed = files.select(at.alias("source_file"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
     stem = scalar.stem(F.col("source_file"))
     sound = F.greatest(F.col("r.experiment_id").isNotNull(), F.col("r.dataset_name").isNotNull(), F.col("r.metadata").isNotNull())
