@@ -102,8 +102,16 @@ def scanned_labels(df: DataFrame, x: str = "temperature_C", by: list[str] | None
     return out.select(*df.columns, _cycled().alias("profile"))
 
 
+def quotient(x: Column, y: Column) -> Column:
+    """x / y in IEEE arithmetic, also where Spark's own division fails: by zero it is infinite, or NaN for zero and NaN."""
+    y = y.cast("double")
+    sign = F.signum(x.cast("double")) * F.when(y.cast("string").startswith("-"), -1.0).otherwise(1.0)
+    by_zero = F.when(sign > 0, F.lit(float("inf"))).when(sign < 0, F.lit(float("-inf"))).when(sign.isNotNull(), F.lit(float("nan")))
+    return F.when(y == 0, F.when(F.isnan(x), F.lit(float("nan"))).otherwise(by_zero)).otherwise(x / F.when(y != 0, y))
+
+
 def mass_percent(df: DataFrame, mass: str = "mass_mg", by: list[str] | None = None, out: str = "mass_pct", mode: str = "minmax", order: list[str] | None = None, large: bool = False) -> DataFrame:
-    """Percent of the mass span of a run (constant: 0), or of its first mass; a full column is left as it is.
+    """Percent of the mass span of a run (constant: 0), or of its first mass (which may be zero); a full column is left as it is.
 
     ``large``: a run's figures are aggregated and joined back, so that its rows needn't meet in one task.
     """
@@ -119,7 +127,7 @@ def mass_percent(df: DataFrame, mass: str = "mass_mg", by: list[str] | None = No
         w = Window.partitionBy(*by)
         met = df.withColumns({name: (F.min(F.struct(*(order or ["row_idx"]), mass)).over(w)[mass] if name == "_first" else c.over(w)) for name, c in figures.items()})
     low, high = F.col("_low"), F.col("_high")
-    value = F.col(mass) / F.col("_first") * 100 if mode == "initial" else F.when(high == low, F.lit(0.0)).otherwise((F.col(mass) - low) / F.nullif(high - low, F.lit(0.0)) * 100)
+    value = quotient(F.col(mass), F.col("_first")) * 100 if mode == "initial" else F.when(high == low, F.lit(0.0)).otherwise((F.col(mass) - low) / F.nullif(high - low, F.lit(0.0)) * 100)
     if out in df.columns:
         value = F.when(F.col("_full"), F.col(out)).otherwise(value)
     return met.withColumn(out, value).drop(*figures)
