@@ -5,13 +5,19 @@ Tables are Parquet; those that several jobs write are kept by a commit log (``co
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions import scalar
 from assayloom.operators.characterize import latest_wins
 from assayloom.operators.commits import Table  # noqa: F401  a table of a catalogue
+from assayloom.sources.shared import shared_folder
 
+#: Driver threads that list tables or run a batch of views; views of a batch; catalogue rows the driver holds at once.
+THREADS, VIEWS, ROWS = 8, 100, 1000
 PAIR = ["instrument_name", "raw_data_filename"]
 
 
@@ -121,20 +127,48 @@ def register_views(spark: SparkSession, catalog: DataFrame, names: list[str] | N
     ``names``: only these tables, where a query needs a few of a large catalogue; a row costs a listing on the driver. Where the catalogue
     knows a table's ``columns``, no file's footer is read.
     """
-    made = []
     wanted = catalog if names is None else catalog.filter(scalar.table_name(F.col("table_name")).isin(list(names)))
     columns = F.col("columns") if "columns" in catalog.columns else F.lit(None).cast("string")
-    for r in wanted.select(scalar.table_name(F.col("table_name")).alias("view"), "storage_path", columns.alias("columns")).toLocalIterator():
+
+    def read(row) -> DataFrame | None:
         try:
-            read = spark.read.option("recursiveFileLookup", True)
-            read = read.schema(r["columns"]) if r["columns"] else read.option("mergeSchema", True)
-            read.parquet(r["storage_path"]).createOrReplaceTempView(r["view"])
-            made.append(r["view"])
+            found = spark.read.option("recursiveFileLookup", True)
+            return (found.schema(row["columns"]) if row["columns"] else found.option("mergeSchema", True)).parquet(row["storage_path"])
         except Exception:  # a path that is gone must not keep the others from being registered
-            continue
+            return None
+
+    made = []
+    rows = wanted.select(scalar.table_name(F.col("table_name")).alias("view"), "storage_path", columns.alias("columns")).toLocalIterator()
+    with ThreadPoolExecutor(THREADS) as pool:
+        while some := list(islice(rows, ROWS)):
+            for row, found in zip(some, pool.map(read, some)):  # in the catalogue's order: of one name the last stays
+                if found is not None:
+                    found.createOrReplaceTempView(row["view"])
+                    made.append(row["view"])
     return made
 
 
+def query_views(spark: SparkSession, views: list[str], columns: str, sql: str, size: int = VIEWS) -> DataFrame:
+    """E6 over many views: ``sql`` over {views}, which has the ``columns`` of each view and its name as ``dataset``.
+
+    Each batch of ``size`` views is a query of its own, whose result is written, so that no plan grows with the catalogue; ``sql`` has to
+    treat each dataset by itself (as a grouping by dataset does). Without views there are no columns to answer from: an error.
+    """
+    if not views:
+        raise ValueError("no view can be read")
+    folder = shared_folder(spark)
+
+    def run(k: int) -> DataFrame:
+        rows = " union all ".join(f"select '{v}' as dataset, {columns} from {v}" for v in views[k : k + size])
+        out = query(spark, sql.format(views=f"({rows})"))
+        out.write.parquet(f"{folder}/batch={k}")
+        return out
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        schema = list(pool.map(run, range(0, len(views), size)))[0].schema
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+
+
 def remove(spark: SparkSession, catalog: DataFrame, table_name: str) -> DataFrame:
     """K8: the catalogue without a table, whose view is dropped; the files stay. An unknown table is an error."""
     if catalog.filter(F.col("table_name") == table_name).isEmpty():
@@ -143,6 +177,17 @@ def remove(spark: SparkSession, catalog: DataFrame, table_name: str) -> DataFram
     return catalog.filter(F.col("table_name") != table_name)
 
 
+def remove_all(spark: SparkSession, catalog: DataFrame, names: DataFrame) -> DataFrame:
+    """K8 for many tables (table_name): as ``remove`` of each, by one join."""
+    gone = names.select("table_name").distinct()
+    unknown = gone.join(catalog.select("table_name"), "table_name", "left_anti").first()
+    if unknown is not None:
+        raise KeyError(unknown["table_name"])
+    for r in gone.toLocalIterator():
+        spark.catalog.dropTempView(r["table_name"])
+    return catalog.join(gone, "table_name", "left_anti")
+
+
 def snapshot(registry: DataFrame, names: list[str], root: str, run_id: str) -> str:
     """The chosen registry rows as the run's Parquet snapshot."""
     path = f"{root.rstrip('/')}/{run_id}"
