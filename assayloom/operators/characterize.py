@@ -113,7 +113,8 @@ def quotient(x: Column, y: Column) -> Column:
 def mass_percent(df: DataFrame, mass: str = "mass_mg", by: list[str] | None = None, out: str = "mass_pct", mode: str = "minmax", order: list[str] | None = None, large: bool = False) -> DataFrame:
     """Percent of the mass span of a run (constant: 0), or of its first mass (which may be zero); a full column is left as it is.
 
-    ``large``: a run's figures are aggregated and joined back, so that its rows needn't meet in one task.
+    ``large``: a run's figures are aggregated, written and joined back, so that its rows needn't meet in one task: Spark knows
+    the figures' size and sends them to the rows.
     """
     if mass not in df.columns:
         return df
@@ -122,7 +123,8 @@ def mass_percent(df: DataFrame, mass: str = "mass_mg", by: list[str] | None = No
     if out in df.columns:
         figures["_full"] = F.bool_and(F.col(out).isNotNull())
     if large:
-        met = joined_null_safe(df, df.groupBy(*by).agg(*[c.alias(name) for name, c in figures.items()]), by)
+        told = df.groupBy(*by).agg(*[c.alias(name) for name, c in figures.items()])
+        met = joined_null_safe(df, stored(told, shared_folder(df.sparkSession), "figures"), by)
     else:
         w = Window.partitionBy(*by)
         met = df.withColumns({name: (F.min(F.struct(*(order or ["row_idx"]), mass)).over(w)[mass] if name == "_first" else c.over(w)) for name, c in figures.items()})
