@@ -143,7 +143,7 @@ def test_lines_are_parsed_where_they_lie(spark, tmp_path, kind, model, head, lin
     assert rows.count() == 15
 
 
-NINE = ("sectioned", "signals", "strict", "headerless", "mass_spectrum", "header_csv", "two_row_header", "spectrum")
+NINE = ("sectioned", "signals", "strict", "headerless", "mass_spectrum", "header_csv", "two_row_header", "spectrum", "plug_in")
 
 
 @pytest.mark.parametrize("name", NINE)
