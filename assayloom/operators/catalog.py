@@ -5,16 +5,20 @@ Tables are Parquet; those that several jobs write are kept by a commit log (``co
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assayloom.functions import scalar
 from assayloom.operators.characterize import latest_wins
 from assayloom.operators.commits import Table  # noqa: F401  a table of a catalogue
-from assayloom.sources.shared import shared_folder
+from assayloom.sources.shared import shared_folder, stored
 
 #: Driver threads that list tables or run a batch of views; views of a batch; catalogue rows the driver holds at once.
 THREADS, VIEWS, ROWS = 8, 100, 1000
@@ -123,52 +127,167 @@ def provenance(df: DataFrame, reports: DataFrame, backend: str, root: str) -> Da
     return met.select("experiment_id", "rows", F.struct(F.current_timestamp().alias("saved_at"), F.lit("1").alias("version"), storage.alias("storage"), schema.alias("schema"), F.struct(F.col("files"), F.size("files").alias("file_count")).alias("source")).alias("provenance"))
 
 
-def register_views(spark: SparkSession, catalog: DataFrame, names: list[str] | None = None) -> list[str]:
-    """A temporary view for each catalogue row that can be read; others are skipped.
+class Views(list):
+    """Names of registered views. ``scans``: DataFrames that several views are parts of; ``parts``: of each name its scan and the URI its files lie at."""
 
-    ``names``: only these tables, where a query needs a few of a large catalogue; a row costs a listing on the driver. Where the catalogue
-    knows a table's ``columns``, no file's footer is read.
+    def __init__(self) -> None:
+        super().__init__()
+        self.scans: list[DataFrame] = []
+        self.parts: dict[str, tuple[int, str]] = {}
+
+
+def _uri(uri: str) -> str:
+    """A URI as the files' metadata writes it: file:/a, not file:///a."""
+    return re.sub(r"\A([^:/]+):///", r"\1:/", uri)
+
+
+class _Paths:
+    """Looks at paths and footers from the driver; classes are looked up once."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        package = spark.sparkContext._jvm.org.apache
+        self.path, self.conf = package.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        self.open, self.file = package.parquet.hadoop.ParquetFileReader.open, package.parquet.hadoop.util.HadoopInputFile.fromStatus
+
+    def place(self, path: str) -> str | None:
+        """The URI of a path that is there; null for a pattern, which Spark's reader has to look up."""
+        if set(path) & set("*?[]{}\\"):
+            return None
+        at = self.path(path)
+        fs = at.getFileSystem(self.conf)
+        if not fs.exists(at):
+            raise FileNotFoundError(path)
+        return _uri(fs.makeQualified(at).toUri().toString()).rstrip("/")
+
+    def written_schema(self, path: str) -> str | None:
+        """The schema (JSON) that Spark wrote into every file below a path; null where files differ or another program wrote one."""
+        told, left = set(), [self.path(path)]
+        fs = left[0].getFileSystem(self.conf)
+        while left and len(told) < 2:
+            for status in fs.listStatus(left.pop()):
+                name = status.getPath().getName()
+                if name.startswith(("_", ".")):
+                    continue
+                if status.isDirectory():
+                    left.append(status.getPath())
+                    continue
+                file = self.open(self.file(status, self.conf))
+                try:
+                    told.add(file.getFileMetaData().getKeyValueMetaData().get("org.apache.spark.sql.parquet.row.metadata"))
+                finally:
+                    file.close()
+        return told.pop() if len(told) == 1 else None
+
+
+def register_views(spark: SparkSession, catalog: DataFrame, names: list[str] | None = None) -> Views:
+    """A temporary view for each catalogue row that can be read; others are skipped, and of one name the last stays.
+
+    ``names``: only these tables, where a query needs a few of a large catalogue. Rows of the same columns are one scan, whose folders a job
+    lists, and a view is its own files of the scan: the others are pruned before they are read. A row costs the driver a look at its path, and
+    at its files' footers where the catalogue doesn't know the ``columns``; where these aren't Spark's, or differ, it is read by itself.
     """
     wanted = catalog if names is None else catalog.filter(scalar.table_name(F.col("table_name")).isin(list(names)))
     columns = F.col("columns") if "columns" in catalog.columns else F.lit(None).cast("string")
+    paths = _Paths(spark)
 
-    def read(row) -> DataFrame | None:
+    def alone(row) -> DataFrame | None:
         try:
             found = spark.read.option("recursiveFileLookup", True)
             return (found.schema(row["columns"]) if row["columns"] else found.option("mergeSchema", True)).parquet(row["storage_path"])
         except Exception:  # a path that is gone must not keep the others from being registered
             return None
 
-    made = []
+    def look(row) -> tuple[str, str] | DataFrame | None:
+        """(schema, URI) of a row that can be read with others; else its own DataFrame, null where it can't be read."""
+        try:
+            place = paths.place(row["storage_path"])
+            schema = place and (row["columns"] or paths.written_schema(row["storage_path"]))
+        except FileNotFoundError:
+            return None
+        except Exception:  # Spark's reader tells whether it can be read
+            schema = None
+        return (schema, place) if schema else alone(row)
+
+    def together(group: list) -> tuple[DataFrame | None, list[tuple[str, DataFrame, str | None]]]:
+        """One scan of rows of one schema, and (view, its rows, its URI)."""
+        schema = group[0][1][0]
+        try:
+            scan = spark.read.schema(StructType.fromJson(json.loads(schema)) if not group[0][0]["columns"] else schema).option("recursiveFileLookup", True).parquet(*[row["storage_path"] for row, _ in group])
+            if "_metadata" in scan.columns:
+                raise ValueError("files can't be told apart")
+        except Exception:  # a path that went away since
+            return None, [(row["view"], df, None) for row, _ in group if (df := alone(row)) is not None]
+        return scan, [(row["view"], scan, place) for row, (_, place) in group]
+
+    def register(view: str, rows: DataFrame, place: str | None) -> None:
+        (rows.filter(_below(place)) if place else rows).createOrReplaceTempView(view)
+
+    made, last = Views(), {}
     rows = wanted.select(scalar.table_name(F.col("table_name")).alias("view"), "storage_path", columns.alias("columns")).toLocalIterator()
     with ThreadPoolExecutor(THREADS) as pool:
         while some := list(islice(rows, ROWS)):
-            for row, found in zip(some, pool.map(read, some)):  # in the catalogue's order: of one name the last stays
-                if found is not None:
-                    found.createOrReplaceTempView(row["view"])
-                    made.append(row["view"])
+            found = {row["view"]: (row, got) for row, got in zip(some, pool.map(look, some)) if got is not None}  # in the catalogue's order
+            groups: dict[tuple, list] = {}
+            for row, got in found.values():
+                if isinstance(got, tuple):
+                    groups.setdefault((got[0], bool(row["columns"])), []).append((row, got))
+            registered = [(row["view"], got, None, None) for row, got in found.values() if not isinstance(got, tuple)]
+            for scan, views in pool.map(together, groups.values()):
+                if scan is not None:
+                    made.scans.append(scan)
+                registered += [(view, df, len(made.scans) - 1 if place else None, place) for view, df, place in views]
+            list(pool.map(lambda x: register(x[0], x[1], x[3]), registered))
+            last |= {view: (k, place) for view, _, k, place in registered}
+    made.extend(last)
+    made.parts = {view: (k, place) for view, (k, place) in last.items() if place}
     return made
 
 
+def _below(place: str) -> str:
+    """The condition that a row's file is ``place`` or lies below it."""
+    at = place.replace("\\", "\\\\").replace("'", "\\'")
+    return f"_metadata.file_path = '{at}' or startswith(_metadata.file_path, '{at}/')"
+
+
 def query_views(spark: SparkSession, views: list[str], columns: str, sql: str, size: int = VIEWS) -> DataFrame:
-    """E6 over many views: ``sql`` over {views}, which has the ``columns`` of each view and its name as ``dataset``.
+    """E6 over many views: ``sql`` over {views}, which has the ``columns`` (names) of each view and its name as ``dataset``.
 
-    Each batch of ``size`` views is a query of its own, whose result is written, so that no plan grows with the catalogue; ``sql`` has to
-    treat each dataset by itself (as a grouping by dataset does). Without views there are no columns to answer from: an error.
+    Views that are parts of one scan are one query, others are in batches of ``size``; its result is written, so that no plan grows with the
+    catalogue. ``sql`` has to treat each dataset by itself (as a grouping by dataset does). Without views there are no columns to answer from: an error.
     """
     if not views:
         raise ValueError("no view can be read")
     folder = shared_folder(spark)
+    parts, scans = getattr(views, "parts", {}), getattr(views, "scans", [])
+    mine: list[dict[str, list[str]]] = [{} for _ in scans]
+    for view, (k, place) in parts.items():
+        mine[k].setdefault(place, []).append(view)
+    others = [v for v in views if v not in parts]
 
-    def run(k: int) -> DataFrame:
-        rows = " union all ".join(f"select '{v}' as dataset, {columns} from {v}" for v in views[k : k + size])
+    def run(k: int, rows: str) -> DataFrame:
         out = query(spark, sql.format(views=f"({rows})"))
         out.write.parquet(f"{folder}/batch={k}")
         return out
 
+    def of_scan(k: int) -> DataFrame:
+        scan, name = scans[k], f"scan_{uuid.uuid4().hex}"
+        at, view = f"file_{name}", f"view_{name}"  # names that no column has
+        upto = lambda f: (f[:n] for n in range(1, len(f) + 1) if n == len(f) or f[n] == "/")  # noqa: E731  the file and the folders it lies in
+        owned = [(f, v) for f in map(_uri, scan.inputFiles()) for place in upto(f) for v in mine[k].get(place, ())]
+        owners = stored(spark.createDataFrame(owned, f"{at} string, {view} string").coalesce(1), shared_folder(spark), "owners")
+        met = scan.withColumn(at, F.col("_metadata.file_path")).join(owners, at).drop(at)
+        met.createOrReplaceTempView(name)
+        try:
+            return run(k, f"select {view} as dataset, {columns} from {name}")
+        finally:
+            spark.catalog.dropTempView(name)
+
+    def of_names(k: int) -> DataFrame:
+        return run(len(scans) + k, " union all ".join(f"select '{v}' as dataset, {columns} from {v}" for v in others[k : k + size]))
+
     with ThreadPoolExecutor(THREADS) as pool:
-        schema = list(pool.map(run, range(0, len(views), size)))[0].schema
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+        done = [*pool.map(of_scan, [k for k, m in enumerate(mine) if m]), *pool.map(of_names, range(0, len(others), size))]
+    return spark.read.schema(done[0].schema).option("recursiveFileLookup", True).parquet(folder)
 
 
 def remove(spark: SparkSession, catalog: DataFrame, table_name: str) -> DataFrame:
